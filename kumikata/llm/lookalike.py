@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +28,7 @@ SCRIPTS = ({c: c for c in LATIN}, CYRILLIC, GREEK)
 #: Each look-alike letter to the Latin letter of its class, and each class to its letters.
 CLASS = {letter: name for script in SCRIPTS for name, letter in script.items()} | OTHERS
 MEMBERS = {name: "".join(dict.fromkeys(s[name] for s in SCRIPTS if name in s)) for name in LATIN}
+_CLASSES = {ord(letter): name for letter, name in CLASS.items() if letter != name}
 SCRIPT_OF = {letter: i for i, script in enumerate(SCRIPTS) for letter in script.values()}
 
 _TABLE: dict[int, str | None] = {ord(c): None for c in IGNORED} | {c: None for c in range(0xFE00, 0xFE10)}
@@ -65,18 +68,18 @@ def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, int] = {}
     for frame in frames:
         for text in frame["text"]:
-            for word in _words(plain(text)):
+            for word, times in Counter(_WORDS(plain(text))).items():
                 bare = [c for c in word if not unicodedata.combining(c)] if not word.isascii() else word
                 if len({script(c) for c in bare}) == 1:
                     for pair in zip(["^", *bare], [*bare, "$"], strict=True):
                         pair = pair[0] + pair[1]
-                        counts[pair] = counts.get(pair, 0) + 1
+                        counts[pair] = counts.get(pair, 0) + times
     yield pd.DataFrame({"pair": list(counts), "n": list(counts.values())})
 
 
-def _words(text: str) -> list[str]:
-    """The maximal runs of letters and marks."""
-    return "".join(c if c.isalpha() or unicodedata.combining(c) else " " for c in text).split() if not text.isascii() else "".join(c if c.isalpha() else " " for c in text).split()
+#: The maximal runs of letters and the marks on them.
+_WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff])+")
+_WORDS = _WORD.findall
 
 
 def letter_model(documents: DataFrame, text: str = "text") -> dict[str, int]:
@@ -129,21 +132,8 @@ class Canonical:
 
     def text(self, text: str) -> str:
         """The one form of a whole text."""
-        text = "".join(CLASS.get(c, c) for c in p) if not (p := plain(text)).isascii() else p
-        out, at = [], 0
-        letter = str.isalpha if text.isascii() else lambda c: c.isalpha() or unicodedata.combining(c) > 0
-        while at < len(text):
-            end = at
-            if letter(text[at]):
-                while end < len(text) and letter(text[end]):
-                    end += 1
-                out.append(self.word(text[at:end]))
-            else:
-                while end < len(text) and not letter(text[end]):
-                    end += 1
-                out.append(text[at:end])
-            at = end
-        return "".join(out)
+        text = plain(text).translate(_CLASSES)
+        return _WORD.sub(lambda m: self.known.get(m[0]) or self.word(m[0]), text)
 
 
 def one_form(documents: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
