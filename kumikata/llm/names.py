@@ -151,7 +151,7 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each name's parsed words and its block keys: the sound of one word and the sound of the other, whole or less one consonant."""
     for frame in frames:
         rows = []
-        for name in frame["name"]:
+        for scope, name in zip(frame["scope"], frame["name"], strict=True):
             parsed = parse(name) or ("", "")
             keys: set[str] = set()
             initial = 0
@@ -165,8 +165,8 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                 keys.add(f"{sound(one)}|{less}")
                             else:
                                 keys.add(f"{one}:{less}")
-            rows.append((name, *sorted(parsed), initial, sorted(keys)))
-        yield pd.DataFrame(rows, columns=["name", "word_a", "word_b", "initials", "keys"])
+            rows.append((scope, name, *sorted(parsed), initial, sorted(keys)))
+        yield pd.DataFrame(rows, columns=["scope", "name", "word_a", "word_b", "initials", "keys"])
 
 
 def _compare(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,46 +175,51 @@ def _compare(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[fits, ["form", "other"]]
 
 
-def link(names: DataFrame, name: str = "name") -> DataFrame:
+def link(names: DataFrame, name: str = "name", scope: str | None = None) -> DataFrame:
     """Link the spellings of one person: (name, person), one row for each different name that is not null.
 
-    `person` is the least spelling, by code point, of those linked. Method: the two outer words of a name (after repair of code pages, unaccented, without
+    `person` is the least spelling, by code point, of those linked. With a `scope` column (a string), names are linked within equal scopes only, and
+    the result is (scope, name, person). Method: the two outer words of a name (after repair of code pages, unaccented, without
     epithets and particles, nicknames resolved) are blocked by their phonetic codes, either order, one consonant more or less
     allowed; pairs within a block are compared by the nickname table, Jaro-Winkler and the edits between their words; connected
     components of the accepted pairs are the persons. A name with an initial joins a person only if that initial and surname can
     mean no other person.
 
-    Work is done on different word pairs, not on rows: names said a million times cost as one, and equal word pairs meet no pair comparison. Candidates
+    Work is done on different word pairs, not on rows: names said a million times cost as one, and equal word pairs are never compared. Candidates
     are filtered by the JVM's edit distance before Python sees them.
 
     Cases: a null name has no row; a name without two words is its own person, as is one of symbols only; empty input gives no
     row; other columns are ignored; very long names are read whole.
     """
-    distinct = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name")).distinct()
-    parsed = cut(distinct.mapInPandas(_blocks, "name string, word_a string, word_b string, initials int, keys array<string>"))
-    two = parsed.where("size(keys) > 0").withColumn("form", F.concat_ws(" ", "word_a", "word_b"))
-    forms = cut(two.groupBy("form").agg(F.first("word_a").alias("word_a"), F.first("word_b").alias("word_b"), F.first("initials").alias("initials"), F.first("keys").alias("keys")))
-    full = forms.where("initials = 0").select("form", "word_a", "word_b", F.explode("keys").alias("key"))
-    other = full.select(*[F.col(c).alias(n) for c, n in (("form", "other"), ("word_a", "other_a"), ("word_b", "other_b"), ("key", "key"))])
+    within = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("")
+    distinct = names.where(F.col(name).isNotNull()).select(within.alias("scope"), F.col(name).alias("name")).distinct()
+    parsed = cut(distinct.mapInPandas(_blocks, "scope string, name string, word_a string, word_b string, initials int, keys array<string>"))
+    two = parsed.where("size(keys) > 0").withColumn("form", F.concat_ws("\u0002", "scope", "word_a", "word_b"))
+    forms = cut(two.groupBy("form").agg(*[F.first(c).alias(c) for c in ("scope", "word_a", "word_b", "initials", "keys")]))
+    full = forms.where("initials = 0").select("form", "scope", "word_a", "word_b", F.explode("keys").alias("key"))
+    other = full.select("scope", "key", *[F.col(c).alias(n) for c, n in (("form", "other"), ("word_a", "other_a"), ("word_b", "other_b"))])
     close = "(least(levenshtein(word_a, other_a) + levenshtein(word_b, other_b), levenshtein(word_a, other_b) + levenshtein(word_b, other_a)) <= 3)"
-    blocked = full.join(other, "key").where(f"form < other AND {close}").select("form", "other", "word_a", "word_b", "other_a", "other_b").distinct()
+    blocked = full.join(other, ["scope", "key"]).where(f"form < other AND {close}").select("form", "other", "word_a", "word_b", "other_a", "other_b").distinct()
     edges = blocked.mapInPandas(_compare, "form string, other string")
     groups = components(forms.where("initials = 0").select(F.col("form").alias("node")), edges.select(F.col("form").alias("a"), F.col("other").alias("b")))
     # an initial: the persons whose one word begins so and whose other word sounds alike
-    begins = full.select("form", "word_a", "word_b", F.substring_index("key", "|", -1).alias("less")).distinct()
-    begins = begins.select(F.col("form").alias("other"), F.col("word_a").alias("other_a"), F.col("word_b").alias("other_b"), "less", F.explode(F.array_distinct(F.array(F.substring("word_a", 1, 1), F.substring("word_b", 1, 1)))).alias("letter"))
-    initial = forms.where("initials = 1").select("form", "word_a", "word_b", F.explode("keys").alias("key")).select("form", "word_a", "word_b", F.substring_index("key", ":", 1).alias("letter"), F.substring_index("key", ":", -1).alias("less"))
+    begins = full.select("form", "scope", "word_a", "word_b", F.substring_index("key", "|", -1).alias("less")).distinct()
+    letters = F.explode(F.array_distinct(F.array(F.substring("word_a", 1, 1), F.substring("word_b", 1, 1))))
+    begins = begins.select("scope", F.col("form").alias("other"), F.col("word_a").alias("other_a"), F.col("word_b").alias("other_b"), "less", letters.alias("letter"))
+    initial = forms.where("initials = 1").select("form", "scope", "word_a", "word_b", F.explode("keys").alias("key"))
+    initial = initial.select("form", "scope", "word_a", "word_b", F.substring_index("key", ":", 1).alias("letter"), F.substring_index("key", ":", -1).alias("less"))
     surname = F.when(F.length("word_a") > 1, F.col("word_a")).otherwise(F.col("word_b"))
     apart = F.when(F.substring("other_a", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_b"))).otherwise(99)
     apart = F.least(apart, F.when(F.substring("other_b", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_a"))).otherwise(99))
-    met = initial.join(begins, ["letter", "less"]).withColumn("apart", apart).where("apart <= 2").select("form", "other", "word_a", "word_b", "other_a", "other_b", "apart").distinct()
+    met = initial.join(begins, ["scope", "letter", "less"]).withColumn("apart", apart).where("apart <= 2").select("form", "other", "word_a", "word_b", "other_a", "other_b", "apart").distinct()
     fits = met.mapInPandas(_compare, "form string, other string").join(met.select("form", "other", "apart"), ["form", "other"])
     near = fits.join(groups.select(F.col("node").alias("other"), "component"), "other").groupBy("form", "component").agg(F.min("apart").alias("apart"))
     nearest = near.groupBy("form").agg(F.min("apart").alias("least"), F.collect_set(F.struct("apart", "component")).alias("all"))
     # only if one person alone is at the least distance
     chosen = nearest.withColumn("best", F.filter("all", lambda x: x["apart"] == F.col("least"))).where("size(best) = 1").select(F.col("form").alias("node"), F.col("best")[0]["component"].alias("component"))
     lone = forms.where("initials > 0").select(F.col("form").alias("node")).join(chosen, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    persons = two.select("name", F.col("form").alias("node")).join(groups.unionByName(lone), "node").select("name", "component")
-    alone = parsed.where("size(keys) = 0").select("name", F.concat(F.lit("\u0001"), "name").alias("component"))
+    persons = two.select("scope", "name", F.col("form").alias("node")).join(groups.unionByName(lone), "node").select("scope", "name", "component")
+    alone = parsed.where("size(keys) = 0").select("scope", "name", F.concat_ws("\u0001", "scope", "name").alias("component"))
     every = cut(persons.unionByName(alone))
-    return every.join(every.groupBy("component").agg(F.min("name").alias("person")), "component").select("name", "person")
+    out = every.join(every.groupBy("component").agg(F.min("name").alias("person")), "component")
+    return out.select("scope", "name", "person") if scope else out.select("name", "person")
