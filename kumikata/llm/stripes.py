@@ -91,8 +91,7 @@ def together(memberships: DataFrame, basket: str, item: str, least: int = 2, lea
     kept = cut(rows)
     baskets = kept.select("basket").distinct().count()
     support = max(least, int(np.ceil(round(least_share * baskets, 6))), 1)
-    frequent = cut(kept.where("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support))
-    ids = numbered(frequent)  # consecutive, so that a pair fits into 64 bits
+    ids = numbered(kept.where("item IS NOT NULL").groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") >= support))  # consecutive, so that a pair fits into 64 bits
     numbers = kept.where("item IS NOT NULL").join(ids.select("item", "number"), "item")
     lists = numbers.groupBy("basket").agg(F.array_sort(F.collect_list("number")).alias("items")).where("size(items) > 1").select("items")
     stripes = lists.mapInArrow(_stripes, "item long, others array<long>, counts array<long>")
@@ -110,7 +109,11 @@ def together(memberships: DataFrame, basket: str, item: str, least: int = 2, lea
 
 
 def numbered(items: DataFrame) -> DataFrame:
-    """The rows with consecutive numbers below 2^31 in `number`; only partition counts come to the driver."""
+    """The rows with consecutive numbers below 2^31 in `number`; only partition counts come to the driver.
+
+    Sorted items are numbered in their order.
+    """
+    items = cut(items)
     parts = items.withColumn("part", F.spark_partition_id())
     sizes = {r[0]: r[1] for r in parts.groupBy("part").count().collect()}
     start, starts = 0, {}
