@@ -74,7 +74,8 @@ def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     for pair in zip(["^", *bare], [*bare, "$"], strict=True):
                         pair = pair[0] + pair[1]
                         counts[pair] = counts.get(pair, 0) + times
-    yield pd.DataFrame({"pair": list(counts), "n": list(counts.values())})
+    if counts:
+        yield pd.DataFrame({"pair": list(counts), "n": list(counts.values())})
 
 
 #: The maximal runs of letters and the marks on them.

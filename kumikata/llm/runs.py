@@ -22,11 +22,16 @@ def pieces(bouts: DataFrame, gap: float) -> DataFrame:
     marks = F.transform("keys", lambda k, i: F.concat(F.when(late(i), F.lit(STOP)).otherwise(F.lit("")), F.when(k.isNull(), F.lit(NOTHING)).otherwise(symbol(F.array_position("known", k)))))
     found = F.regexp_extract_all(F.array_join(marks, ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
     real = F.filter(found, lambda p: ~p.startswith(STOP))
+    # pieces at either end of a chunk stay, even where nothing repeats: they part what lies before them from what follows
+    outer = lambda acc, p: (acc["at"] == 0) | (acc["at"] + F.length(p) == F.size("events"))
     # where each piece begins: the sizes of those before it
     places = F.aggregate(
         F.col("pieces"),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,size:int>>").alias("done")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when((F.length(p) > 1) | (acc["at"] == 0) | (acc["at"] + F.length(p) == F.size("events")), F.when(p.startswith(NOTHING), acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["at"].alias("start"), F.length(p).alias("size"))))).otherwise(acc["done"]).alias("done")),
+        lambda acc, p: F.struct(
+            (acc["at"] + F.length(p)).alias("at"),
+            F.when(outer(acc, p) | ((F.length(p) > 1) & ~p.startswith(NOTHING)), F.array_append(acc["done"], F.struct(acc["at"].alias("start"), F.length(p).alias("size")))).otherwise(acc["done"]).alias("done"),
+        ),
         lambda acc: acc["done"],
     )
     return coded.withColumn("pieces", real).select("match_id", "chunk", "events", F.inline(places))
@@ -61,5 +66,5 @@ def runs(bouts: DataFrame, gap: float = 30.0) -> DataFrame:
         F.min_by("first_ts", "first_idx").alias("first_ts"), F.max_by("last_ts", "last_idx").alias("last_ts"),
     )
     columns = ["match_id", "first_idx", "last_idx", "side", "code", "count", "first_ts", "last_ts"]
-    every = cut_up.where("NOT opens AND NOT closes").select(columns).unionByName(joined.select(columns)).where(F.col("count") > 1)
+    every = cut_up.where("NOT opens AND NOT closes").select(columns).unionByName(joined.select(columns)).where((F.col("count") > 1) & F.col("side").isNotNull() & F.col("code").isNotNull())
     return every.withColumn("duration", F.col("last_ts") - F.col("first_ts")).drop("first_ts", "last_ts")
