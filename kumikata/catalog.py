@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kumikata.plans.runtime import table
+from kumikata.queries import graph, seq
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_MODULES = (seq, graph)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitions between techniques of one athlete within a bout."""
-    return table(spark, sf_dir, "match_events").groupBy("label").agg(F.count("*").alias("n"))
+    """Transitions between the actions of one athlete within a bout."""
+    return QUERIES["transition_edges"](spark, sf_dir)

@@ -1 +1 @@
-
+"""Readers and the views that operators work on."""
