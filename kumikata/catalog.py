@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kumikata.queries import agg, graph, join, seq
+from kumikata.queries import agg, graph, join, seq, stat
 
-_MODULES = (seq, graph, agg, join)
+_MODULES = (seq, graph, agg, join, stat)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
