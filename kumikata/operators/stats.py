@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kumikata.functions.special import beta_quantile, chi2_p, fisher_p
 
@@ -42,7 +43,7 @@ def contrast(k1: Column, n1: Column, k2: Column, n2: Column, z: float = Z95) ->
     return {"diff": p1 - p2, "diff_lo": q1 - q2 - z * se, "diff_hi": q1 - q2 + z * se, "ratio": F.exp(log), "ratio_lo": lo, "ratio_hi": hi, "significant": F.coalesce((lo > 1) | (hi < 1), F.lit(False))}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def contrast_p(k1: pd.Series, n1: pd.Series, k2: pd.Series, n2: pd.Series) -> pd.Series:
     """Fisher's exact p where an expected count is below 5, else chi-square with continuity correction."""
 
@@ -71,7 +72,7 @@ def chi_square(cells: DataFrame, row: str, column: str, n: str = "n") -> DataFra
     return sums.select(chi2.alias("chi2"), ((F.col("rows") - 1) * (F.col("columns") - 1)).alias("dof"), "total", F.when(least > 0, F.sqrt(F.greatest(F.lit(0.0), chi2) / (F.col("total") * least))).alias("cramers_v"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(chi2: pd.Series, dof: pd.Series) -> pd.Series:
     """Chance of a chi-square as large."""
     return pd.Series([chi2_p(float(x), int(d)) for x, d in zip(chi2, dof, strict=True)], dtype="float64")
@@ -154,7 +155,7 @@ def coverage(counts: DataFrame, group: str, who: str, n: str = "n") -> DataFrame
     return told.withColumns({"grade": grade, "reason": F.when(few, "too few sources").when(even, "one source dominates")})
 
 
-@F.pandas_udf("struct<mean double, lo double, hi double>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("mean", "lo", "hi")]))
 def beta_interval(successes: pd.Series, trials: pd.Series) -> pd.DataFrame:
     """Mean and central 95 % of Beta(successes + 1, failures + 1)."""
     rows = [((s + 1) / (t + 2), beta_quantile(0.025, s + 1, t - s + 1), beta_quantile(0.975, s + 1, t - s + 1)) for s, t in zip(successes, trials, strict=True)]
