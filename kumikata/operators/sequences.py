@@ -182,14 +182,13 @@ def countering(spaces: DataFrame) -> DataFrame:
 
 
 def smooth(frames: DataFrame, stream: str, order: str, label: str, window: int = 5) -> DataFrame:
-    """`smoothed`: the most frequent label among the `window` frames around each; a tie keeps the frame's own, else the least label."""
+    """`smoothed`: the most frequent label among the `window` frames around each; where two or more are, the frame's own."""
     half = window // 2
     around = F.collect_list(label).over(Window.partitionBy(stream).orderBy(order).rowsBetween(-half, half))
     told = frames.withColumn("around", around)
-    counts = F.transform(F.array_distinct("around"), lambda x: F.struct(F.size(F.filter("around", lambda y: y == x)).alias("n"), (x == F.col(label)).cast("int").alias("own"), x.alias("label")))
-    # most frequent, then the frame's own, then the least: sorted ascending by negated numbers
-    best = F.get(F.array_sort(F.transform(counts, lambda c: F.struct((-c["n"]).alias("n"), (-c["own"]).alias("own"), c["label"].alias("label")))), F.lit(0))["label"]
-    return told.withColumn("smoothed", best).drop("around")
+    counts = F.transform(F.array_distinct("around"), lambda x: F.struct(F.size(F.filter("around", lambda y: y == x)).alias("n"), x.alias("label")))
+    told = told.withColumn("counts", counts).withColumn("best", F.filter("counts", lambda c: c["n"] == F.array_max(F.transform("counts", lambda d: d["n"]))))
+    return told.withColumn("smoothed", F.when(F.size("best") == 1, F.col("best")[0]["label"]).otherwise(F.col(label))).drop("around", "counts", "best")
 
 
 def segments(frames: DataFrame, stream: str, order: str, label: str, least: int = 1, confidence: str | None = None) -> DataFrame:
@@ -208,3 +207,61 @@ def flips_per_minute(frames: DataFrame, stream: str, order: str, label: str, sec
     flip = (before != F.col(label)) & ~before.isin(*unknown) & ~F.col(label).isin(*unknown)
     told = frames.withColumn("flip", F.coalesce(flip, F.lit(False)))
     return told.groupBy(stream).agg(F.count_if("flip").alias("flips"), (F.max(seconds) - F.min(seconds)).alias("span")).withColumn("per_minute", F.try_divide(F.col("flips") * 60.0, F.col("span"))).drop("span")
+
+
+def match_stats(tagged: DataFrame, bout: str = BOUT) -> DataFrame:
+    """(bout, side, events, landed, failed, subs, controls, labels): what each side did in a bout."""
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    rows = tagged.where("side IS NOT NULL").groupBy(bout, "side")
+    return rows.agg(F.count("*").alias("events"), F.count_if(ok).alias("landed"), F.count_if(~F.coalesce(F.col("ok"), F.lit(True))).alias("failed"), F.count_if(F.col("type") == "submission").alias("subs"), F.count_if(F.col("type") == "control").alias("controls"), F.count_distinct("label").alias("labels"))
+
+
+def bout_graph(tagged: DataFrame, bout: str = BOUT) -> DataFrame:
+    """(bout, source, target, n, owner): steps between neighbouring events of a bout, whoever acts, and the side that takes most of them; ties to 'a'."""
+    w = whole(bout)
+    steps = tagged.where("side IS NOT NULL").withColumns({"source": F.lag("label").over(w)}).where(F.col("source").isNotNull() & (F.col("source") != F.col("label")))
+    sums = steps.groupBy(bout, "source", F.col("label").alias("target")).agg(F.count("*").alias("n"), F.count_if(F.col("side") == "a").alias("_a"))
+    return sums.withColumn("owner", F.when(F.col("_a") * 2 >= F.col("n"), "a").otherwise("b")).drop("_a")
+
+
+def perspective(events: DataFrame, bouts: DataFrame, bout: str = BOUT) -> DataFrame:
+    """Every event once per athlete of its bout (bout, athlete, opponent), with `who`: you, opponent or neutral."""
+    told = events.join(bouts.select(bout, "athlete", "opponent"), bout)
+    return told.withColumn("who", F.when(F.col("actor").isNull(), "neutral").when(F.col("actor") == F.col("athlete"), "you").otherwise("opponent"))
+
+
+def fold_lines(lines: DataFrame, stream: str, order: str, text: str, start: str, duration: str, most_chars: int = 1100, most_seconds: float = 120.0) -> DataFrame:
+    """(stream, segment, text, start, end, lines): lines of a stream put together until one more would be too long or too late.
+
+    Where a segment ends depends on where it began, so lines are clustered by stream, sorted and read in one pass; the open segment is all
+    that is held.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    rows = lines.select(F.col(stream).cast("string").alias("stream"), F.col(order).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(start).cast("double").alias("start"), F.col(duration).cast("double").alias("duration"))
+    rows = rows.where("start IS NOT NULL AND duration IS NOT NULL").repartition("stream").sortWithinPartitions("stream", "o")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, number, kept, size, began, ended = None, 0, [], 0, 0.0, 0.0
+        for frame in frames:
+            out = []
+            for name, _, words, at, lasts in frame.itertuples(index=False):
+                full = kept and (size + 1 + len(words) > most_chars or at + lasts - began > most_seconds)
+                if kept and (name != now or full):
+                    out.append((now, number, " ".join(kept), began, ended, len(kept)))
+                    kept, number = [], number + 1
+                if name != now:
+                    now, number, kept = name, 0, []
+                if not kept:
+                    began, size = at, -1
+                kept.append(words)
+                size += 1 + len(words)
+                ended = at + lasts
+            if out:
+                yield pd.DataFrame(out, columns=["stream", "segment", "text", "start", "end", "lines"])
+        if kept:
+            yield pd.DataFrame([(now, number, " ".join(kept), began, ended, len(kept))], columns=["stream", "segment", "text", "start", "end", "lines"])
+
+    return rows.mapInPandas(run, "stream string, segment int, text string, start double, end double, lines long")
