@@ -107,7 +107,7 @@ def minute_left(ts: Column, duration: Column, start: Column, absolute: Column) -
     """The minute remaining, as `6-5`; 'no time' where the time within the bout is unknown."""
     at = F.when(absolute, ts - start).otherwise(ts)
     minute = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(0.0), duration - at) / 60).cast("int"))
-    return F.coalesce(F.when(duration > 0, F.concat(minute.cast("string"), F.lit("-"), (minute - 1).cast("string"))), F.lit("no time"))
+    return F.coalesce(F.when((duration > 0) & at.isNotNull(), F.concat(minute.cast("string"), F.lit("-"), (minute - 1).cast("string"))), F.lit("no time"))
 
 
 def belt_rating(belt: Column) -> Column:

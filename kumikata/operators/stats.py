@@ -95,10 +95,17 @@ def ranks(frame: DataFrame, value: str, out: str) -> DataFrame:
     return frame.join(upto.select(value, (F.col("_u") - (F.col("_n") - 1) / 2.0).alias(out)), value)
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where one of both does not vary."""
+    known = F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.lit(1))
+    a, b = F.when(known.isNotNull(), F.col(x).cast("double")), F.when(known.isNotNull(), F.col(y).cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def spearman(frame: DataFrame, x: str, y: str) -> DataFrame:
     """(n, rho, lo, hi): rank correlation with Fisher's interval; none for fewer than 4 pairs."""
     known = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    told = ranks(ranks(known, x, "_rx"), y, "_ry").agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    told = ranks(ranks(known, x, "_rx"), y, "_ry").agg(F.count("*").alias("n"), correlation("_rx", "_ry").alias("rho"))
     rho = F.when(F.col("n") >= 4, F.col("rho"))
     z = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), rho)))
     se = Z95 / F.sqrt(F.greatest(F.col("n") - 3, F.lit(1)).cast("double"))
@@ -132,7 +139,7 @@ def posterior_effects(cells: DataFrame, context: str, condition: str, response:
 
 def partial_correlation(frame: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """(n, rxy, rxz, ryz, partial): correlation of x and y with z held."""
-    told = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).agg(F.count("*").alias("n"), F.corr(x, y).alias("rxy"), F.corr(x, z).alias("rxz"), F.corr(y, z).alias("ryz"))
+    told = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(z).isNotNull()).agg(F.count("*").alias("n"), correlation(x, y).alias("rxy"), correlation(x, z).alias("rxz"), correlation(y, z).alias("ryz"))
     down = F.sqrt((1 - F.col("rxz") ** 2) * (1 - F.col("ryz") ** 2))
     return told.withColumn("partial", F.try_divide(F.col("rxy") - F.col("rxz") * F.col("ryz"), down))
 
@@ -140,7 +147,7 @@ def partial_correlation(frame: DataFrame, x: str, y: str, z: str) -> DataFrame:
 def redundancy(frame: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, sibling, r): for each metric the one that it goes with most; one pass gives all correlations."""
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
-    row = frame.agg(*[F.corr(a, b).alias(f"{a}~{b}") for a, b in pairs])
+    row = frame.agg(*[correlation(a, b).alias(f"{a}~{b}") for a, b in pairs])
     both = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(o).alias("sibling"), F.col(f"`{a}~{b}`").alias("r")) for a, b in pairs for m, o in ((a, b), (b, a))])
     told = row.select(F.explode(both).alias("p")).select("p.*")
     return told.groupBy("metric").agg(F.min_by(F.struct("sibling", "r"), F.struct(-F.abs("r"), F.col("sibling"))).alias("b")).select("metric", "b.sibling", "b.r")

@@ -191,6 +191,8 @@ def silhouette(frame: DataFrame, vector: str, cluster: str) -> float:
 
 def importances(frame: DataFrame, features: list[str], outcome: str, seed: int = 42) -> DataFrame:
     """(metric, importance): what a random forest uses to tell the outcome."""
-    data = frame.select(array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])).alias("features"), F.col(outcome).cast("double").alias("label"))
+    told = frame.select(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("a"), F.col(outcome).cast("double").alias("label"))
+    # trees are drawn by partition and place: the same rows in the same places give the same trees
+    data = told.repartition(8, "a", "label").sortWithinPartitions("a", "label").select(array_to_vector("a").alias("features"), "label")
     model = RandomForestRegressor(numTrees=40, seed=seed).fit(data)
     return frame.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "metric string, importance double")
