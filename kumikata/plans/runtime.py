@@ -31,3 +31,11 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for `df` if it has at most `rows` rows, else `df` as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A hint that `df` grows with the data: it is joined by a shuffle, never broadcast on an estimate.
+
+    Estimates know nothing of what a generator or a Python step adds, so that a side of many millions of rows can pass for a few megabytes.
+    """
+    return df.hint("merge")
