@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kumikata.llm.labels import canonical, typed, words
 from kumikata.llm.names import parse, same_person
 from kumikata.llm.stripes import numbered
-from kumikata.plans.runtime import cut, small
+from kumikata.plans.runtime import cut, small, spread
 
 #: Places of a bout that are kept together in one row; a longer bout is several rows.
 CHUNK = 1024
@@ -69,6 +69,6 @@ def ordered(events: DataFrame, library: DataFrame, library_only: bool) -> tuple[
     spelled = lists.where("size(spellings) > 0").groupBy("match_id").agg(F.flatten(F.collect_list("spellings")).alias("actors"))
     alone = spelled.where("size(actors) = 1").select("match_id", F.create_map(F.col("actors")[0]["actor"], F.lit(0)).alias("sides"))
     sides = alone.unionByName(spelled.where("size(actors) > 1").mapInPandas(_sides, "match_id string, sides map<string,int>"))
-    numbers = lists.join(sides, "match_id", "left").withColumn("numbers", F.transform("spellings", lambda a: F.element_at("sides", a["actor"])))
+    numbers = lists.join(spread(sides), "match_id", "left").withColumn("numbers", F.transform("spellings", lambda a: F.element_at("sides", a["actor"])))
     side = lambda e: F.get("numbers", e["spelling"] - 1)
     return numbers.select("match_id", "chunk", F.transform("events", lambda e: F.struct(e["idx"].alias("idx"), side(e).alias("side"), e["code"].alias("code"), e["ts"].alias("ts"))).alias("events")), codes

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.functions.text import fold
-from kumikata.plans.runtime import cut, small
+from kumikata.plans.runtime import cut, small, spread
 
 # Remarks that people add to a label and that leave its meaning as it is.
 REMARKS = [
@@ -71,8 +69,8 @@ def reference(library: DataFrame, key: str = "node_key", aliases: str | None = "
     )
 
 
-def interchangeable(library: DataFrame, key: str, aliases: str | None) -> Column:
-    """A constant map: each word of the list to the other words that it uses after or before the same words.
+def interchangeable(library: DataFrame, key: str, aliases: str | None) -> DataFrame:
+    """(one, rivals): one row with a map of each word of the list to the other words that it uses after or before the same words.
 
     Read by the driver: the list is curated, its words are bounded by WORDS; a longer list is refused.
     """
@@ -88,7 +86,7 @@ def interchangeable(library: DataFrame, key: str, aliases: str | None) -> Column
         for place in at:
             places.setdefault(place, set()).add(word)
     out = {w: sorted({v for place in at for v in places[place] if abs(len(v) - len(w)) <= 4} - {w}) for w, at in sorted(beside.items())}
-    return F.from_json(F.lit(json.dumps(out)), "map<string,array<string>>")
+    return library.sparkSession.createDataFrame([(0, out)], "one int, rivals map<string,array<string>>")
 
 
 def segments(refs: DataFrame) -> DataFrame:
@@ -136,23 +134,25 @@ def canonical(labels: DataFrame, library: DataFrame, label: str = "label", key:
     """
     refs = cut(reference(library, key, aliases))
     known = small(refs.select("ref", "node_key"))
-    rivals = interchangeable(library, key, aliases)
-    vocab = F.map_keys(rivals)
+    # one row of bounded size; as a literal it would fill every plan that the driver keeps
+    rules = F.broadcast(interchangeable(library, key, aliases))
+    with_rules = lambda frame: frame.withColumn("one", F.lit(0)).join(rules, "one").drop("one")
+    vocab, rivals = F.map_keys("rivals"), F.col("rivals")
     base = labels.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct().withColumn("typed", typed(F.col("label")))
     # "kneel." stands for any word of the list that begins so
     tokens = F.split("typed", " ")
     stems = F.filter(tokens, lambda t: t.rlike(r"^\p{L}{3,}\.$"))
     full = F.filter(vocab, lambda v: F.col("stem").isNotNull() & v.startswith(F.col("stem")) & (F.length(v) > F.length("stem")))
-    base = base.withColumn("stem", F.regexp_replace(F.get(stems, F.lit(0)), r"\.", ""))
+    base = with_rules(base).withColumn("stem", F.regexp_replace(F.get(stems, F.lit(0)), r"\.", ""))
     spelled = base.withColumn("word", F.explode_outer(F.when(F.col("stem").isNotNull(), F.array_append(full, F.col("stem"))))).select(
         "label",
         F.when(F.col("word").isNotNull(), F.array_join(F.transform(tokens, lambda t: F.when(t == F.concat(F.col("stem"), F.lit(".")), F.col("word")).otherwise(t)), " ")).otherwise(F.col("typed")).alias("text"),
     )
     spelled = cut(spelled.withColumn("w", words(F.col("text"))).withColumn("sq", F.array_join("w", "")).select("label", "w", "sq"))
     exact = spelled.join(known, spelled["sq"] == known["ref"]).groupBy("label").agg(F.min("node_key").alias("node_key"), F.max("node_key").alias("other")).where("node_key = other").select("label", "node_key")
-    rest = spelled.join(exact, "label", "left_anti").where(F.length("sq").between(5, 80))
+    rest = spelled.join(spread(exact), "label", "left_anti").where(F.length("sq").between(5, 80))
     pairs = near(rest.select("sq").distinct(), refs)
-    judged = rest.join(pairs, "sq").join(small(refs.select("ref", "ref_words", "node_key")), "ref")
+    judged = with_rules(rest.join(spread(pairs), "sq").join(small(refs.select("ref", "ref_words", "node_key")), "ref"))
     misread = F.exists(
         F.arrays_zip(F.col("w").alias("w"), F.col("ref_words").alias("r")),
         lambda z: (z["w"] != z["r"]) & F.exists(F.coalesce(F.element_at(rivals, z["r"]), F.array()), lambda v: F.levenshtein(z["w"], v) < F.levenshtein(z["w"], z["r"])),
@@ -161,5 +161,5 @@ def canonical(labels: DataFrame, library: DataFrame, label: str = "label", key:
     best = judged.where(fits).groupBy("label", "node_key").agg(F.min("edits").alias("edits")).groupBy("label").agg(F.min_by("node_key", "edits").alias("node_key"), F.min("edits").alias("least"), F.collect_list("edits").alias("all"))
     found = best.where(F.size(F.filter("all", lambda e: e == F.col("least"))) == 1).select("label", "node_key")
     matched = exact.unionByName(found)
-    unmatched = spelled.select("label").distinct().join(matched, "label", "left_anti").withColumn("node_key", F.lit(None).cast("string"))
+    unmatched = spelled.select("label").distinct().join(spread(matched), "label", "left_anti").withColumn("node_key", F.lit(None).cast("string"))
     return matched.unionByName(unmatched)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.llm.components import components
-from kumikata.plans.runtime import cut
+from kumikata.plans.runtime import cut, spread
 
 # Words between given name and surname that name nobody.
 PARTICLES = frozenset("de da do das dos del della di du van von der den la le los el al bin ibn y e".split())
@@ -199,7 +199,7 @@ def link(names: DataFrame, name: str = "name", scope: str | None = None) -> Data
     full = forms.where("initials = 0").select("form", "scope", "word_a", "word_b", F.explode("keys").alias("key"))
     other = full.select("scope", "key", *[F.col(c).alias(n) for c, n in (("form", "other"), ("word_a", "other_a"), ("word_b", "other_b"))])
     close = "(least(levenshtein(word_a, other_a) + levenshtein(word_b, other_b), levenshtein(word_a, other_b) + levenshtein(word_b, other_a)) <= 3)"
-    blocked = full.join(other, ["scope", "key"]).where(f"form < other AND {close}").select("form", "other", "word_a", "word_b", "other_a", "other_b").distinct()
+    blocked = full.join(spread(other), ["scope", "key"]).where(f"form < other AND {close}").select("form", "other", "word_a", "word_b", "other_a", "other_b").distinct()
     edges = blocked.mapInPandas(_compare, "form string, other string")
     groups = components(forms.where("initials = 0").select(F.col("form").alias("node")), edges.select(F.col("form").alias("a"), F.col("other").alias("b")))
     # an initial: the persons whose one word begins so and whose other word sounds alike
@@ -211,15 +211,15 @@ def link(names: DataFrame, name: str = "name", scope: str | None = None) -> Data
     surname = F.when(F.length("word_a") > 1, F.col("word_a")).otherwise(F.col("word_b"))
     apart = F.when(F.substring("other_a", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_b"))).otherwise(99)
     apart = F.least(apart, F.when(F.substring("other_b", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_a"))).otherwise(99))
-    met = initial.join(begins, ["scope", "letter", "less"]).withColumn("apart", apart).where("apart <= 2").select("form", "other", "word_a", "word_b", "other_a", "other_b", "apart").distinct()
-    fits = met.mapInPandas(_compare, "form string, other string").join(met.select("form", "other", "apart"), ["form", "other"])
-    near = fits.join(groups.select(F.col("node").alias("other"), "component"), "other").groupBy("form", "component").agg(F.min("apart").alias("apart"))
+    met = initial.join(spread(begins), ["scope", "letter", "less"]).withColumn("apart", apart).where("apart <= 2").select("form", "other", "word_a", "word_b", "other_a", "other_b", "apart").distinct()
+    fits = met.mapInPandas(_compare, "form string, other string").join(spread(met.select("form", "other", "apart")), ["form", "other"])
+    near = fits.join(spread(groups.select(F.col("node").alias("other"), "component")), "other").groupBy("form", "component").agg(F.min("apart").alias("apart"))
     nearest = near.groupBy("form").agg(F.min("apart").alias("least"), F.collect_set(F.struct("apart", "component")).alias("all"))
     # only if one person alone is at the least distance
     chosen = nearest.withColumn("best", F.filter("all", lambda x: x["apart"] == F.col("least"))).where("size(best) = 1").select(F.col("form").alias("node"), F.col("best")[0]["component"].alias("component"))
-    lone = forms.where("initials > 0").select(F.col("form").alias("node")).join(chosen, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    persons = two.select("scope", "name", F.col("form").alias("node")).join(groups.unionByName(lone), "node").select("scope", "name", "component")
+    lone = forms.where("initials > 0").select(F.col("form").alias("node")).join(spread(chosen), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    persons = two.select("scope", "name", F.col("form").alias("node")).join(spread(groups.unionByName(lone)), "node").select("scope", "name", "component")
     alone = parsed.where("size(keys) = 0").select("scope", "name", F.concat_ws("\u0001", "scope", "name").alias("component"))
     every = cut(persons.unionByName(alone))
-    out = every.join(every.groupBy("component").agg(F.min("name").alias("person")), "component")
+    out = every.join(spread(every.groupBy("component").agg(F.min("name").alias("person"))), "component")
     return out.select("scope", "name", "person") if scope else out.select("name", "person")

@@ -9,7 +9,7 @@ from kumikata.functions.text import fold
 from kumikata.llm.labels import canonical
 from kumikata.llm.names import link
 from kumikata.llm.survivors import survivors
-from kumikata.plans.runtime import cut, table
+from kumikata.plans.runtime import cut, spread, table
 
 # The sources, the most trusted first.
 SOURCES = ("own_record", "opponent_record", "corpus", "manual")
@@ -71,7 +71,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "roster_records").where("athlete IS NOT NULL AND record_id IS NOT NULL")
     told = records.select("record_id", "athlete", "opp", "year", "method", "source", "updated_at").join(endings(records, table(spark, sf_dir, "technique_nodes")), "method", "left")
     persons = link(records, "opp", "athlete").select(F.col("scope").alias("athlete"), F.col("name").alias("opp"), "person")
-    told = told.join(persons, ["athlete", "opp"], "left").withColumn("known_year", F.when(usable_year(F.col("year")), F.col("year")))
+    told = told.join(spread(persons), ["athlete", "opp"], "left").withColumn("known_year", F.when(usable_year(F.col("year")), F.col("year")))
     told = cut(told)
     # initials that name several of the athlete's opponents
     unclear = told.where((F.col("opp") == F.col("person")) & ~usable_name(F.col("opp")) & F.col("known_year").isNotNull() & F.col("ending").isNotNull())
@@ -79,13 +79,13 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     letter = lambda c: F.element_at(F.filter(F.split(F.trim(F.regexp_replace(fold(c), r"[^\p{L}]+", " ")), " "), lambda w: F.length(w) == 1), 1)
     asked = unclear.select("athlete", "known_year", "ending", "opp", surname(F.col("opp")).alias("surname"), letter(F.col("opp")).alias("letter")).where("surname IS NOT NULL AND letter IS NOT NULL").distinct()
     full = told.where(usable_name(F.col("opp")) & ~F.col("opp").contains(",")).select("athlete", "known_year", "ending", F.col("person").alias("other"), fold(F.trim("opp")).alias("written"))
-    met = asked.join(full, ["athlete", "known_year", "ending"]).where(F.col("written").startswith(F.col("letter")) & (F.levenshtein(F.element_at(F.split("written", " "), -1), F.col("surname")) <= 1))
+    met = asked.join(spread(full), ["athlete", "known_year", "ending"]).where(F.col("written").startswith(F.col("letter")) & (F.levenshtein(F.element_at(F.split("written", " "), -1), F.col("surname")) <= 1))
     one = met.groupBy("athlete", "known_year", "ending", "opp").agg(F.min("other").alias("other"), F.max("other").alias("last")).where("other = last").drop("last")
-    told = told.join(one, ["athlete", "known_year", "ending", "opp"], "left").withColumn("person", F.coalesce("other", "person")).drop("other")
+    told = told.join(spread(one), ["athlete", "known_year", "ending", "opp"], "left").withColumn("person", F.coalesce("other", "person")).drop("other")
     # how many bouts the pair has
     pairs = told.groupBy("athlete", "person").agg(F.min("known_year").alias("y0"), F.max("known_year").alias("y1"), F.min("ending").alias("e0"), F.max("ending").alias("e1"))
     single = F.coalesce(F.col("y0") == F.col("y1"), F.lit(True)) & F.coalesce(F.col("e0") == F.col("e1"), F.lit(True))
-    told = told.join(pairs.withColumn("single", single).select("athlete", "person", "single"), ["athlete", "person"], "left")
+    told = told.join(spread(pairs.withColumn("single", single).select("athlete", "person", "single")), ["athlete", "person"], "left")
     bout = F.when(F.col("single"), F.array("athlete", "person")).when(F.col("known_year").isNotNull() & F.col("ending").isNotNull(), F.array("athlete", "person", F.col("known_year").cast("string"), "ending"))
     return told.withColumn("bout", F.to_json(bout))
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kumikata.llm.labels import canonical
-from kumikata.plans.runtime import table
+from kumikata.plans.runtime import spread, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node_id, node_key): each graph node without a library key; `''` where its label means no entry or is null."""
     nodes = table(spark, sf_dir, "graph_nodes").where("canonical_node_key IS NULL").select("node_id", "label")
     keys = canonical(nodes, table(spark, sf_dir, "technique_nodes"))
-    return nodes.join(keys, "label", "left").select("node_id", F.coalesce("node_key", F.lit("")).alias("node_key"))
+    return nodes.join(spread(keys), "label", "left").select("node_id", F.coalesce("node_key", F.lit("")).alias("node_key"))
 
 
 def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:

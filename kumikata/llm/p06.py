@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kumikata.llm.names import link
-from kumikata.plans.runtime import table
+from kumikata.plans.runtime import spread, table
 
 
 def spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b): two different strings that name one person, name_a < name_b by code point."""
     persons = link(spellings(spark, sf_dir))
     a, b = (persons.select("person", F.col("name").alias(f"name_{x}")) for x in "ab")
-    return a.join(b, "person").where("name_a < name_b").select("name_a", "name_b")
+    return a.join(spread(b), "person").where("name_a < name_b").select("name_a", "name_b")
 
 
 def p6_persons(spark: SparkSession, sf_dir: str) -> DataFrame:

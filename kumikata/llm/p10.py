@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kumikata.llm.lookalike import one_form
-from kumikata.plans.runtime import cut, table
+from kumikata.plans.runtime import cut, spread, table
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     several = prints.select("form", "stored").distinct().groupBy("form").count().where("count > 1").select("form")
     kept = prints.join(several, "form", "left_semi")
     a, b = (kept.select("form", F.col("stored").alias(f"stored_{x}"), F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
-    return a.join(b, "form").where("doc_id_a < doc_id_b AND stored_a <> stored_b").select("doc_id_a", "doc_id_b")
+    return a.join(spread(b), "form").where("doc_id_a < doc_id_b AND stored_a <> stored_b").select("doc_id_a", "doc_id_b")
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.llm.stripes import numbered
-from kumikata.plans.runtime import cut
+from kumikata.plans.runtime import cut, spread
 
 
 def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "loser", tie: str | None = None, ridge: float = 3.0, tolerance: float = 1e-7, rounds: int = 200) -> DataFrame:
@@ -37,8 +37,8 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
     for _ in range(rounds):
         if rz <= tolerance**2 * first or rz == 0:
             break
-        pulled = links.join(state.select(F.col("item").alias("b"), F.col("p").alias("pb")), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("n") * F.col("pb")).alias("pull"))
-        moved = cut(state.join(pulled, "item", "left").withColumn("ap", F.col("d") * F.col("p") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
+        pulled = links.join(spread(state.select(F.col("item").alias("b"), F.col("p").alias("pb"))), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("n") * F.col("pb")).alias("pull"))
+        moved = cut(state.join(spread(pulled), "item", "left").withColumn("ap", F.col("d") * F.col("p") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
         step = rz / moved.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
         new = moved.withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("ap")})
         now = new.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
