@@ -218,7 +218,9 @@ def frequent(sequences: DataFrame, items: int, steps: int = 3, least: int = 5, l
         ranks, n = np.where(ranks >= 0, compact[ranks], -1), len(used)
     machine = Transducer(steps, gap, n, follow)
     reduced = kept.mapInArrow(_reduced(ranks, gap), "items array<int>").where(F.size(F.array_distinct("items")) >= steps)
-    weighted = reduced.groupBy("items").agg(F.count("*").alias("n"))
+    # few bytes but much work: as many tasks as the session's shuffles have, whatever the bytes
+    tasks = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weighted = reduced.groupBy("items").agg(F.count("*").alias("n")).repartition(tasks)
     automata = weighted.mapInArrow(_transduce(machine), "pivot int, automaton binary, n long").groupBy("pivot", "automaton").agg(F.sum("n").alias("n"))
     mined = automata.mapInArrow(_mine(machine), "pattern array<int>, n long").groupBy("pattern").agg(F.sum("n").alias("support")).where(F.col("support") >= support)
     back = F.array(*[F.lit(int(names[i])) for i in range(n)]) if n else F.array().cast("array<int>")
