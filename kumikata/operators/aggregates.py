@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kumikata.plans.runtime import running_total
+
 TYPES = ("submission", "control", "pass", "takedown", "sweep", "transition", "guard", "escape")
 
 # Words that tell a family of submissions, in this order; the first that fits counts.
@@ -138,9 +140,9 @@ def clamped_z(frame: DataFrame, key: str, fallback: str, value: str, least: int
 
 def percentiles(frame: DataFrame, value: str) -> DataFrame:
     """With `percentile` (share of rows not above) and `ratio` to the mean."""
-    whole = Window.partitionBy(F.lit(0))
     counts = frame.groupBy(value).agg(F.count("*").alias("n"))
-    rank = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(value))).withColumn("all", F.sum("n").over(whole)).withColumn("mean", F.sum(F.col(value) * F.col("n")).over(whole) / F.sum("n").over(whole))
+    totals = counts.agg(F.sum("n").alias("all"), (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean")).withColumn("one", F.lit(0))
+    rank = running_total(counts, value, "n", "upto").withColumn("one", F.lit(0)).join(F.broadcast(totals), "one")
     return frame.join(rank.select(value, (F.col("upto") / F.col("all")).alias("percentile"), F.try_divide(F.col(value).cast("double"), F.col("mean")).alias("ratio")), value)
 
 

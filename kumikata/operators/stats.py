@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kumikata.functions.special import beta_quantile, chi2_p, fisher_p
+from kumikata.plans.runtime import running_total
 
 Z95 = 1.959963984540054
 
@@ -91,7 +92,7 @@ def benjamini_hochberg(tests: DataFrame, p: str, ident: str) -> DataFrame:
 def ranks(frame: DataFrame, value: str, out: str) -> DataFrame:
     """Average ranks of `value`: equal values share the mean of their places. Places come from the counts of the values."""
     counts = frame.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = counts.withColumn("_u", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy(value)))
+    upto = running_total(counts, value, "_n", "_u")
     return frame.join(upto.select(value, (F.col("_u") - (F.col("_n") - 1) / 2.0).alias(out)), value)
 
 

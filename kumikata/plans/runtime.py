@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast, whatever its content; checked by `small`.
@@ -39,3 +39,19 @@ def spread(df: DataFrame) -> DataFrame:
     Estimates know nothing of what a generator or a Python step adds, so that a side of many millions of rows can pass for a few megabytes.
     """
     return df.hint("merge")
+
+
+def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+    """With `out`, the sum of `amount` over all rows up to each by `order`, which must be unique: no task sorts more than its range.
+
+    Ranges are sorted where they lie; only their sums come to the driver.
+    """
+    ranged = cut(df.orderBy(order)).withColumn("_part", F.spark_partition_id())
+    before, total = {}, 0
+    for part, s in sorted(ranged.groupBy("_part").agg(F.sum(amount)).collect()):
+        before[part], total = total, total + (s or 0)
+    if not before:
+        return df.withColumn(out, F.lit(0).cast("long"))
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("_part"))
+    w = Window.partitionBy("_part").orderBy(order)
+    return ranged.withColumn(out, F.sum(amount).over(w) + start).drop("_part")
