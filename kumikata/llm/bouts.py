@@ -29,7 +29,7 @@ def _sides(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 counts[actor["actor"]] = counts.get(actor["actor"], 0) + actor["n"]
             for name in sorted(counts, key=lambda a: (-counts[a], a)):
                 parsed = parse(name)
-                fits = [i for i, side in enumerate(sides) if any(p == parsed or same_person(p, parsed) for p in side)]
+                fits = [i for i, side in enumerate(sides) if any(p == parsed or same_person(p, parsed) for p in side)] or [i for i, side in enumerate(sides) if any(same_person(p, parsed, most=2) for p in side)]
                 if fits:
                     sides[fits[0]].append(parsed)
                 else:

@@ -127,13 +127,16 @@ def edits(a: str, b: str, most: int = EDITS) -> int:
 
 
 @lru_cache(maxsize=500_000)
-def same_word(a: str, b: str) -> bool:
-    """Whether two words are spellings of one: equal, or alike and one slip apart."""
-    return a == b or (min(len(a), len(b)) > 3 and edits(a, b) <= EDITS and jaro_winkler(a, b) >= SIMILAR)
+def same_word(a: str, b: str, most: int = EDITS) -> bool:
+    """Whether two words are spellings of one: equal, or alike and `most` slips apart at most."""
+    return a == b or (min(len(a), len(b)) > 3 and edits(a, b, most) <= most and jaro_winkler(a, b) >= SIMILAR)
 
 
-def same_person(a: tuple[str, str] | None, b: tuple[str, str] | None, initials: bool = True) -> bool:
-    """Whether two parsed names can name one person, their words in either order; an initial agrees with its letter."""
+def same_person(a: tuple[str, str] | None, b: tuple[str, str] | None, initials: bool = True, most: int = EDITS) -> bool:
+    """Whether two parsed names can name one person, their words in either order; an initial agrees with its letter.
+
+    `most` slips may lie between the words; two where few people are in question, so that two misspellings meet without the right name.
+    """
     if not a or not b:
         return False
 
@@ -142,7 +145,7 @@ def same_person(a: tuple[str, str] | None, b: tuple[str, str] | None, initials:
             return False
         if len(x) == 1 or len(y) == 1:
             return initials and x[0] == y[0]
-        return same_word(x, y)
+        return same_word(x, y, most)
 
     return any(agree(a[0], x) and agree(a[1], y) and (max(len(a[0]), len(x)) > 1 and min(len(a[1]), len(y)) > 1 or min(len(a[0]), len(x)) > 1) for x, y in (b, b[::-1]))
 
@@ -169,19 +172,22 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["scope", "name", "word_a", "word_b", "initials", "keys"])
 
 
-def _compare(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in pairs:
-        fits = [same_person((a, b), (c, d)) for a, b, c, d in zip(frame["word_a"], frame["word_b"], frame["other_a"], frame["other_b"], strict=True)]
-        yield frame.loc[fits, ["form", "other"]]
+def _compare(most: int):
+    def run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in pairs:
+            fits = [same_person((a, b), (c, d), most=most) for a, b, c, d in zip(frame["word_a"], frame["word_b"], frame["other_a"], frame["other_b"], strict=True)]
+            yield frame.loc[fits, ["form", "other"]]
+
+    return run
 
 
-def link(names: DataFrame, name: str = "name", scope: str | None = None) -> DataFrame:
+def link(names: DataFrame, name: str = "name", scope: str | None = None, most: int = EDITS) -> DataFrame:
     """Link the spellings of one person: (name, person), one row for each different name that is not null.
 
     `person` is the least spelling, by code point, of those linked. With a `scope` column (a string), names are linked within equal scopes only, and
     the result is (scope, name, person). Method: the two outer words of a name (after repair of code pages, unaccented, without
     epithets and particles, nicknames resolved) are blocked by their phonetic codes, either order, one consonant more or less
-    allowed; pairs within a block are compared by the nickname table, Jaro-Winkler and the edits between their words; connected
+    allowed; pairs within a block are compared by the nickname table, Jaro-Winkler and at most `most` edits between their words; connected
     components of the accepted pairs are the persons. A name with an initial joins a person only if that initial and surname can
     mean no other person.
 
@@ -200,7 +206,7 @@ def link(names: DataFrame, name: str = "name", scope: str | None = None) -> Data
     other = full.select("scope", "key", *[F.col(c).alias(n) for c, n in (("form", "other"), ("word_a", "other_a"), ("word_b", "other_b"))])
     close = "(least(levenshtein(word_a, other_a) + levenshtein(word_b, other_b), levenshtein(word_a, other_b) + levenshtein(word_b, other_a)) <= 3)"
     blocked = full.join(spread(other), ["scope", "key"]).where(f"form < other AND {close}").select("form", "other", "word_a", "word_b", "other_a", "other_b").distinct()
-    edges = blocked.mapInPandas(_compare, "form string, other string")
+    edges = blocked.mapInPandas(_compare(most), "form string, other string")
     groups = components(forms.where("initials = 0").select(F.col("form").alias("node")), edges.select(F.col("form").alias("a"), F.col("other").alias("b")))
     # an initial: the persons whose one word begins so and whose other word sounds alike
     begins = full.select("form", "scope", "word_a", "word_b", F.substring_index("key", "|", -1).alias("less")).distinct()
@@ -212,7 +218,7 @@ def link(names: DataFrame, name: str = "name", scope: str | None = None) -> Data
     apart = F.when(F.substring("other_a", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_b"))).otherwise(99)
     apart = F.least(apart, F.when(F.substring("other_b", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_a"))).otherwise(99))
     met = initial.join(spread(begins), ["scope", "letter", "less"]).withColumn("apart", apart).where("apart <= 2").select("form", "other", "word_a", "word_b", "other_a", "other_b", "apart").distinct()
-    fits = met.mapInPandas(_compare, "form string, other string").join(spread(met.select("form", "other", "apart")), ["form", "other"])
+    fits = met.mapInPandas(_compare(most), "form string, other string").join(spread(met.select("form", "other", "apart")), ["form", "other"])
     near = fits.join(spread(groups.select(F.col("node").alias("other"), "component")), "other").groupBy("form", "component").agg(F.min("apart").alias("apart"))
     nearest = near.groupBy("form").agg(F.min("apart").alias("least"), F.collect_set(F.struct("apart", "component")).alias("all"))
     # only if one person alone is at the least distance

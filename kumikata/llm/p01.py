@@ -64,13 +64,13 @@ def endings(records: DataFrame, library: DataFrame) -> DataFrame:
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records with `bout`, which is equal for those that tell of one bout of one athlete, and null for those that tell of none.
 
-    Opponents are linked among the records of one athlete. Records of a pair with at most one year and one ending are one bout; those of a pair with
+    Opponents are linked among the records of one athlete, where two slips do not lead to somebody else. Records of a pair with at most one year and one ending are one bout; those of a pair with
     several are told apart by year and ending, and there a record that lacks either joins none. An initial that can mean several opponents
     of the athlete goes to the one with a record of the same year and ending, if that is one alone.
     """
     records = table(spark, sf_dir, "roster_records").where("athlete IS NOT NULL AND record_id IS NOT NULL")
     told = records.select("record_id", "athlete", "opp", "year", "method", "source", "updated_at").join(endings(records, table(spark, sf_dir, "technique_nodes")), "method", "left")
-    persons = link(records, "opp", "athlete").select(F.col("scope").alias("athlete"), F.col("name").alias("opp"), "person")
+    persons = link(records, "opp", "athlete", most=2).select(F.col("scope").alias("athlete"), F.col("name").alias("opp"), "person")
     told = told.join(spread(persons), ["athlete", "opp"], "left").withColumn("known_year", F.when(usable_year(F.col("year")), F.col("year")))
     told = cut(told)
     # initials that name several of the athlete's opponents

@@ -239,6 +239,14 @@ def test_names(spark):
     assert names.link(spark.createDataFrame([], "name string")).count() == 0
 
 
+def test_two_slips_meet_where_few_people_are_in_question(spark, library):
+    rows = [_event(i, "m", i, "Standing Walnut Tilt", a, float(i)) for i, a in enumerate(["Kirsten Mirepro", "Kiki Mriepuro", "Bronwen Belipura", "Bronwen Belipura"])]
+    bouts, _ = ordered(spark.createDataFrame(rows, EVENTS), library, library_only=False)
+    assert sorted((r.first_idx, r.last_idx) for r in runs(bouts).collect()) == [(0, 1), (2, 3)]
+    two = spark.createDataFrame([("t", "Kirsten Mirepro"), ("t", "Kirsten Mriepuro")], "team string, name string")
+    assert [names.link(two, "name", "team", most=k).select("person").distinct().count() for k in (1, 2)] == [2, 1]
+
+
 def test_names_within_a_scope(spark):
     rows = [("t1", "Simone Lobomese"), ("t1", "S. Lobomese"), ("t2", "Sofia Lobomese"), ("t2", "S. Lobomese"), (None, "S. Lobomese")]
     found = {(r.team, r.name): r.person for r in names.link(spark.createDataFrame(rows, "team string, name string"), "name", "team").withColumnRenamed("scope", "team").collect()}
