@@ -8,6 +8,7 @@ with the vocabulary, not with the events.
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Callable
 
@@ -483,25 +484,28 @@ def compare_partitions(a: DataFrame, b: DataFrame) -> DataFrame:
 def bootstrap_stability(units: DataFrame, unit: str, draws: int = 20, seed: int = 42) -> DataFrame:
     """(members, mean_jaccard, p10): how well each community of the pooled graph comes back when units are drawn again with replacement.
 
-    `units` has (unit, source, target, weight), a graph's evidence by unit. Each draw is a group of its own, so draws run side by side.
+    `units` has (unit, source, target, weight), a graph's evidence by unit. How often a draw has a unit is Poisson(1) by hash, so that evidence is added
+    up to one graph per draw before any of it is gathered; draws then run side by side, each beside the pooled graph.
     """
-    rows = units.select(F.col(unit).cast("string").alias("unit"), "source", "target", F.col("weight").cast("double").alias("weight"))
+    u = (F.xxhash64(F.lit(seed), F.col(unit).cast("string"), "draw").bitwiseAND((1 << 40) - 1) + 0.5) / float(1 << 40)
+    upto, term, times = math.exp(-1), math.exp(-1), F.lit(0)
+    for i in range(1, 9):
+        times = times + F.when(u > upto, 1).otherwise(0)
+        term /= i
+        upto += term
+    spread = units.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("times", times)
+    drawn = spread.groupBy("draw", "source", "target").agg(F.sum(F.col("weight") * F.col("times")).cast("double").alias("weight"), F.sum("weight").cast("double").alias("pooled"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        draw = int(pdf["draw"].iloc[0])
-        rng = np.random.default_rng(seed + draw)
-        names = np.array(sorted(pdf["unit"].unique()))
-        counts = pd.Series(rng.choice(names, len(names))).value_counts()
-        took = pdf.assign(weight=pdf["weight"] * pdf["unit"].map(counts).fillna(0))
-        whole, near = _undirected(pdf)
+        pdf = pdf.sort_values(["source", "target"])
+        whole, near = _undirected(pdf.assign(weight=pdf["pooled"]))
         base, _ = connected_parts(louvain_parts(whole, near, seed=seed), near)
-        again, near2 = _undirected(took[took["weight"] > 0])
+        again, near2 = _undirected(pdf[pdf["weight"] > 0])
         parts, _ = connected_parts(louvain_parts(again, near2, seed=seed), near2)
         best = [max((len(set(p) & set(q)) / len(set(p) | set(q)) for q in parts), default=0.0) for p in base]
         return pd.DataFrame({"members": base, "jaccard": best})
 
-    spread = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    found = spread.groupBy("draw").applyInPandas(solve, "members array<string>, jaccard double")
+    found = drawn.groupBy("draw").applyInPandas(solve, "members array<string>, jaccard double")
     return found.groupBy("members").agg(F.round(F.avg("jaccard"), 4).alias("mean_jaccard"), F.round(F.percentile("jaccard", F.lit(0.1)), 4).alias("p10"))
 
 
