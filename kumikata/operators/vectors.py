@@ -13,6 +13,9 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kumikata.operators.joins import merge_components
+from kumikata.plans.runtime import cut
+
 #: Rows of one block of vectors.
 BLOCK = 2048
 
@@ -196,3 +199,30 @@ def importances(frame: DataFrame, features: list[str], outcome: str, seed: int =
     data = told.repartition(8, "a", "label").sortWithinPartitions("a", "label").select(array_to_vector("a").alias("features"), "label")
     model = RandomForestRegressor(numTrees=40, seed=seed).fit(data)
     return frame.sparkSession.createDataFrame(list(zip(features, map(float, model.featureImportances.toArray()), strict=True)), "metric string, importance double")
+
+
+def density_clusters(frame: DataFrame, ident: str, vector: str, least: float, neighbours_: int = 3) -> DataFrame:
+    """(ident, cluster, role): clusters of vectors that have `neighbours_` others at least `least` alike, with those beside them; the rest is noise.
+
+    Cores are joined to clusters by components over their links; a border vector goes to its most alike core's cluster. A cluster is named by its
+    least core.
+    """
+    pairs = similar_pairs(frame.withColumn("_one", F.lit("x")), ident, vector, "_one", least, True)
+    links = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine")))
+    cores = links.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= neighbours_).select(F.col("a").alias("node"))
+    between = links.join(cores.withColumnRenamed("node", "a"), "a", "left_semi").join(cores.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    named = merge_components(between, cores)
+    beside = links.join(cores.withColumnRenamed("node", "a"), "a", "left_anti").join(named.select(F.col("node").alias("b"), "component"), "b")
+    border = beside.groupBy(F.col("a").alias("node")).agg(F.min_by("component", F.struct(-F.round("cosine", 9), F.col("b"))).alias("component"))
+    told = named.withColumn("role", F.lit("core")).unionByName(border.withColumn("role", F.lit("border")))
+    ids = frame.select(F.col(ident).cast("long").alias("node"))
+    return ids.join(told, "node", "left").select(F.col("node").alias(ident), F.col("component").alias("cluster"), F.coalesce("role", F.lit("noise")).alias("role"))
+
+
+def next_moves(steps: DataFrame, who: str, top: int = 3, weight: float = 0.5) -> DataFrame:
+    """(who, source, rank, target, p): what someone is likely to do next, own habits blended with everybody's over what either has done from there."""
+    own = steps.groupBy(who, "source", "target").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(who, "source"))).select(who, "source", "target", "p")
+    pooled = steps.groupBy("source", "target").agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("source"))).select("source", "target", "p")
+    everyone = own.select(who, "source").distinct().join(pooled, "source").select(who, "source", "target", "p")
+    told = blend(own, everyone, [who, "source"], "target", "p", weight)
+    return told.withColumn("rank", F.row_number().over(Window.partitionBy(who, "source").orderBy(F.desc(F.round("p", 9)), "target"))).where(F.col("rank") <= top).select(who, "source", "rank", "target", "p")

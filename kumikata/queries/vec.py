@@ -101,6 +101,8 @@ QUERIES = {
     "decision_criteria": lambda spark, d: flow.criteria(flow.chains(events(spark, d)), "action", "condition", "response"),
     "flowchart_tree": lambda spark, d: flow.tree(flow.aggregate(flow.chains(events(spark, d)))),
     "condition_bundles": lambda spark, d: flow.chains(events(spark, d)).groupBy("condition").agg(F.count("*").alias("n"), F.count_distinct("actor").alias("actors")),
+    "density_clusters": lambda spark, d: v.density_clusters(_vectors(spark, d), "vec_id", "embedding", 0.3),
+    "next_move_prior": lambda spark, d: _r(v.next_moves(s.transitions(events(spark, d)), "actor"), "p", digits=8),
     "held_positions": lambda spark, d: flow.positions(events(spark, d)).groupBy("held", "type").agg(F.count("*").alias("n")),
 }
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -129,5 +131,6 @@ ORACLES = {
     "aggregate_patterns": f"{_W}, {_CH}, {_AG} SELECT *, round((successes + 1) / (resolved + 2), 6) AS rate FROM ag",
     "flowchart_tree": f"{_W}, {_CH}, {_AG}, f AS (SELECT action, condition, sum(n) AS cn FROM ag WHERE condition IS NOT NULL GROUP BY 1, 2), f2 AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY cn DESC, condition) AS branch FROM f) SELECT action, condition, response, branch::INT AS branch, row_number() OVER (PARTITION BY action, condition ORDER BY n DESC, response)::INT AS answer, n FROM ag JOIN f2 USING (action, condition) WHERE branch <= 3 QUALIFY answer <= 2",
     "condition_bundles": f"{_W}, {_CH} SELECT condition, count(*) AS n, count(DISTINCT actor) AS actors FROM ch GROUP BY 1",
+    "next_move_prior": f"{_W}, {_OWN}, o AS (SELECT actor, source, target, count(*) / sum(count(*)) OVER (PARTITION BY actor, source) AS p FROM st GROUP BY 1, 2, 3), q AS (SELECT source, target, count(*) / sum(count(*)) OVER (PARTITION BY source) AS p FROM st GROUP BY 1, 2), k AS (SELECT DISTINCT actor, source FROM o), r AS (SELECT k.actor, k.source, q.target, sqrt(greatest(coalesce(o.p, 0), 1e-6)) * sqrt(greatest(q.p, 1e-6)) AS raw FROM k JOIN q ON q.source = k.source LEFT JOIN o ON o.actor = k.actor AND o.source = k.source AND o.target = q.target), n AS (SELECT actor, source, target, raw / sum(raw) OVER (PARTITION BY actor, source) AS p FROM r) SELECT actor, source, row_number() OVER (PARTITION BY actor, source ORDER BY round(p, 9) DESC, target)::INT AS rank, target, round(p, 8) AS p FROM n QUALIFY rank <= 3",
     "held_positions": f"{_W}, h AS (SELECT type, last_value(CASE WHEN type IN ('control', 'guard') THEN label END IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY i) AS held FROM ev) SELECT held, type, count(*) AS n FROM h GROUP BY 1, 2",
 }

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kumikata.functions import keys, special
-from kumikata.operators import aggregates, flow, graphs, joins, ratings, sequences, stats, vectors
+from kumikata.operators import aggregates, flow, graphs, joins, profiles, ratings, sequences, stats, vectors
 from kumikata.sources import readers, sinks
 
 
@@ -314,3 +314,27 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="already exists"):
         sinks.append_run(frame, str(tmp_path / "runs"), "r1")
     assert sinks.long_table({"x": frame}).count() == 4
+
+
+def test_density_clusters_have_borders_and_noise(spark):
+    angles = [0.0, 0.05, 0.1, 0.15, 0.42, 2.0, 2.05, 2.1, 2.15, 4.0]
+    frame = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in enumerate(angles)], "id long, v array<double>")
+    got = {r.id: (r.cluster, r.role) for r in vectors.density_clusters(frame, "id", "v", math.cos(0.3), 3).collect()}
+    assert {got[i] for i in range(4)} == {(0, "core")} and {got[i] for i in range(5, 9)} == {(5, "core")}
+    assert got[4] == (0, "border") and got[9] == (None, "noise")
+
+
+def test_lineage_and_overlaps(spark):
+    old = spark.createDataFrame([(1, list("abcd")), (2, list("wx"))], "community int, members array<string>")
+    new = spark.createDataFrame([(7, list("abc")), (8, list("d")), (9, list("q"))], "community int, members array<string>")
+    got = {(r.kind, r.old, r.new) for r in profiles.lineage(old, new, 0.2).collect()}
+    assert got == {("kept", 1, 7), ("split", 1, 8), ("born", None, 9), ("gone", 2, None)}
+    pairs = spark.createDataFrame([("x", "y"), ("x", "z")], "a string, b string")
+    sets = spark.createDataFrame([("x", ["p", "q"]), ("y", ["q", "r"])], "who string, items array<string>")
+    assert {(r.b, r.shared, round(r.jaccard, 3)) for r in profiles.overlaps(pairs, sets, "who").collect()} == {("y", 1, 0.333), ("z", 0, 0.0)}
+
+
+def test_mashed_events_are_split(spark, bout):
+    rules = spark.createDataFrame([("armbar", "guard pull", "armbar finish")], "label string, first string, second string")
+    parts = profiles.split_mashed(bout.where("label = 'armbar'"), rules).orderBy("part").collect()
+    assert [(r.label, r.ok, r.ts) for r in parts] == [("guard pull", None, 40.0), ("armbar finish", True, 41.0)]
