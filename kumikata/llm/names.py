@@ -51,7 +51,7 @@ def repaired(text: str) -> str:
     return text
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def parse(name: str) -> tuple[str, str] | None:
     """(first, last): the two outer words of a name, unaccented, without particles and epithets; "Last, First" is turned round.
 
@@ -126,7 +126,7 @@ def edits(a: str, b: str, most: int = EDITS) -> int:
     return row[-1]
 
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=50_000)
 def same_word(a: str, b: str, most: int = EDITS) -> bool:
     """Whether two words are spellings of one: equal, or alike and `most` slips apart at most."""
     return a == b or (min(len(a), len(b)) > 3 and edits(a, b, most) <= most and jaro_winkler(a, b) >= SIMILAR)

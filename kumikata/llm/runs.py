@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of the symbols begin here; a place without an event to repeat, and a stop between two places, have their own.
-FIRST, NOTHING, STOP = 0x100, "\u0001", "\u0002"
+from kumikata.llm.bouts import CHUNK
+from kumikata.plans.runtime import cut
+
+#: A place without an event to repeat, and a stop between two places too far apart, have their own symbols; the others follow from 0x100 on.
+NOTHING, STOP = "\u0001", "\u0002"
+#: As many symbols as a chunk can have different events; the n-th event seen takes the n-th, so that low places are the usual ones.
+SYMBOLS = "".join(map(chr, range(0x100, 0x100 + CHUNK)))
 
 
 def symbol(number: Column) -> Column:
-    """The Unicode character of a number from 1 on; those of a chunk stay far below the surrogates."""
-    return F.decode(F.unhex(F.lpad(F.hex(number + FIRST), 4, "0")), "UTF-16BE")
+    """The character of a number from 1 to CHUNK."""
+    return F.substring(F.lit(SYMBOLS), number.cast("int"), F.lit(1))
 
 
 def pieces(bouts: DataFrame, gap: float) -> DataFrame:
     """Each chunk's runs of equal symbols with (start, size), in order, by a regular expression with a back-reference."""
-    key = F.transform("events", lambda e: F.when(e["side"].isNotNull() & e["code"].isNotNull(), F.struct(e["side"].alias("side"), e["code"].alias("code"))))
+    key = F.transform("events", lambda e: e["side"].cast("long") * (1 << 32) + e["code"])
     coded = bouts.withColumn("keys", key).withColumn("known", F.array_distinct("keys"))
     late = lambda i: (i > 0) & (F.get("events", i)["ts"] - F.get("events", i - 1)["ts"] > gap)
     marks = F.transform("keys", lambda k, i: F.concat(F.when(late(i), F.lit(STOP)).otherwise(F.lit("")), F.when(k.isNull(), F.lit(NOTHING)).otherwise(symbol(F.array_position("known", k)))))
@@ -51,10 +56,11 @@ def runs(bouts: DataFrame, gap: float = 30.0) -> DataFrame:
     """
     at = lambda i: F.get("events", i)
     end = F.col("start") + F.col("size") - 1
-    cut_up = pieces(bouts, gap).select(
+    # written once: the inner runs and the outer ones are read from it, not worked out twice
+    cut_up = cut(pieces(bouts, gap).select(
         "match_id", "chunk", at(F.col("start"))["idx"].alias("first_idx"), at(end)["idx"].alias("last_idx"), at(end)["side"].alias("side"), at(end)["code"].alias("code"), F.col("size").alias("count"),
         at(F.col("start"))["ts"].alias("first_ts"), at(end)["ts"].alias("last_ts"), (F.col("start") == 0).alias("opens"), (end == F.size("events") - 1).alias("closes"),
-    )
+    ))
     outer = cut_up.where("opens OR closes")
     # over the outer runs alone: two a chunk
     w = Window.partitionBy("match_id").orderBy("chunk", "first_idx")
