@@ -10,7 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -509,16 +509,100 @@ def bootstrap_stability(units: DataFrame, unit: str, draws: int = 20, seed: int
     return found.groupBy("members").agg(F.round(F.avg("jaccard"), 4).alias("mean_jaccard"), F.round(F.percentile("jaccard", F.lit(0.1)), 4).alias("p10"))
 
 
-def walks(edges: DataFrame, length: int, per_node: int, seed: int = 7) -> DataFrame:
-    """(walk, step, label): seeded random walks along edge weights, all walks a step at a time."""
-    ways = cut(edges.select("source", "target", F.col("weight").cast("double").alias("weight")).withColumns({"upto": F.sum("weight").over(Window.partitionBy("source").orderBy("target")), "all": F.sum("weight").over(Window.partitionBy("source"))}))
-    at = ways.select(F.col("source").alias("label")).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_node)))).withColumn("walk", F.concat_ws("#", "label", "k")).select("walk", F.lit(0).alias("step"), "label")
-    out = at
-    for step in range(1, length):
-        dice = (F.xxhash64("walk", F.lit(step), F.lit(seed)).bitwiseAND((1 << 30) - 1) + 0.5) / float(1 << 30)
-        ahead = at.withColumn("dice", dice).join(ways, F.col("label") == F.col("source")).where("upto >= dice * all")
-        at = cut(ahead.groupBy("walk").agg(F.min_by("target", "upto").alias("label")).select("walk", F.lit(step).alias("step"), "label"))
-        out = out.unionByName(at)
-    return out
-
+def walk_sets(edges: DataFrame, length: int = 40, per_node: int = 50, seed: int = 7) -> tuple[DataFrame, list[str]]:
+    """((nodes), labels): the different nodes of each seeded random walk along edge weights, as ascending places in `labels`, all nodes of the graph by name.
 
+    `per_node` walks start at every node with a way out; one ends after `length` nodes or where no way leads on. The graph is handed to every task,
+    some 20 bytes an edge; tasks divide the walks.
+    """
+    edges, session = cut(edges.select("source", "target", F.col("weight").cast("double").alias("weight"))), edges.sparkSession
+    labels = sorted(r[0] for r in edges.select(F.explode(F.array("source", "target")).alias("label")).distinct().collect())
+    places = session.createDataFrame(pd.DataFrame({"label": labels, "place": range(len(labels))}), "label string, place int")
+    known = edges.join(places.toDF("source", "s"), "source").join(places.toDF("target", "t"), "target").select("s", "t", "weight").toArrow()
+    source, target, weight = (known.column(c).to_numpy() for c in ("s", "t", "weight"))
+    order = np.lexsort((target, source))
+    source, target, upto = source[order], target[order], np.cumsum(weight[order])
+    first, last = (np.searchsorted(source, np.arange(len(labels)), side=x) for x in ("left", "right"))
+    before = np.concatenate([[0.0], upto])
+    starts = np.flatnonzero(last > first)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            dice = np.stack(frame["dice"].to_numpy())
+            at = starts[frame["id"].to_numpy() // per_node]
+            seen = [at]
+            for step in range(length - 1):
+                low, high = before[first[at]], before[last[at]]
+                way = np.searchsorted(upto, low + dice[:, step] * (high - low), side="right")
+                at = np.where((at >= 0) & (high > low), target[np.clip(way, first[at], np.maximum(last[at] - 1, 0))], -1)
+                seen.append(at)
+            nodes = np.sort(np.stack(seen, 1), axis=1)
+            new = nodes >= 0
+            new[:, 1:] &= nodes[:, 1:] != nodes[:, :-1]
+            yield pd.DataFrame({"nodes": [row[keep] for row, keep in zip(nodes, new, strict=True)]})
+
+    parts = min(32, int(session.conf.get("spark.sql.shuffle.partitions")))
+    dice = F.transform(F.sequence(F.lit(1), F.lit(length - 1)), lambda step: (F.xxhash64("id", step, F.lit(seed)).bitwiseAND((1 << 30) - 1) + 0.5) / float(1 << 30))
+    return cut(session.range(0, len(starts) * per_node, 1, parts).select("id", dice.alias("dice")).mapInPandas(run, "nodes array<int>")), labels
+
+
+def cooccurrence_product(sets: DataFrame, size: int, block: np.ndarray) -> np.ndarray:
+    """The product of a block of columns with the matrix of how many walks two different nodes share.
+
+    With M, a row per walk and a one per node of it, that matrix is M'M less its diagonal: each task adds up its walks' rows, one block
+    a task comes to the driver, and no pair of nodes is ever a row.
+    """
+    width = block.shape[1]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros((width, size))
+        for frame in frames:
+            nodes = np.concatenate(frame["nodes"].to_numpy())
+            long = np.array([len(x) for x in frame["nodes"]])
+            rows = block[nodes]
+            sums = (np.repeat(np.add.reduceat(rows, np.cumsum(long) - long, axis=0), long, axis=0) - rows).T
+            for c in range(width):
+                out[c] += np.bincount(nodes, weights=sums[c], minlength=size)
+        yield pd.DataFrame({"x": [out.tobytes()]})
+
+    # summed in the order of the parts, so that the same walks give the same last digits
+    parts = sets.mapInPandas(run, "x binary").withColumn("part", F.spark_partition_id()).collect()
+    return sum((np.frombuffer(r["x"]).reshape(width, size) for r in sorted(parts, key=lambda r: r["part"])), np.zeros((width, size))).T
+
+
+def walk_embedding(edges: DataFrame, dim: int = 16, length: int = 40, per_node: int = 50, seed: int = 7, rounds: int = 40, tolerance: float = 1e-5) -> DataFrame:
+    """(label, vector): weighted random walks, how many of them two nodes share, and that matrix's truncated singular value decomposition (U S).
+
+    The matrix is symmetric: block Lanczos with full orthogonalisation, until the `dim` largest pairs stand within `tolerance` of the largest value.
+    The driver holds blocks of nodes x (dim + 8). A vector's sign is such that the largest entry of each dimension is positive; a graph of fewer than
+    `dim` dimensions gets zeros in the rest.
+    """
+    sets, labels = walk_sets(edges, length, per_node, seed)
+    n = len(labels)
+    schema = "label string, vector array<double>"
+    if not n:
+        return edges.sparkSession.createDataFrame([], schema)
+    new = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, dim + 8))))[0]
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(rounds):
+        basis, image = np.hstack([basis, new]), np.hstack([image, cooccurrence_product(sets, n, new)])
+        small_ = basis.T @ image
+        values, turns = np.linalg.eigh((small_ + small_.T) / 2)
+        best = np.argsort(-np.abs(values), kind="stable")[:dim]
+        values, turns = values[best], turns[:, best]
+        vectors = basis @ turns
+        off = np.linalg.norm(image @ turns - vectors * values, axis=0)
+        rest = image[:, -new.shape[1] :]
+        for _ in range(2):
+            rest = rest - basis @ (basis.T @ rest)
+        left, sizes, _ = np.linalg.svd(rest, full_matrices=False)
+        new = left[:, sizes > 1e-9 * max(1.0, np.abs(values).max())][:, : n - basis.shape[1]]
+        if off.max() <= tolerance * max(1e-300, np.abs(values).max()) or not new.shape[1]:
+            break
+    else:
+        raise ValueError(f"the decomposition has not settled in {rounds} rounds")
+    vectors = vectors * np.abs(values)
+    top = np.abs(vectors).argmax(0)
+    vectors = vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+    vectors = np.hstack([vectors, np.zeros((n, dim - vectors.shape[1]))])
+    return edges.sparkSession.createDataFrame(list(zip(labels, vectors.tolist(), strict=True)), schema)

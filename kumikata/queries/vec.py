@@ -72,8 +72,8 @@ def _blend(spark, d):
 
 
 def _walks(spark, d):
-    e = s.transition_edges(events(spark, d)).where("weight >= 3")
-    return g.walks(e, 5, 2).groupBy("label").agg(F.count("*").alias("visits"))
+    e = g.walk_embedding(s.transition_edges(events(spark, d)))
+    return e.select("label", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 3))
 
 
 def _aggregate(spark, d):

@@ -338,3 +338,28 @@ def test_mashed_events_are_split(spark, bout):
     rules = spark.createDataFrame([("armbar", "guard pull", "armbar finish")], "label string, first string, second string")
     parts = profiles.split_mashed(bout.where("label = 'armbar'"), rules).orderBy("part").collect()
     assert [(r.label, r.ok, r.ts) for r in parts] == [("guard pull", None, 40.0), ("armbar finish", True, 41.0)]
+
+
+def test_walk_embedding_is_the_decomposition_of_shared_walks(spark):
+    from kumikata import catalog
+
+    rows = [(f"n{i}", f"n{(i * k + k) % 9}", 1 + (i * k) % 4) for i in range(8) for k in (1, 2, 5) if i != (i * k + k) % 9] + [("n2", "end", 1)]
+    edges = spark.createDataFrame(rows, "source string, target string, weight int")
+    sets, labels = graphs.walk_sets(edges, 12, 6)
+    seen = [list(r["nodes"]) for r in sets.collect()]
+    ways = {(labels.index(a), labels.index(b)) for a, b, _ in rows}
+    assert len(seen) == 6 * len({r[0] for r in rows}) and "end" in labels
+    assert all(sum(any((a, b) in ways for a in nodes) for b in nodes) >= len(nodes) - 1 for nodes in seen)
+    shared = np.zeros((len(labels), len(labels)))
+    for nodes in seen:
+        for a in nodes:
+            for b in nodes:
+                shared[a, b] += a != b
+    told = {r["label"]: r["vector"] for r in graphs.walk_embedding(edges, 3, 12, 6).collect()}
+    vectors = np.array([told[x] for x in labels])
+    u, s, _ = np.linalg.svd(shared)
+    assert np.allclose(np.linalg.norm(vectors, axis=0), s[:3], rtol=1e-6)
+    assert np.allclose(shared @ vectors, vectors @ np.diag([v @ shared @ v / (v @ v) for v in vectors.T]), atol=1e-3)
+    frame = catalog.QUERIES["walk_embedding"](spark, "/root/testdata/sf0.001")
+    events_ = catalog.QUERIES["transition_edges"](spark, "/root/testdata/sf0.001")
+    assert frame.groupBy("label").count().where("count = 16").count() == events_.selectExpr("explode(array(source, target)) AS l").distinct().count()
