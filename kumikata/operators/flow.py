@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kumikata.functions.special import beta_quantile
 from kumikata.operators import stats
 from kumikata.operators.sequences import whole
+from kumikata.plans.runtime import cut
 
 # opponents' conditions by the first word found in label and type, in this order.
 CONDITIONS = (("choke", "strangle-threat"), ("arm", "arm-threat"), ("foot", "leg-threat"), ("leg", "leg-threat"), ("escape", "escaping"), ("guard", "guard-retained"), ("pass", "passing"), ("sweep", "sweeping"), ("takedown", "standing-attack"), ("submission", "submission-threat"), ("control", "controlling"))
@@ -31,18 +34,18 @@ def normal_key(key: Column) -> Column:
     return F.array_join(F.array_sort(F.split(key, "-and-")), "-and-")
 
 
-def chains(events: DataFrame, bout: str = "match_id") -> DataFrame:
+def chains(events: DataFrame, bout: str = "match_id", opponents: bool = False) -> DataFrame:
     """(bout, actor, position, action, condition, response, success): an athlete's action, the opponent's events until the athlete's next own action, and that action.
 
     The opponent's events between are those from the next place to the one before the response; they are taken from the bout's events
-    by place, so that only neighbouring own actions are spanned. `position` is the athlete's own action before.
+    by place, so that only neighbouring own actions are spanned. `position` is the athlete's own action before. With `opponents` also who acted first in between.
     """
     w = Window.partitionBy(bout, "actor").orderBy("i")
     own = events.where("actor IS NOT NULL").select(bout, "actor", "i", F.lag("label").over(w).alias("position"), F.col("label").alias("action"), F.lead("label").over(w).alias("response"), F.lead("ok").over(w).alias("success"), F.lead("i").over(w).alias("j")).where("response IS NOT NULL")
     between = own.where("j - i > 1").select(bout, "actor", "i", F.explode(F.sequence(F.col("i") + 1, F.col("j") - 1)).alias("k"))
-    seen = between.join(events.where("actor IS NOT NULL").select(bout, F.col("i").alias("k"), condition(F.col("label"), F.col("type")).alias("c")), [bout, "k"])
-    told = seen.groupBy(bout, "actor", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cs"))
-    return own.join(told, [bout, "actor", "i"], "left").select(bout, "actor", "i", "position", "action", F.nullif(normal_key(bundle(F.coalesce("cs", F.array().cast("array<string>")))), F.lit("")).alias("condition"), "response", "success")
+    seen = between.join(events.where("actor IS NOT NULL").select(bout, F.col("i").alias("k"), condition(F.col("label"), F.col("type")).alias("c"), F.col("actor").alias("other")), [bout, "k"])
+    told = seen.groupBy(bout, "actor", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]).alias("cs"), *[F.min_by("other", "k").alias("opponent")] * opponents)
+    return own.join(told, [bout, "actor", "i"], "left").select(bout, "actor", "i", "position", "action", F.nullif(normal_key(bundle(F.coalesce("cs", F.array().cast("array<string>")))), F.lit("")).alias("condition"), "response", "success", *["opponent"] * opponents)
 
 
 def aggregate(patterns: DataFrame, keys: tuple[str, ...] = ("action", "condition", "response"), bout: str = "match_id", evidence: int = 8) -> DataFrame:
@@ -89,12 +92,77 @@ def windows(events: DataFrame, span: int = 3, bout: str = "match_id") -> DataFra
     return rows.mapInPandas(run, "match_id string, actor string, position string, action string, condition string, response string, success boolean").withColumnRenamed("match_id", bout)
 
 
-def criteria(patterns: DataFrame, context: str, given: str, outcome: str, least: int = 20, draws: int = 200) -> DataFrame:
-    """(context, n, chi2, p, q): whether the condition tells the response in a context, by permutation, with one false-discovery control over all contexts."""
-    told = patterns.where(F.col(given).isNotNull()).groupBy(context, given, outcome).agg(F.count("*").alias("n"))
-    sizes = told.groupBy(context).agg(F.sum("n").alias("total"), F.count_distinct(given).alias("a"), F.count_distinct(outcome).alias("b")).where((F.col("total") >= least) & (F.col("a") > 1) & (F.col("b") > 1))
-    tests = stats.permutation(told.join(sizes.select(context), context, "left_semi"), context, given, outcome, draws=draws)
-    return stats.benjamini_hochberg(tests, "p", context).join(sizes.select(context, F.col("total").alias("n")), context)
+def criteria(patterns: DataFrame, bout: str = "match_id", permutations: int = 1000, resamples: int = 500, seed: int = 20260810, context_n: int = 8, triad_n: int = 3, triad_bouts: int = 2, triad_opponents: int = 2, rate: float = 0.10, stable: float = 0.70) -> DataFrame:
+    """(position, action, condition, response, n_with, n_condition, n_without, n_no_condition, p_with, p_without, effect, effect_lo, effect_hi, lift, p, q, stability, bouts, success_rate, blocked, survives): which conditions decide the response.
+
+    `patterns` are `chains` with opponents. A context is a position with an action; no condition is a value of its own, the contrast, not a criterion.
+    Per triad: the chance of the response with the condition less that without it (means of Beta(1 + k, 1 + n - k)), its worst and best case from both
+    central 95 % intervals, p from conditions shuffled within bouts (the bouts with one chain shuffle together), and the share of resamples of whole bouts that
+    have the triad with a positive effect. Triads below the floors are not tested. One false-discovery control over all triads; what survives has
+    effect_lo > 0, q <= `rate` and stability >= `stable`. Shuffling keeps all margins, so that an effect is reached where the triad's count is.
+    Only contexts with enough chains and a triad seen often enough go to a task, each as a whole.
+    """
+    context = ["position", "action"]
+    told = patterns.where("response IS NOT NULL").select(F.coalesce("position", F.lit("-")).alias("position"), "action", F.coalesce("condition", F.lit("")).alias("condition"), "response", F.col(bout).alias("bout"), "actor", "i", "success", "opponent")
+    # by windows over one clustering by context, so that the chains are made once; bouts and opponents are counted where the context is whole
+    of, triad = Window.partitionBy(*context), Window.partitionBy(*context, "condition", "response")
+    sized = told.withColumns({"_n": F.count("*").over(of), "_t": F.when(F.col("condition") != "", F.count("*").over(triad))}).withColumn("_most", F.max("_t").over(of))
+    rows = sized.where((F.col("_n") >= context_n) & (F.col("_most") >= triad_n) & (F.col("_most") < F.col("_n"))).drop("_n", "_t", "_most")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["bout", "i", "actor"])
+        (c, conditions), (r, responses), (m, bouts) = (pd.factorize(pdf[x], sort=True) for x in ("condition", "response", "bout"))
+        table = np.zeros((len(conditions), len(responses)), dtype="int64")
+        np.add.at(table, (c, r), 1)
+        cells = []
+        for (x, y), own in pdf.assign(c=c, r=r)[table[c, r] >= triad_n].groupby(["c", "r"]):
+            opponents = own["opponent"].dropna().nunique()
+            if conditions[x] and own["bout"].nunique() >= triad_bouts and (not opponents or opponents >= triad_opponents):
+                known = own["success"].dropna().astype(bool)
+                cells.append((x, y, own["bout"].nunique(), float(known.mean()) if len(known) else None))
+        if not cells or len(conditions) < 2:
+            return pd.DataFrame(columns=names)
+        cx, cy = (np.array([cell[k] for cell in cells]) for k in (0, 1))
+        seen, rng, n = table[cx, cy], np.random.default_rng(seed), len(pdf)
+
+        size = np.bincount(m)
+        block = np.where(size[m] >= 2, m, len(bouts))
+        by_block = np.argsort(block, kind="stable")
+        block, cond, resp = block[by_block], c[by_block], r[by_block]
+        reached, chunk = np.zeros(len(cells)), max(1, 1_000_000 // n)
+        for begin in range(0, permutations, chunk):
+            take = min(chunk, permutations - begin)
+            shuffled = cond[np.argsort(block + rng.random((take, n)), axis=1)]
+            for k in range(len(cells)):
+                reached[k] += ((shuffled[:, resp == cy[k]] == cx[k]).sum(1) >= seen[k]).sum()
+
+        per_bout = lambda at, width, keep: np.bincount(m[keep] * width + at[keep], minlength=len(bouts) * width).reshape(len(bouts), width)
+        number = {(x, y): k for k, (x, y) in enumerate(zip(cx, cy, strict=True))}
+        cell = np.array([number.get(pair, -1) for pair in zip(c, r, strict=True)])
+        with_b, cond_b, resp_b = per_bout(cell, len(cells), cell >= 0), per_bout(c, len(conditions), cell > -2), per_bout(r, len(responses), cell > -2)
+        cond_b, resp_b = cond_b[:, cx], resp_b[:, cy]
+        kept = np.zeros(len(cells))
+        for begin in range(0, resamples, 100):
+            take = min(100, resamples - begin)
+            pick = rng.integers(0, len(bouts), (take, len(bouts)))
+            times = np.bincount((pick + np.arange(take)[:, None] * len(bouts)).ravel(), minlength=take * len(bouts)).reshape(take, len(bouts)).astype("float64")
+            w, nc, nr, total = times @ with_b, times @ cond_b, times @ resp_b, (times @ size)[:, None]
+            kept += (((w + 1) / (nc + 2) - (nr - w + 1) / (total - nc + 2) > 0) & (w > 0)).sum(0)
+
+        out = []
+        for k, (x, y, in_bouts, success) in enumerate(cells):
+            w, nc = int(table[x, y]), int(table[x].sum())
+            wo, no = int(table[:, y].sum()) - w, n - nc
+            pw, po = (w + 1) / (nc + 2), (wo + 1) / (no + 2)
+            (low_w, high_w), (low_o, high_o) = ([beta_quantile(z, a + 1, b - a + 1) for z in (0.025, 0.975)] for a, b in ((w, nc), (wo, no)))
+            out.append((*key, conditions[x], responses[y], w, nc, wo, no, pw, po, pw - po, low_w - high_o, high_w - low_o, pw / po, (reached[k] + 1) / (permutations + 1), kept[k] / resamples, in_bouts, success, bool((size >= 2).any())))
+        return pd.DataFrame(out, columns=names)
+
+    schema = "position string, action string, condition string, response string, n_with long, n_condition long, n_without long, n_no_condition long, p_with double, p_without double, effect double, effect_lo double, effect_hi double, lift double, p double, stability double, bouts long, success_rate double, blocked boolean"
+    names = [x.split()[0] for x in schema.split(", ")]
+    tests = rows.groupBy(*context).applyInPandas(solve, schema).withColumn("_id", F.concat_ws("|", *context, "condition", "response"))
+    q = stats.benjamini_hochberg(cut(tests), "p", "_id").drop("_id")
+    return q.withColumn("survives", (F.col("effect_lo") > 0) & (F.col("q") <= rate) & (F.col("stability") >= stable))
 
 
 def tree(aggregated: DataFrame, branches: int = 3, answers: int = 2) -> DataFrame:

@@ -98,7 +98,7 @@ QUERIES = {
     "chain_patterns": lambda spark, d: flow.chains(events(spark, d)),
     "aggregate_patterns": _aggregate,
     "window_patterns": lambda spark, d: flow.windows(events(spark, d)).groupBy("action", "condition", "response").agg(F.count("*").alias("n")),
-    "decision_criteria": lambda spark, d: flow.criteria(flow.chains(events(spark, d)), "action", "condition", "response"),
+    "decision_criteria": lambda spark, d: _r(flow.criteria(flow.chains(events(spark, d), opponents=True)), "p_with", "p_without", "effect", "effect_lo", "effect_hi", "lift", "p", "q", "success_rate", digits=6),
     "flowchart_tree": lambda spark, d: flow.tree(flow.aggregate(flow.chains(events(spark, d)))),
     "condition_bundles": lambda spark, d: flow.chains(events(spark, d)).groupBy("condition").agg(F.count("*").alias("n"), F.count_distinct("actor").alias("actors")),
     "density_clusters": lambda spark, d: v.density_clusters(_vectors(spark, d), "vec_id", "embedding", 0.3),

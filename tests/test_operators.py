@@ -363,3 +363,20 @@ def test_walk_embedding_is_the_decomposition_of_shared_walks(spark):
     frame = catalog.QUERIES["walk_embedding"](spark, "/root/testdata/sf0.001")
     events_ = catalog.QUERIES["transition_edges"](spark, "/root/testdata/sf0.001")
     assert frame.groupBy("label").count().where("count = 16").count() == events_.selectExpr("explode(array(source, target)) AS l").distinct().count()
+
+
+def test_criteria_contrast_with_no_condition(spark):
+    columns = "match_id string, actor string, i int, position string, action string, condition string, response string, success boolean, opponent string"
+    told = [(f"m{k}", "a", 3 * j, None, "pass", "passing" if j < 2 else None, "sweep" if j < 2 else "mount", j == 0, f"o{k % 5}" if j < 2 else None) for k in range(12) for j in range(4)]
+    alone = [(f"x{k}", "a", 1, "mount", "choke", "other" if k < 3 else None, "tap", True, "same" if k < 3 else None) for k in range(9)]
+    frame = spark.createDataFrame(told + alone, columns)
+    found = flow.criteria(frame).collect()
+    assert [(r.position, r.action, r.condition, r.response) for r in found] == [("-", "pass", "passing", "sweep")]  # the other triad has one opponent
+    r = found[0]
+    assert (r.n_with, r.n_condition, r.n_without, r.n_no_condition, r.bouts, r.blocked) == (24, 24, 0, 24, 12, True)
+    assert r.effect == pytest.approx(25 / 26 - 1 / 26) and r.effect_lo < r.effect < r.effect_hi and r.success_rate == 0.5
+    assert r.p == pytest.approx(1 / 1001) and r.stability == 1.0 and r.survives
+    # conditions that follow the bout alone say nothing within bouts
+    bound = [(f"m{k}", "a", j, None, "pass", "passing" if k < 6 else None, "sweep" if k < 6 else "mount", None, f"o{k}") for k in range(12) for j in range(4)]
+    (b,) = flow.criteria(spark.createDataFrame(bound, columns)).collect()
+    assert b.p == 1.0 and b.effect > 0.8 and not b.survives
