@@ -6,10 +6,18 @@ Every window is within a bout, so that nothing crosses from one bout to the next
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kumikata.plans.runtime import spread
+
 BOUT = "match_id"
+PARTICLES = ("da", "das", "de", "del", "di", "do", "dos", "du", "la", "le", "van", "von", "der", "den", "e", "y")
 
 # How much room a move of each type leaves to the acting side and to the other.
 DECISION_SPACE = {
@@ -148,6 +156,67 @@ def sides(events: DataFrame, bout: str = BOUT) -> DataFrame:
     return events.join(side, [bout, "actor"], "left")
 
 
+def _name(text: str) -> tuple[str, str]:
+    """First and last word of a name without accents, quoted nicknames, particles and signs; 'last, first' is turned."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", re.sub(r"[\"“(].*?[\"”)]", " ", text.lower())) if not unicodedata.combining(c))
+    if "," in plain:
+        last, _, first = plain.partition(",")
+        plain = f"{first} {last}"
+    words = [w for w in re.findall(r"[^\W_]+", plain) if w not in PARTICLES] or [plain]
+    return words[0], words[-1]
+
+
+def _slips(a: str, b: str) -> int:
+    """Levenshtein's distance."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def athletes_of(actors: list[str]) -> list[int]:
+    """The number of the athlete that each of a bout's spellings names, in the order given.
+
+    Spellings are one athlete's if their last words are at most two slips apart (none below four letters) and their first words agree: an initial, two
+    equal first letters, one within the other, or two slips. While more than two athletes are left, those whose last words agree are one, for nicknames.
+    """
+    near = lambda x, y: x == y or min(len(x), len(y)) >= 4 and _slips(x, y) <= 2
+    names = [_name(a) for a in actors]
+    group = list(range(len(names)))
+    for strict in (True, False):
+        for i, (first, last) in enumerate(names):
+            for j, (other, family) in enumerate(names[:i]):
+                same = near(last, family) and (first[:2] == other[:2] or first[0] == other[0] and 1 in (len(first), len(other)) or min(len(first), len(other)) > 2 and (first in other or other in first) or near(first, other))
+                if group[i] != group[j] and (same if strict else near(last, family) and len(set(group)) > 2):
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+    return [sorted(set(group)).index(g) for g in group]
+
+
+def resolved_sides(events: DataFrame, bout: str = BOUT) -> DataFrame:
+    """Events with `side` as in `sides`, but by athlete: a bout's spellings are brought together before the first two are taken.
+
+    A step has a row per bout with its different spellings. An event of a third athlete still has no side; `sideless` tells which.
+    """
+    seen = events.where("actor IS NOT NULL").groupBy(bout, "actor").agg(F.min("i").alias("seen"))
+    listed = seen.groupBy(bout).agg(F.array_sort(F.collect_list(F.struct("seen", "actor"))).alias("a")).select(F.col(bout).alias("bout"), F.transform("a", lambda a: a["actor"]).alias("actors"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            told = [(b, actor, "ab"[k]) for b, actors in frame.itertuples(index=False) for actor, k in zip(actors, athletes_of(list(actors)), strict=True) if k < 2]
+            yield pd.DataFrame(told, columns=["bout", "actor", "side"])
+
+    side = listed.mapInPandas(run, "bout string, actor string, side string").withColumnRenamed("bout", bout)
+    return events.join(spread(side), [bout, "actor"], "left")
+
+
+def sideless(tagged: DataFrame, bout: str = BOUT) -> DataFrame:
+    """(bout, actor, events): acting events that have no side."""
+    return tagged.where("actor IS NOT NULL AND side IS NULL").groupBy(bout, "actor").agg(F.count("*").alias("events"))
+
+
 def decision_space(tagged: DataFrame, bout: str = BOUT) -> DataFrame:
     """Each sided event with the room of both sides after it and what changed: (…, own, other, reduction, reduces, recovers, turns).
 

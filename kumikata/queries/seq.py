@@ -25,10 +25,14 @@ def _type_value() -> F.Column:
     return F.coalesce(*[F.when(F.col("type") == k, F.lit(round((a - b) * 100))) for k, (a, b) in s.DECISION_SPACE.items()], F.lit(0))
 
 
-def _momentum(spark, d):
+def _momentum(spark, d, sides=s.sides):
     ev = events(spark, d)
     value = ev.groupBy("label").agg(F.min("type").alias("type")).select("label", _type_value().alias("value"))
-    return s.momentum(s.sides(ev), value).select("match_id", "i", F.round("momentum", 7).alias("momentum"))
+    return s.momentum(sides(ev), value).select("match_id", "i", F.round("momentum", 7).alias("momentum"))
+
+
+def _resolved(spark, d):
+    return s.resolved_sides(events(spark, d))
 
 
 def _perspective(spark, d):
@@ -64,6 +68,12 @@ QUERIES = {
     "segment_runs": lambda spark, d: s.segments(s.smooth(events(spark, d), "match_id", "i", "type"), "match_id", "i", "smoothed", 2).drop("segment"),
     "match_stats": lambda spark, d: s.match_stats(s.sides(events(spark, d))),
     "bout_transition_graph": lambda spark, d: s.bout_graph(s.sides(events(spark, d))),
+    "decision_space_turns_resolved": lambda spark, d: s.decision_space(_resolved(spark, d)).select("match_id", "i", "side", "own", "other", "gain", "reduction", "reduces", "recovers", "turns"),
+    "countering_nodes_resolved": lambda spark, d: s.countering(s.decision_space(_resolved(spark, d))).withColumn("rate", F.round("rate", 6)),
+    "momentum_series_resolved": lambda spark, d: _momentum(spark, d, s.resolved_sides),
+    "match_stats_resolved": lambda spark, d: s.match_stats(_resolved(spark, d)),
+    "bout_transition_graph_resolved": lambda spark, d: s.bout_graph(_resolved(spark, d)),
+    "sideless_events": lambda spark, d: s.sideless(_resolved(spark, d)),
     "perspective_events": _perspective,
     "confidence_weighted_edges": _weighted,
     "caption_grouping": lambda spark, d: s.fold_lines(events(spark, d).where("ts IS NOT NULL").withColumn("long", F.lit(4.0)), "match_id", "i", "label", "ts", "long"),

@@ -380,3 +380,15 @@ def test_criteria_contrast_with_no_condition(spark):
     bound = [(f"m{k}", "a", j, None, "pass", "passing" if k < 6 else None, "sweep" if k < 6 else "mount", None, f"o{k}") for k in range(12) for j in range(4)]
     (b,) = flow.criteria(spark.createDataFrame(bound, columns)).collect()
     assert b.p == 1.0 and b.effect > 0.8 and not b.survives
+
+
+def test_spellings_of_an_athlete_are_one_side(spark):
+    assert sequences.athletes_of(["zuleica de lutupuda", "lutupuda, zuleica", "frederica de belipura"]) == [0, 0, 1]
+    assert sequences.athletes_of(["rosângela le gotunori", "r. le gotunori", "bronwen sorezada duninuto"]) == [0, 0, 1]
+    assert sequences.athletes_of(["samantha de lederane", "beatriz lamafoso", "zia lamafosso"]) == [0, 1, 1]
+    assert sequences.athletes_of(["ana souza", "rita souza"]) == [0, 1] and sequences.athletes_of(["ana souza", "ana lopes", "eva reis"]) == [0, 1, 2]
+    names = ["odessa da senefage", "odesa senefage", "mariela gibolali", None, "third person"]
+    rows = spark.createDataFrame([("m", i, a, "guard", "guard", None, 0.0) for i, a in enumerate(names, 1)], EVENTS)
+    tagged = sequences.resolved_sides(rows)
+    assert [r.side for r in tagged.orderBy("i").collect()] == ["a", "a", "b", None, None]
+    assert [(r.actor, r.events) for r in sequences.sideless(tagged).collect()] == [("third person", 1)]
