@@ -130,6 +130,49 @@ def sparse_cosine(edges: DataFrame, source: str, target: str, weight: str, least
     return a.join(b, "t").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine")).where(F.col("cosine") >= least)
 
 
+def sparse_neighbours(edges: DataFrame, source: str, target: str, weight: str, k: int = 10) -> DataFrame:
+    """(a, b, cosine, rank): for each node the `k` whose ways out are most alike, all above 0, lengths over all edges; exact.
+
+    Nodes are in blocks of at most BLOCK by hash, and every pair of blocks is one product, taken BLOCK targets at a time, so that a target that many nodes
+    share makes no pairs of rows. Of a product the best `k` a node leave the task, with what ties with the last.
+    """
+    rows = edges.groupBy(F.col(source).alias("id")).agg(F.collect_list(F.col(target)).alias("t"), F.collect_list(F.col(weight).cast("double")).alias("w"))
+    rows = cut(rows)
+    n = max(1, -(-rows.count() // BLOCK))
+    block = rows.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("id", "t", "w")).alias("rows_qb"))
+    other = block.select(F.col("qb").alias("cb"), F.col("rows_qb").alias("rows_cb"))
+    pairs = block.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n * n, "qb", "cb").join(other, "cb")
+
+    def flat(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        long = [len(r["t"]) for r in rows]
+        w = [np.asarray(r["w"]) / np.linalg.norm(r["w"]) for r in rows]
+        return np.array([r["id"] for r in rows], dtype=object), np.repeat(np.arange(len(rows)), long), np.concatenate([r["t"] for r in rows]).astype(str), np.concatenate(w)
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a, b in zip(frame["rows_qb"], frame["rows_cb"], strict=True):
+                (ai, ar, at, aw), (bi, br, bt, bw) = flat(a), flat(b)
+                both, code = np.unique(np.concatenate([at, bt]), return_inverse=True)
+                ac, bc = code[: len(at)], code[len(at) :]
+                score = np.zeros((len(ai), len(bi)))
+                for low in range(0, len(both), BLOCK):
+                    part = []
+                    for r, c, w, size in ((ar, ac, aw, len(ai)), (br, bc, bw, len(bi))):
+                        dense, inside = np.zeros((size, BLOCK)), (c >= low) & (c < low + BLOCK)
+                        dense[r[inside], c[inside] - low] = w[inside]
+                        part.append(dense)
+                    score += part[0] @ part[1].T
+                score[ai[:, None] == bi[None, :]] = 0
+                take = min(k, score.shape[1])
+                edge = -np.partition(-score, take - 1, axis=1)[:, take - 1]
+                r, c = np.nonzero((score >= edge[:, None] - 1e-9) & (score > 0))
+                yield pd.DataFrame({"a": ai[r], "b": bi[c], "cosine": score[r, c]})
+
+    found = pairs.select("rows_qb", "rows_cb").mapInPandas(best, "a string, b string, cosine double")
+    w = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def unit_shares(frame: DataFrame, who: str, item: str, items: tuple[str, ...]) -> DataFrame:
     """(who, vector): each one's shares of the given items as a vector of length 1."""
     counts = frame.where(F.col(item).isin(*items)).groupBy(who).agg(F.array(*[F.count_if(F.col(item) == x).cast("double") for x in items]).alias("c"))

@@ -92,6 +92,7 @@ QUERIES = {
     "archetype_kmeans": _archetypes,
     "rf_importance": lambda spark, d: v.importances(_activity(spark, d), ["n", "bouts", "labels", "subs", "rate"], "wins"),
     "structural_neighbours": _structural,
+    "structural_nearest": lambda spark, d: _r(v.sparse_neighbours(s.transition_edges(events(spark, d)), "source", "target", "weight"), "cosine"),
     "distribution_blend": _blend,
     "tfidf_search": lambda spark, d: _r(v.search(v.tfidf(table(spark, d, "documents"), "doc_id", "text"), "doc_id", QUERY, 20), "score"),
     "walk_embedding": _walks,

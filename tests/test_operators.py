@@ -392,3 +392,16 @@ def test_spellings_of_an_athlete_are_one_side(spark):
     tagged = sequences.resolved_sides(rows)
     assert [r.side for r in tagged.orderBy("i").collect()] == ["a", "a", "b", None, None]
     assert [(r.actor, r.events) for r in sequences.sideless(tagged).collect()] == [("third person", 1)]
+
+
+def test_sparse_neighbours_use_all_edges(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 4, (30, 12)) * (rng.random((30, 12)) < 0.25)
+    dense[:, 0] = 1  # a target of all, by single steps
+    edges = spark.createDataFrame([(f"s{i:02}", f"t{j}", int(w)) for (i, j), w in np.ndenumerate(dense) if w], "s string, t string, w int")
+    u = dense / np.linalg.norm(dense, axis=1, keepdims=True)
+    score = np.round(u @ u.T, 9)
+    np.fill_diagonal(score, -1)
+    want = {(f"s{i:02}", r + 1): f"s{j:02}" for i in range(30) for r, j in enumerate(np.argsort(-score[i], kind="stable")[:4])}
+    assert {(r.a, r["rank"]): r.b for r in vectors.sparse_neighbours(edges, "s", "t", "w", 4).collect()} == want
