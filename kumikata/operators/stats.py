@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kumikata.functions.special import beta_quantile, chi2_p, fisher_p
-from kumikata.plans.runtime import running_total
+from kumikata.plans.runtime import cut, running_total
 
 Z95 = 1.959963984540054
 
@@ -191,6 +191,46 @@ def bootstrap(counts: DataFrame, group: str, who: str, k: str, n: str, draws: in
     return whole.join(ends, group, "left").select(group, "rate", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
+def lift_stability(category: DataFrame, base: DataFrame, who: str, item: str, balanced: bool = False, least: int = 3, draws: int = 200, high: float = 0.7, seed: int = 42) -> DataFrame:
+    """(item, n, lift, stable_share, grade): log2 of an item's share in the category over that in the baseline, and the share of draws of the category's people that keep its sign.
+
+    Shares are of all events or, `balanced`, means of the people's own shares. A draw keeps the sign only with at least `least` events of the item; 'alta' from
+    `high` on, else 'baixa', also where the lift is unknown or rests on fewer events. People are drawn with Poisson(1) weights as in `bootstrap`.
+    """
+
+    def counted(frame: DataFrame) -> tuple[DataFrame, DataFrame]:
+        each = frame.groupBy(who, item).agg(F.count("*").alias("k"))
+        own = each.groupBy(who).agg(F.sum("k").alias("n"))
+        return each.join(own, who).select(who, item, "k", (F.col("k") / F.col("n") if balanced else F.col("k")).alias("m")), own.select(who, (F.lit(1) if balanced else F.col("n")).alias("of"))
+
+    def shares(each: DataFrame, own: DataFrame) -> DataFrame:
+        total = own.agg(F.sum("of").alias("of"))
+        return each.groupBy(item).agg(F.sum("k").alias("n"), F.sum("m").alias("m")).crossJoin(F.broadcast(total)).select(item, "n", (F.col("m") / F.col("of")).alias("p"))
+
+    each, own = counted(category)
+    each, own = cut(each), cut(own)
+    seen = shares(each, own).join(shares(*counted(base)).select(item, F.col("p").alias("p_base")), item, "left").withColumn("lift", F.log2(F.col("p") / F.col("p_base")))
+    seen = cut(seen)
+    ranked = seen.where(F.col("lift").isNotNull() & (F.col("n") >= least))
+
+    def drawn(frame: DataFrame) -> DataFrame:
+        u = (F.xxhash64(F.lit(seed), F.col(who).cast("string"), "draw").bitwiseAND((1 << 40) - 1) + 0.5) / float(1 << 40)
+        upto = term = math.exp(-1)
+        times = F.lit(0)
+        for i in range(1, 9):
+            times = times + F.when(u > upto, 1).otherwise(0)
+            term /= i
+            upto += term
+        return frame.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", times).where("w > 0")
+
+    whole = drawn(own).groupBy("draw").agg(F.sum(F.col("w") * F.col("of")).alias("of"))
+    again = drawn(each.join(ranked.select(item), item, "left_semi")).groupBy(item, "draw").agg(F.sum(F.col("w") * F.col("k")).alias("k"), F.sum(F.col("w") * F.col("m")).alias("m"))
+    held = again.join(F.broadcast(whole), "draw").join(ranked, item).where((F.col("k") >= least) & ((F.log2(F.col("m") / F.col("of") / F.col("p_base")) >= 0) == (F.col("lift") >= 0)))
+    kept = held.groupBy(item).agg((F.count("*") / draws).alias("stable_share"))
+    told = seen.join(kept, item, "left").withColumn("stable_share", F.coalesce("stable_share", F.lit(0.0)))
+    return told.select(item, "n", "lift", "stable_share", F.when(F.col("stable_share") >= high, "alta").otherwise("baixa").alias("grade"))
+
+
 def permutation(cells: DataFrame, group: str, row: str, column: str, n: str = "n", draws: int = 200, seed: int = 42) -> DataFrame:
     """(group, chi2, p): a Monte-Carlo exact test of each group's table, with one added.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kumikata.operators import aggregates as a
 from kumikata.operators import stats as t
 from kumikata.sources.views import BOUTS, EV, bouts, decided, events
 
@@ -65,6 +64,15 @@ def _auc(spark, d):
     return _r(t.auc(per.join(sides, ["match_id", "actor"]), "n", "won"), "auc")
 
 
+def _lift_stability(spark, d):
+    """The open class against all other bouts, as in lift_table, in both weightings."""
+    ev = events(spark, d).where("actor IS NOT NULL").select("match_id", "actor", "label")
+    absolute = bouts(spark, d).where("division = 'ABS'").select("match_id")
+    inside, outside = ev.join(absolute, "match_id", "left_semi"), ev.join(absolute, "match_id", "left_anti")
+    both = [t.lift_stability(inside, outside, "actor", "label", balanced).withColumn("weighting", F.lit("balanced" if balanced else "pooled")) for balanced in (False, True)]
+    return _r(both[0].unionByName(both[1]), "lift", "stable_share")
+
+
 QUERIES = {
     "wilson_by_group": _wilson,
     "proportion_contrast": _contrast,
@@ -81,7 +89,7 @@ QUERIES = {
     "beta_intervals": lambda spark, d: _rates(spark, d).withColumn("b", t.beta_interval("k", "n")).select("type", "k", "n", *[F.round(f"b.{c}", 6).alias(c) for c in ("mean", "lo", "hi")]),
     "bootstrap_ci": lambda spark, d: _r(t.bootstrap(events(spark, d).where("actor IS NOT NULL AND ok IS NOT NULL").groupBy("type", "actor").agg(F.sum(F.col("ok").cast("int")).alias("k"), F.count("*").alias("n")), "type", "actor", "k", "n"), "rate", "lo", "hi"),
     "permutation_p": lambda spark, d: t.permutation(bouts(spark, d).where("division IS NOT NULL AND stage IS NOT NULL").groupBy("division", "stage", "method").agg(F.count("*").alias("n")), "division", "stage", "method"),
-    "lift_stability": lambda spark, d: _r(t.bootstrap(a.shares(events(spark, d).where("actor IS NOT NULL"), "actor", "type").select("type", "actor", F.col("n").alias("k"), F.round(F.col("n") / F.col("share")).alias("n")), "type", "actor", "k", "n"), "rate", "lo", "hi"),
+    "lift_stability": _lift_stability,
 }
 _P = f"(k / n::DOUBLE)"
 _D = f"(1 + {Z * Z!r}::DOUBLE / n)"

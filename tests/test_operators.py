@@ -405,3 +405,14 @@ def test_sparse_neighbours_use_all_edges(spark, monkeypatch):
     np.fill_diagonal(score, -1)
     want = {(f"s{i:02}", r + 1): f"s{j:02}" for i in range(30) for r, j in enumerate(np.argsort(-score[i], kind="stable")[:4])}
     assert {(r.a, r["rank"]): r.b for r in vectors.sparse_neighbours(edges, "s", "t", "w", 4).collect()} == want
+
+
+def test_lift_stability_flags_what_one_athlete_carries(spark):
+    own = [(f"p{i}", x) for i in range(8) for x in ["spread"] * 3 + ["rest"] * 7] + [("p0", "alone")] * 30
+    base = [(f"q{i}", x) for i in range(8) for x in ["spread", "alone"] + ["rest"] * 18] + [("q0", "absent")]
+    frames = [spark.createDataFrame(x, "who string, label string") for x in (own, base)]
+    got = {r.label: r for r in stats.lift_stability(*frames, "who", "label").collect()}
+    assert got["spread"].grade == "alta" and got["spread"].stable_share > 0.95 and got["spread"].lift == pytest.approx(math.log2((24 / 110) / (8 / 161)))
+    assert got["alone"].lift > 0 and got["alone"].grade == "baixa" and 0.5 < got["alone"].stable_share < 0.7
+    even = {r.label: r for r in stats.lift_stability(*frames, "who", "label", True).collect()}
+    assert even["alone"].lift == pytest.approx(math.log2(30 / 40 / 8 / ((7 / 20 + 1 / 21) / 8)))
