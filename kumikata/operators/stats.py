@@ -231,7 +231,7 @@ def lift_stability(category: DataFrame, base: DataFrame, who: str, item: str, ba
     return told.select(item, "n", "lift", "stable_share", F.when(F.col("stable_share") >= high, "alta").otherwise("baixa").alias("grade"))
 
 
-def permutation(cells: DataFrame, group: str, row: str, column: str, n: str = "n", draws: int = 200, seed: int = 42) -> DataFrame:
+def permutation(cells: DataFrame, group: str, row: str, column: str, n: str = "n", draws: int = 10_000, seed: int = 42) -> DataFrame:
     """(group, chi2, p): a Monte-Carlo exact test of each group's table, with one added.
 
     Only the table of counts goes to a task; random tables with its margins are drawn row by row (multivariate hypergeometric), which is what

@@ -416,3 +416,8 @@ def test_lift_stability_flags_what_one_athlete_carries(spark):
     assert got["alone"].lift > 0 and got["alone"].grade == "baixa" and 0.5 < got["alone"].stable_share < 0.7
     even = {r.label: r for r in stats.lift_stability(*frames, "who", "label", True).collect()}
     assert even["alone"].lift == pytest.approx(math.log2(30 / 40 / 8 / ((7 / 20 + 1 / 21) / 8)))
+
+
+def test_permutation_tells_small_p_apart(spark):
+    cells = spark.createDataFrame([("g", "r1", "c1", 30), ("g", "r2", "c2", 30)], "g string, r string, c string, n long")
+    assert stats.permutation(cells, "g", "r", "c").first().p == pytest.approx(1 / 10_001)
