@@ -22,7 +22,7 @@ def _sides(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
         for actors in frame["actors"]:
-            sides: list[list[tuple[str, str] | None]] = []
+            sides: list[list[tuple[str, str, str] | None]] = []
             found = {}
             counts: dict[str, int] = {}
             for actor in actors:

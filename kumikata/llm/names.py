@@ -8,11 +8,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.llm.components import components
-from kumikata.plans.runtime import cut, spread
+from kumikata.plans.runtime import cut, small, spread
 
 # Words between given name and surname that name nobody.
 PARTICLES = frozenset("de da do das dos del della di du van von der den la le los el al bin ibn y e".split())
@@ -36,8 +36,12 @@ NICKNAMES = {
 # The consonant classes of Soundex; vowels, h, w and y have none.
 SOUND = {c: str(n) for n, letters in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in letters}
 
-#: Least Jaro-Winkler similarity of two words that are taken for one, and most edits (neighbours exchanged count as one).
-SIMILAR, EDITS = 0.78, 1
+#: Jaro-Winkler decides how far two words may lie apart: with `most` slips (neighbours exchanged count as one) they must be as alike as
+#: SIMILAR, with one slip more as alike as CLOSE.
+SIMILAR, CLOSE, EDITS = 0.78, 0.95, 1
+
+#: Forms of one phonetic block that are compared with each other as they are; a larger block is cut by the letters that its words keep.
+HOT = 2_000
 
 
 def repaired(text: str) -> str:
@@ -52,11 +56,8 @@ def repaired(text: str) -> str:
 
 
 @lru_cache(maxsize=50_000)
-def parse(name: str) -> tuple[str, str] | None:
-    """(first, last): the two outer words of a name, unaccented, without particles and epithets; "Last, First" is turned round.
-
-    A nickname becomes its given name. One word alone is (word, ''); None if there is no letter.
-    """
+def parts(name: str) -> tuple[str, ...]:
+    """The words of a name, unaccented, without particles and epithets; "Last, First" is turned round."""
     text = unicodedata.normalize("NFKD", repaired(name)).lower()
     text = "".join(c for c in text if not unicodedata.combining(c))
     text = re.sub("[\"“”«»„(\\[][^\"“”«»„)\\]]*[\"“”«»„)\\]]", " ", text)
@@ -64,13 +65,19 @@ def parse(name: str) -> tuple[str, str] | None:
         last, _, first = text.partition(",")
         text = f"{first} {last}"
     words = re.findall(r"[^\W\d_]+", re.sub("['’`]", "", text))
-    words = [w for w in words if w not in PARTICLES or len(w) == 1] or words
-    if len(words) > 2:
-        words = [words[0], *[w for w in words[1:-1]], words[-1]]
+    return tuple([w for w in words if w not in PARTICLES or len(w) == 1] or words)
+
+
+def parse(name: str, nicknames: dict[str, str] = NICKNAMES) -> tuple[str, str, str] | None:
+    """(first, last, middle): the outer words of a name and what stands between them; a nickname becomes its given name.
+
+    One word alone is (word, '', ''); None if there is no letter.
+    """
+    words = parts(name)
     if not words:
         return None
     first, last = words[0], words[-1] if len(words) > 1 else ""
-    return NICKNAMES.get(first, first), NICKNAMES.get(last, last)
+    return nicknames.get(first, first), nicknames.get(last, last), " ".join(words[1:-1])
 
 
 def sound(word: str) -> str:
@@ -127,105 +134,185 @@ def edits(a: str, b: str, most: int = EDITS) -> int:
 
 
 @lru_cache(maxsize=50_000)
-def same_word(a: str, b: str, most: int = EDITS) -> bool:
-    """Whether two words are spellings of one: equal, or alike and `most` slips apart at most."""
-    return a == b or (min(len(a), len(b)) > 3 and edits(a, b, most) <= most and jaro_winkler(a, b) >= SIMILAR)
+def word_slips(a: str, b: str, most: int = EDITS) -> int | None:
+    """The slips between two spellings of one word, None if they are no such spellings.
+
+    Words of up to three letters must be equal.
+    """
+    if a == b:
+        return 0
+    if min(len(a), len(b)) <= 3 or (n := edits(a, b, most + 1)) > most + 1:
+        return None
+    return n if jaro_winkler(a, b) >= (SIMILAR if n <= most else CLOSE) else None
+
+
+def middles_agree(x: str, y: str, most: int = EDITS) -> bool:
+    """Whether what stands between the outer words of two names can belong to one person: each word of the shorter has its like, or its initial, in the longer."""
+    short, long = sorted((x.split(), y.split()), key=len)
+    return all(any(s[0] == t[0] if min(len(s), len(t)) == 1 else word_slips(s, t, most) is not None for t in long) for s in short)
+
 
+Name = tuple[str, str, str]
 
-def same_person(a: tuple[str, str] | None, b: tuple[str, str] | None, initials: bool = True, most: int = EDITS) -> bool:
-    """Whether two parsed names can name one person, their words in either order; an initial agrees with its letter.
 
-    `most` slips may lie between the words; two where few people are in question, so that two misspellings meet without the right name.
+def slips(a: Name | None, b: Name | None, most: int = EDITS) -> int | None:
+    """The least number of slips between two parsed names that can name one person, their outer words in either order; None if they cannot.
+
+    An initial agrees with its letter. `most` is 2 where few people are in question, so that two misspellings meet without the right name.
     """
-    if not a or not b:
-        return False
+    if not a or not b or not middles_agree(a[2], b[2], most):
+        return None
 
-    def agree(x: str, y: str) -> bool:
+    def agree(x: str, y: str) -> int | None:
         if not x or not y:
-            return False
+            return None
         if len(x) == 1 or len(y) == 1:
-            return initials and x[0] == y[0]
-        return same_word(x, y, most)
-
-    return any(agree(a[0], x) and agree(a[1], y) and (max(len(a[0]), len(x)) > 1 and min(len(a[1]), len(y)) > 1 or min(len(a[0]), len(x)) > 1) for x, y in (b, b[::-1]))
-
-
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each name's parsed words and its block keys: the sound of one word and the sound of the other, whole or less one consonant."""
-    for frame in frames:
-        rows = []
-        for scope, name in zip(frame["scope"], frame["name"], strict=True):
-            parsed = parse(name) or ("", "")
-            keys: set[str] = set()
-            initial = 0
-            if parsed[0] and parsed[1]:
-                initial = sum(len(w) == 1 for w in parsed)
-                for one, other in (parsed, parsed[::-1]):
-                    if len(other) > 1:
-                        code = sound(other)
-                        for less in {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))}:
-                            if len(one) > 1:
-                                keys.add(f"{sound(one)}|{less}")
-                            else:
-                                keys.add(f"{one}:{less}")
-            rows.append((scope, name, *sorted(parsed), initial, sorted(keys)))
-        yield pd.DataFrame(rows, columns=["scope", "name", "word_a", "word_b", "initials", "keys"])
+            return 0 if x[0] == y[0] else None
+        return word_slips(x, y, most)
+
+    found = []
+    for x, y in (b[:2], b[1::-1]):
+        if max(len(a[0]), len(x)) > 1 and min(len(a[1]), len(y)) > 1 or min(len(a[0]), len(x)) > 1:
+            one, two = agree(a[0], x), agree(a[1], y)
+            if one is not None and two is not None:
+                found.append(one + two)
+    return min(found, default=None)
+
+
+def same_person(a: Name | None, b: Name | None, most: int = EDITS) -> bool:
+    """Whether two parsed names can name one person."""
+    return slips(a, b, most) is not None
+
+
+def _blocks(nicknames: dict[str, str]):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each name's parsed words and its block keys: the sound of one word and the sound of the other, whole or less one consonant."""
+        for frame in frames:
+            rows = []
+            for scope, name in zip(frame["scope"], frame["name"], strict=True):
+                parsed = parse(name, nicknames) or ("", "", "")
+                two = parsed[:2]
+                keys: set[str] = set()
+                initial = 0
+                if two[0] and two[1]:
+                    initial = sum(len(w) == 1 for w in two)
+                    for one, other in (two, two[::-1]):
+                        if len(other) > 1:
+                            code = sound(other)
+                            for less in {code, *(code[:i] + code[i + 1 :] for i in range(len(code)))}:
+                                if len(one) > 1:
+                                    keys.add(f"{sound(one)}|{less}")
+                                else:
+                                    keys.add(f"{one}:{less}")
+                rows.append((scope, name, *sorted(two), parsed[2], initial, sorted(keys)))
+            yield pd.DataFrame(rows, columns=["scope", "name", "word_a", "word_b", "middle", "initials", "keys"])
+
+    return run
 
 
 def _compare(most: int):
     def run(pairs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pairs:
-            fits = [same_person((a, b), (c, d), most=most) for a, b, c, d in zip(frame["word_a"], frame["word_b"], frame["other_a"], frame["other_b"], strict=True)]
-            yield frame.loc[fits, ["form", "other"]]
+            columns = (frame[c] for c in ("word_a", "word_b", "middle", "other_a", "other_b", "other_middle"))
+            found = [slips((a, b, m), (c, d, n), most) for a, b, m, c, d, n in zip(*columns, strict=True)]
+            kept = frame.assign(slips=[-1 if s is None else s for s in found])
+            yield kept.loc[kept["slips"] >= 0, ["form", "other", "middle", "other_middle", "slips"]]
 
     return run
 
 
-def link(names: DataFrame, name: str = "name", scope: str | None = None, most: int = EDITS) -> DataFrame:
+_EDGE = "form long, other long, middle string, other_middle string, slips int"
+
+
+def kept_letters(word: Column, most: int) -> Column:
+    """The word and what is left of it after up to `most` letters are dropped: words within `most` slips share one of these."""
+    out = F.array(word)
+    for _ in range(most):
+        less = F.transform(out, lambda v: F.when(F.length(v) > 0, F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.concat(F.substring(v, F.lit(1), i - 1), F.substring(v, i + 1, F.length(v))))).otherwise(F.array(v)))
+        out = F.array_distinct(F.concat(out, F.flatten(less)))
+    return out
+
+
+def _blocked(full: DataFrame, most: int, hot: int) -> DataFrame:
+    """Pairs of forms of one block that the words' letters do not keep apart.
+
+    A block of more than `hot` forms is cut by what is left of its words after as many letters are dropped as two spellings may differ in, so that its pairs
+    are never all compared, and none is lost.
+    """
+    sizes = cut(full.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("large")))
+    if sizes.limit(1).count():
+        told = full.join(small(sizes), "key", "left")
+        rest = F.array_distinct(F.concat(kept_letters(F.col("word_a"), most), kept_letters(F.col("word_b"), most)))
+        keys = F.when(F.col("large"), F.transform(rest, lambda v: F.xxhash64("key", v))).otherwise(F.array("key"))
+        full = told.withColumn("key", F.explode(keys)).drop("large")
+    other = full.select("key", *[F.col(c).alias(n) for c, n in (("form", "other"), ("within", "other_within"), ("word_a", "other_a"), ("word_b", "other_b"), ("middle", "other_middle"))])
+    near = lambda x, y: f"(levenshtein({x}, {y}, {2 * most}) >= 0 AND length(translate({x}, {y}, '')) <= {most} AND length(translate({y}, {x}, '')) <= {most})"
+    close = f"({near('word_a', 'other_a')} AND {near('word_b', 'other_b')} OR {near('word_a', 'other_b')} AND {near('word_b', 'other_a')})"
+    met = full.join(spread(other), "key").where(f"form < other AND within = other_within AND {close}")
+    return met.select("form", "other", "word_a", "word_b", "middle", "other_a", "other_b", "other_middle").distinct()
+
+
+def _without_bridges(edges: DataFrame) -> DataFrame:
+    """The edges less those by which a name without middle words would bring different people together.
+
+    Such a name keeps its links to names with middle words of one initial only: that of the nearest, and none if two initials are equally near.
+    """
+    hang = edges.where("(middle = '') <> (other_middle = '')")
+    hang = hang.select("form", "other", F.when(F.col("middle") == "", F.col("form")).otherwise(F.col("other")).alias("open"), F.substring(F.concat("middle", "other_middle"), 1, 1).alias("letter"), "slips")
+    letters = hang.groupBy("open", "letter").agg(F.min("slips").alias("slips")).groupBy("open").agg(F.array_sort(F.collect_list(F.struct("slips", "letter"))).alias("l"))
+    one = letters.select("open", F.when((F.size("l") == 1) | (F.get("l", F.lit(0))["slips"] < F.get("l", F.lit(1))["slips"]), F.get("l", F.lit(0))["letter"]).alias("keep"))
+    kept = hang.join(spread(one), "open").where("letter = keep").select("form", "other")
+    return edges.where("(middle = '') = (other_middle = '')").select("form", "other").unionByName(kept)
+
+
+def link(names: DataFrame, name: str = "name", scope: str | None = None, most: int = EDITS, nicknames: dict[str, str] = NICKNAMES, hot: int = HOT) -> DataFrame:
     """Link the spellings of one person: (name, person), one row for each different name that is not null.
 
     `person` is the least spelling, by code point, of those linked. With a `scope` column (a string), names are linked within equal scopes only, and
-    the result is (scope, name, person). Method: the two outer words of a name (after repair of code pages, unaccented, without
+    the result is (scope, name, person). Method: the outer words of a name (after repair of code pages, unaccented, without
     epithets and particles, nicknames resolved) are blocked by their phonetic codes, either order, one consonant more or less
-    allowed; pairs within a block are compared by the nickname table, Jaro-Winkler and at most `most` edits between their words; connected
+    allowed; pairs within a block are compared by the table of `nicknames` and word by word by Jaro-Winkler, which decides how many slips may lie between them: `most`,
+    or one more between words that are very much alike; words between the outer ones must not contradict each other; connected
     components of the accepted pairs are the persons. A name with an initial joins a person only if that initial and surname can
-    mean no other person.
+    mean no other person; likewise a name without middle words where others have different ones.
 
     Work is done on different word pairs, not on rows: names said a million times cost as one, and equal word pairs are never compared. Candidates
-    are filtered by the JVM's edit distance before Python sees them.
+    are filtered by the JVM's edit distance, which no accepted pair exceeds, before Python sees them; large blocks are cut without loss (`_blocked`).
 
     Cases: a null name has no row; a name without two words is its own person, as is one of symbols only; empty input gives no
     row; other columns are ignored; very long names are read whole.
     """
     within = F.coalesce(F.col(scope), F.lit("")) if scope else F.lit("")
     distinct = names.where(F.col(name).isNotNull()).select(within.alias("scope"), F.col(name).alias("name")).distinct()
-    parsed = cut(distinct.mapInPandas(_blocks, "scope string, name string, word_a string, word_b string, initials int, keys array<string>"))
-    two = parsed.where("size(keys) > 0").withColumn("form", F.concat_ws("\u0002", "scope", "word_a", "word_b"))
-    forms = cut(two.groupBy("form").agg(*[F.first(c).alias(c) for c in ("scope", "word_a", "word_b", "initials", "keys")]))
-    full = forms.where("initials = 0").select("form", "scope", "word_a", "word_b", F.explode("keys").alias("key"))
-    other = full.select("scope", "key", *[F.col(c).alias(n) for c, n in (("form", "other"), ("word_a", "other_a"), ("word_b", "other_b"))])
-    close = "(least(levenshtein(word_a, other_a) + levenshtein(word_b, other_b), levenshtein(word_a, other_b) + levenshtein(word_b, other_a)) <= 3)"
-    blocked = full.join(spread(other), ["scope", "key"]).where(f"form < other AND {close}").select("form", "other", "word_a", "word_b", "other_a", "other_b").distinct()
-    edges = blocked.mapInPandas(_compare(most), "form string, other string")
-    groups = components(forms.where("initials = 0").select(F.col("form").alias("node")), edges.select(F.col("form").alias("a"), F.col("other").alias("b")))
+    parsed = cut(distinct.mapInPandas(_blocks(nicknames), "scope string, name string, word_a string, word_b string, middle string, initials int, keys array<string>"))
+    two = parsed.where("size(keys) > 0")
+    key = ["scope", "word_a", "word_b", "middle"]
+    forms = two.groupBy(*key).agg(F.first("initials").alias("initials"), F.first("keys").alias("keys"), F.min("name").alias("least"))
+    # a number for each form; written, so that it stays
+    forms = cut(forms.withColumn("form", F.monotonically_increasing_id()))
+    whole = forms.where("initials = 0")
+    full = whole.select("form", F.xxhash64("scope").alias("within"), "word_a", "word_b", "middle", F.explode(F.transform("keys", lambda k: F.xxhash64("scope", k))).alias("key"))
+    edges = cut(_blocked(full, most + 1, hot).mapInPandas(_compare(most), _EDGE))
+    groups = components(whole.select(F.col("form").alias("node")), _without_bridges(edges).select(F.col("form").alias("a"), F.col("other").alias("b")))
     # an initial: the persons whose one word begins so and whose other word sounds alike
-    begins = full.select("form", "scope", "word_a", "word_b", F.substring_index("key", "|", -1).alias("less")).distinct()
+    shown = F.explode("keys").alias("key")
+    begins = whole.select("form", "scope", "word_a", "word_b", "middle", shown).withColumn("less", F.substring_index("key", "|", -1)).drop("key").distinct()
     letters = F.explode(F.array_distinct(F.array(F.substring("word_a", 1, 1), F.substring("word_b", 1, 1))))
-    begins = begins.select("scope", F.col("form").alias("other"), F.col("word_a").alias("other_a"), F.col("word_b").alias("other_b"), "less", letters.alias("letter"))
-    initial = forms.where("initials = 1").select("form", "scope", "word_a", "word_b", F.explode("keys").alias("key"))
-    initial = initial.select("form", "scope", "word_a", "word_b", F.substring_index("key", ":", 1).alias("letter"), F.substring_index("key", ":", -1).alias("less"))
+    begins = begins.select("scope", F.col("form").alias("other"), F.col("word_a").alias("other_a"), F.col("word_b").alias("other_b"), F.col("middle").alias("other_middle"), "less", letters.alias("letter"))
+    initial = forms.where("initials = 1").select("form", "scope", "word_a", "word_b", "middle", shown)
+    initial = initial.select("form", "scope", "word_a", "word_b", "middle", F.substring_index("key", ":", 1).alias("letter"), F.substring_index("key", ":", -1).alias("less"))
     surname = F.when(F.length("word_a") > 1, F.col("word_a")).otherwise(F.col("word_b"))
-    apart = F.when(F.substring("other_a", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_b"))).otherwise(99)
-    apart = F.least(apart, F.when(F.substring("other_b", 1, 1) == F.col("letter"), F.levenshtein(surname, F.col("other_a"))).otherwise(99))
-    met = initial.join(spread(begins), ["scope", "letter", "less"]).withColumn("apart", apart).where("apart <= 2").select("form", "other", "word_a", "word_b", "other_a", "other_b", "apart").distinct()
-    fits = met.mapInPandas(_compare(most), "form string, other string").join(spread(met.select("form", "other", "apart")), ["form", "other"])
-    near = fits.join(spread(groups.select(F.col("node").alias("other"), "component")), "other").groupBy("form", "component").agg(F.min("apart").alias("apart"))
-    nearest = near.groupBy("form").agg(F.min("apart").alias("least"), F.collect_set(F.struct("apart", "component")).alias("all"))
+    bound = 2 * (most + 1)
+    apart = lambda other, letter: F.when((F.substring(letter, 1, 1) == F.col("letter")) & (F.levenshtein(surname, F.col(other), bound) >= 0), F.levenshtein(surname, F.col(other))).otherwise(99)
+    met = initial.join(spread(begins), ["scope", "letter", "less"]).withColumn("apart", F.least(apart("other_b", "other_a"), apart("other_a", "other_b"))).where("apart < 99")
+    met = met.select("form", "other", "word_a", "word_b", "middle", "other_a", "other_b", "other_middle").distinct()
+    near = met.mapInPandas(_compare(most), _EDGE).join(spread(groups.select(F.col("node").alias("other"), "component")), "other").groupBy("form", "component").agg(F.min("slips").alias("slips"))
     # only if one person alone is at the least distance
-    chosen = nearest.withColumn("best", F.filter("all", lambda x: x["apart"] == F.col("least"))).where("size(best) = 1").select(F.col("form").alias("node"), F.col("best")[0]["component"].alias("component"))
+    nearest = near.groupBy("form", "slips").agg(F.count("*").alias("n"), F.min("component").alias("component")).groupBy("form").agg(F.min(F.struct("slips", "n", "component")).alias("best"))
+    chosen = nearest.where("best.n = 1").select(F.col("form").alias("node"), F.col("best.component").alias("component"))
     lone = forms.where("initials > 0").select(F.col("form").alias("node")).join(spread(chosen), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-    persons = two.select("scope", "name", F.col("form").alias("node")).join(spread(groups.unionByName(lone)), "node").select("scope", "name", "component")
-    alone = parsed.where("size(keys) = 0").select("scope", "name", F.concat_ws("\u0001", "scope", "name").alias("component"))
-    every = cut(persons.unionByName(alone))
-    out = every.join(spread(every.groupBy("component").agg(F.min("name").alias("person"))), "component")
-    return out.select("scope", "name", "person") if scope else out.select("name", "person")
+    told = cut(forms.select(*key, "least", F.col("form").alias("node")).join(spread(groups.unionByName(lone)), "node"))
+    persons = told.join(spread(told.groupBy("component").agg(F.min("least").alias("person"))), "component").select(*key, "person")
+    linked = two.select(*key, "name").join(spread(persons), key).select("scope", "name", "person")
+    out = linked.unionByName(parsed.where("size(keys) = 0").select("scope", "name", F.col("name").alias("person")))
+    return out if scope else out.drop("scope")
