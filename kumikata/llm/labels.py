@@ -8,20 +8,17 @@ from pyspark.sql import functions as F
 from kumikata.functions.text import fold
 from kumikata.plans.runtime import cut, small, spread
 
-# Remarks that people add to a label and that leave its meaning as it is.
+# Remarks that people add to a label and that leave its meaning as it is; what stands between blanks comes after a word.
 REMARKS = [
     r"\([^)]*\)?",
     r"\[[^\]]*\]?",
-    r"(?<=\s)[-–,:]?\s*(left|right|far|near|other|both)\s+sides?\b",
-    r"(?<=\s)[-–,:]?\s*(lado)\s+(esquerdo|direito)\b",
-    r"(?<=\s)x\s?\d+\b",
-    r"(?<=\s)\d+\s?x\b",
-    r"(?<=\s)[-–,:]?\s*(attempts?|attempted|try|tries|tried|fail|failed|tentativa|quase|again|de novo)\s*[.!?]*$",
+    r"(\s)[-–,:]?\s*(left|right|far|near|other|both)\s+sides?\b",
+    r"(\s)[-–,:]?\s*(lado)\s+(esquerdo|direito)\b",
+    r"(\s)x\s?\d+\b",
+    r"(\s)\d+\s?x\b",
+    r"(\s)[-–,:]?\s*(attempts?|attempted|try|tries|tried|fail|failed|tentativa|quase|again|de novo)\s*[.!?]*$",
 ]
 
-#: Most spellings of a reference list; its words are read by the driver.
-WORDS = 20_000
-
 #: Most edits allowed for a reference string of at least so many characters without blanks.
 EDITS = ((11, 4), (8, 3), (6, 1), (0, 0))
 
@@ -38,7 +35,7 @@ def typed(col: Column) -> Column:
     """A label in lower case, unaccented, without remarks; dots stay, for they mark abbreviations."""
     out = fold(col)
     for remark in REMARKS:
-        out = F.regexp_replace(out, remark, " ")
+        out = F.regexp_replace(out, remark, "$1 " if remark.startswith("(") else " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, "'", ""), r"[^\p{L}\p{N}.]+", " "))
 
 
@@ -70,23 +67,12 @@ def reference(library: DataFrame, key: str = "node_key", aliases: str | None = "
 
 
 def interchangeable(library: DataFrame, key: str, aliases: str | None) -> DataFrame:
-    """(one, rivals): one row with a map of each word of the list to the other words that it uses after or before the same words.
-
-    Read by the driver: the list is curated, its words are bounded by WORDS; a longer list is refused.
-    """
-    rows = [r[0] for r in spellings(library, key, aliases).where("size(w) > 1").select("w").distinct().limit(WORDS + 1).collect()]
-    if len(rows) > WORDS:
-        raise ValueError(f"a reference list may have {WORDS} spellings at most")
-    beside: dict[str, set[tuple[int, str]]] = {}
-    for row in rows:
-        for i, word in enumerate(row):
-            beside.setdefault(word, set()).update({(-1, row[i - 1] if i else ""), (1, row[i + 1] if i + 1 < len(row) else "")} - {(-1, ""), (1, "")})
-    places: dict[tuple[int, str], set[str]] = {}
-    for word, at in beside.items():
-        for place in at:
-            places.setdefault(place, set()).add(word)
-    out = {w: sorted({v for place in at for v in places[place] if abs(len(v) - len(w)) <= 4} - {w}) for w, at in sorted(beside.items())}
-    return library.sparkSession.createDataFrame([(0, out)], "one int, rivals map<string,array<string>>")
+    """(word, rival): each word of the list with each other word, of nearly its length, that the list uses before or after the same word."""
+    placed = spellings(library, key, aliases).where("size(w) > 1").select(F.posexplode("w").alias("i", "word"), "w")
+    beside = F.array(F.struct(F.lit(-1).alias("side"), F.get("w", F.col("i") - 1).alias("other")), F.struct(F.lit(1).alias("side"), F.get("w", F.col("i") + 1).alias("other")))
+    places = placed.select("word", F.explode(F.filter(beside, lambda p: p["other"].isNotNull())).alias("place")).distinct()
+    met = places.join(places.select("place", F.col("word").alias("rival")), "place")
+    return met.where("word <> rival AND abs(length(word) - length(rival)) <= 4").select("word", "rival").distinct()
 
 
 def segments(refs: DataFrame) -> DataFrame:
@@ -120,6 +106,22 @@ def near(strings: DataFrame, refs: DataFrame) -> DataFrame:
     return met.withColumn("edits", F.levenshtein("sq", "ref")).where("edits <= k").select("sq", "ref", "edits")
 
 
+def completed(labels: DataFrame, library: DataFrame, key: str, aliases: str | None) -> DataFrame:
+    """(typed, text) of labels with abbreviated words ("kneel. sh."): each completion from the words of one entry, and the label without its dots.
+
+    The first abbreviated word leads to the entries that hold a word of its beginning; the others are completed from the same entry where it has such a word.
+    """
+    tokens = F.split("typed", " ")
+    short = lambda t: t.rlike(r"^\p{L}{3,}\.$")
+    stem = lambda t: F.regexp_replace(t, r"\.", "")
+    cut_off = labels.where(F.exists(tokens, short)).withColumn("stem", stem(F.get(F.filter(tokens, short), F.lit(0)))).withColumn("begins", F.substring("stem", 1, 3))
+    entries = spellings(library, key, aliases).select("w", F.explode("w").alias("word")).where("length(word) > 3").select("w", "word", F.substring("word", 1, 3).alias("begins")).distinct()
+    met = cut_off.join(small(entries), "begins").where("startswith(word, stem) AND length(word) > length(stem)")
+    whole = lambda t: F.coalesce(F.when(stem(t) == F.col("stem"), F.col("word")), F.get(F.filter("w", lambda x: x.startswith(stem(t))), F.lit(0)), t)
+    full = met.select("typed", F.array_join(F.transform(tokens, lambda t: F.when(short(t), whole(t)).otherwise(t)), " ").alias("text"))
+    return full.distinct().unionByName(labels.select("typed", F.col("typed").alias("text")))
+
+
 def canonical(labels: DataFrame, library: DataFrame, label: str = "label", key: str = "node_key", aliases: str | None = "aliases") -> DataFrame:
     """Map free-entered values to a reference list: (label, node_key), one row for each different label that is not null.
 
@@ -127,39 +129,29 @@ def canonical(labels: DataFrame, library: DataFrame, label: str = "label", key:
     entry is meant. Method: labels are folded and stripped of remarks, abbreviated words are completed from the list's own
     words, and equal spellings are joined. What is left goes through the pigeonhole join (`near`). A word of a label that is, or is
     nearer to, another word that the list uses in the same places rules a candidate out, so that a value which the list lacks
-    does not fall to a neighbour; so do two different entries at the same distance.
+    does not fall to a neighbour; so do two different entries at the same distance. All of it is SQL functions and joins: nothing comes to the driver, no length
+    of label or list is left out, and each step works on different typed forms, pairs and words, however often they occur.
 
     Cases: a null label has no row; an empty one, or one of symbols only, means nothing (null key). Repeated labels give one row;
     extra columns are ignored. Very long labels cost what their substrings cost and match nothing. An empty library leaves all keys null.
     """
     refs = cut(reference(library, key, aliases))
     known = small(refs.select("ref", "node_key"))
-    # one row of bounded size; as a literal it would fill every plan that the driver keeps
-    rules = F.broadcast(interchangeable(library, key, aliases))
-    with_rules = lambda frame: frame.withColumn("one", F.lit(0)).join(rules, "one").drop("one")
-    vocab, rivals = F.map_keys("rivals"), F.col("rivals")
-    base = labels.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct().withColumn("typed", typed(F.col("label")))
-    # "kneel." stands for any word of the list that begins so
-    tokens = F.split("typed", " ")
-    stems = F.filter(tokens, lambda t: t.rlike(r"^\p{L}{3,}\.$"))
-    full = F.filter(vocab, lambda v: F.col("stem").isNotNull() & v.startswith(F.col("stem")) & (F.length(v) > F.length("stem")))
-    base = with_rules(base).withColumn("stem", F.regexp_replace(F.get(stems, F.lit(0)), r"\.", ""))
-    spelled = base.withColumn("word", F.explode_outer(F.when(F.col("stem").isNotNull(), F.array_append(full, F.col("stem"))))).select(
-        "label",
-        F.when(F.col("word").isNotNull(), F.array_join(F.transform(tokens, lambda t: F.when(t == F.concat(F.col("stem"), F.lit(".")), F.col("word")).otherwise(t)), " ")).otherwise(F.col("typed")).alias("text"),
-    )
-    spelled = cut(spelled.withColumn("w", words(F.col("text"))).withColumn("sq", F.array_join("w", "")).select("label", "w", "sq"))
-    exact = spelled.join(known, spelled["sq"] == known["ref"]).groupBy("label").agg(F.min("node_key").alias("node_key"), F.max("node_key").alias("other")).where("node_key = other").select("label", "node_key")
-    rest = spelled.join(spread(exact), "label", "left_anti").where(F.length("sq").between(5, 80))
+    base = cut(labels.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct().withColumn("typed", typed(F.col("label"))))
+    forms = completed(base.select("typed").distinct(), library, key, aliases)
+    spelled = cut(forms.withColumn("w", words(F.col("text"))).select("typed", "w", F.array_join("w", "").alias("sq")))
+    exact = spelled.join(known, spelled["sq"] == known["ref"]).groupBy("typed").agg(F.min("node_key").alias("node_key"), F.max("node_key").alias("other"))
+    exact = cut(exact.where("node_key = other").select("typed", "node_key"))
+    rest = spelled.join(spread(exact), "typed", "left_anti")
     pairs = near(rest.select("sq").distinct(), refs)
-    judged = with_rules(rest.join(spread(pairs), "sq").join(small(refs.select("ref", "ref_words", "node_key")), "ref"))
-    misread = F.exists(
-        F.arrays_zip(F.col("w").alias("w"), F.col("ref_words").alias("r")),
-        lambda z: (z["w"] != z["r"]) & F.exists(F.coalesce(F.element_at(rivals, z["r"]), F.array()), lambda v: F.levenshtein(z["w"], v) < F.levenshtein(z["w"], z["r"])),
-    )
-    fits = F.when(F.size("w") == F.size("ref_words"), ~misread).otherwise(F.col("edits") <= 2)
-    best = judged.where(fits).groupBy("label", "node_key").agg(F.min("edits").alias("edits")).groupBy("label").agg(F.min_by("node_key", "edits").alias("node_key"), F.min("edits").alias("least"), F.collect_list("edits").alias("all"))
-    found = best.where(F.size(F.filter("all", lambda e: e == F.col("least"))) == 1).select("label", "node_key")
-    matched = exact.unionByName(found)
-    unmatched = spelled.select("label").distinct().join(spread(matched), "label", "left_anti").withColumn("node_key", F.lit(None).cast("string"))
-    return matched.unionByName(unmatched)
+    judged = cut(rest.join(spread(pairs), "sq").join(small(refs.select("ref", "ref_words", "node_key")), "ref").select("typed", "w", "ref_words", "node_key", "edits"))
+    # a word that is nearer to a rival of the entry's word than to that word: told once for each different pair of words
+    aligned = judged.where("size(w) = size(ref_words)").select("typed", "w", "ref_words", F.explode(F.arrays_zip(F.col("w").alias("word"), F.col("ref_words").alias("meant"))).alias("z")).where("z.word <> z.meant")
+    pairs_of_words = aligned.select("z.word", "z.meant").distinct()
+    rivals = small(interchangeable(library, key, aliases).select(F.col("word").alias("meant"), "rival"))
+    misread = pairs_of_words.join(rivals, "meant").where("levenshtein(word, rival) < levenshtein(word, meant)").select("word", "meant").distinct()
+    wrong = aligned.join(spread(misread), [F.col("z.word") == misread["word"], F.col("z.meant") == misread["meant"]], "left_semi").select("typed", "w", "ref_words").distinct()
+    fits = judged.where("size(w) = size(ref_words) OR edits <= 2").join(spread(wrong), ["typed", "w", "ref_words"], "left_anti")
+    nearest = fits.groupBy("typed", "node_key").agg(F.min("edits").alias("edits")).groupBy("typed", "edits").agg(F.count("*").alias("n"), F.min("node_key").alias("node_key")).groupBy("typed").agg(F.min(F.struct("edits", "n", "node_key")).alias("best"))
+    found = nearest.where("best.n = 1").select("typed", F.col("best.node_key").alias("node_key"))
+    return base.join(spread(exact.unionByName(found)), "typed", "left").select("label", "node_key")

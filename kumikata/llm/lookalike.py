@@ -63,35 +63,52 @@ def script(char: str) -> int:
     return 0 if code < 0x250 or 0x1E00 <= code < 0x1F00 else 1 if 0x400 <= code < 0x530 else 2 if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000 else 3
 
 
+#: The maximal runs of letters and the marks on them.
+_WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff])+")
+_WORDS = _WORD.findall
+
+
+#: Letters of look-alike classes, in each script.
+_NEAR = frozenset(SCRIPT_OF)
+#: Texts that are taken apart together.
+TEXTS = 512
+
+
 def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of neighbouring letters in the words of one script, counted in the task; '' stands at either end."""
-    counts: dict[str, int] = {}
+    """Pairs of neighbouring letters in the words of one script, counted in the task; '^' and '$' stand at either end of a word.
+
+    Only pairs with a look-alike letter: of which there are as many as the letters of three scripts allow.
+    """
+    words: Counter[str] = Counter()
+    counts: Counter[str] = Counter()
+
+    def told() -> None:
+        for word, times in words.items():
+            bare = word if word.isascii() else "".join(c for c in word if not unicodedata.combining(c))
+            if bare.isascii() or len({script(c) for c in bare}) == 1:
+                for a, b in zip("^" + bare, bare + "$", strict=True):
+                    if a in _NEAR or b in _NEAR:
+                        counts[a + b] += times
+        words.clear()
+
     for frame in frames:
-        for text in frame["text"]:
-            for word, times in Counter(_WORDS(plain(text))).items():
-                bare = [c for c in word if not unicodedata.combining(c)] if not word.isascii() else word
-                if len({script(c) for c in bare}) == 1:
-                    for pair in zip(["^", *bare], [*bare, "$"], strict=True):
-                        pair = pair[0] + pair[1]
-                        counts[pair] = counts.get(pair, 0) + times
+        texts = frame["text"].tolist()
+        for i in range(0, len(texts), TEXTS):
+            words.update(_WORDS("\n".join(map(plain, texts[i : i + TEXTS]))))
+            if len(words) > Canonical.KEPT:
+                told()
+    told()
     if counts:
         yield pd.DataFrame({"pair": list(counts), "n": list(counts.values())})
 
 
-#: The maximal runs of letters and the marks on them.
-_WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff])+")
-_WORDS = _WORD.findall
-
-
 def letter_model(documents: DataFrame, text: str = "text") -> dict[str, int]:
-    """Counts of letter pairs in all words of one script, over all documents.
+    """Counts of the letter pairs that hold a look-alike letter, in all words of one script, over all documents.
 
-    What reaches the driver is bounded by the alphabets: pairs of letters of which one is a look-alike.
+    What reaches the driver is bounded by the alphabets of the three scripts.
     """
     counted = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_bigrams, "pair string, n long")
-    near = "".join(SCRIPT_OF) + "^$"
-    known = F.expr("ascii(substring(pair, 1, 1)) < 8192 AND ascii(substring(pair, 2, 1)) < 8192")
-    return {r[0]: r[1] for r in counted.where(known & F.col("pair").rlike(f"[{near}]".replace("^", r"\^"))).groupBy("pair").agg(F.sum("n").alias("n")).collect()}
+    return {r[0]: r[1] for r in counted.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
 class Canonical:
@@ -132,9 +149,10 @@ class Canonical:
         return out
 
     def text(self, text: str) -> str:
-        """The one form of a whole text."""
+        """The one form of a whole text: its different words are read once, and only those that change are written anew."""
         text = plain(text).translate(_CLASSES)
-        return _WORD.sub(lambda m: self.known.get(m[0]) or self.word(m[0]), text)
+        changed = {name: form for name in set(_WORDS(text)) if (form := self.known.get(name) or self.word(name)) != name}
+        return _WORD.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text
 
 
 def one_form(documents: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:

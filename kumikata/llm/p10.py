@@ -12,15 +12,17 @@ from kumikata.plans.runtime import cut, spread, table
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id_a, doc_id_b): documents whose texts look the same but are stored as different strings.
 
-    Only fingerprints are joined. Texts stored in one way only are left out before the join, so that copies of one string,
-    however many, never meet each other.
+    Only fingerprints are joined: first the different strings of one form with each other, then either string with its documents. So copies of one
+    string, however many, never meet each other, and a form that is stored in one way only has no pair.
     """
     forms = one_form(table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL"))
     prints = cut(forms.select("doc_id", F.sha2("canonical", 256).alias("form"), F.sha2("text", 256).alias("stored")))
-    several = prints.select("form", "stored").distinct().groupBy("form").count().where("count > 1").select("form")
-    kept = prints.join(several, "form", "left_semi")
-    a, b = (kept.select("form", F.col("stored").alias(f"stored_{x}"), F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
-    return a.join(spread(b), "form").where("doc_id_a < doc_id_b AND stored_a <> stored_b").select("doc_id_a", "doc_id_b")
+    strings = prints.groupBy("form", "stored").agg(F.count("*").alias("copies"))
+    several = strings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    kept = cut(strings.join(spread(several), "form", "left_semi").select("form", "stored"))
+    pairs = kept.select("form", F.col("stored").alias("stored_a")).join(spread(kept.select("form", F.col("stored").alias("stored_b"))), "form").where("stored_a <> stored_b").drop("form")
+    a, b = (prints.select(F.col("stored").alias(f"stored_{x}"), F.col("doc_id").alias(f"doc_id_{x}")) for x in "ab")
+    return pairs.join(spread(a), "stored_a").join(spread(b), "stored_b").where("doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
 
 
 def p10_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
