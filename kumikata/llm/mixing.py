@@ -56,9 +56,13 @@ def systematic(rows: DataFrame, stratum: str, key: str, size: str, expected: str
     spread = F.xxhash64(F.lit(seed), F.col(key).cast("string"))
     told = rows.withColumn("class", F.floor(F.log2(F.greatest(F.col(size), F.lit(1)).cast("double")) * 4).cast("int")).withColumn("spread", spread).withColumn("block", F.pmod("spread", F.lit(blocks)).cast("int"))
     told = cut(told)
-    sums = told.groupBy(stratum, "class", "block").agg(F.sum(expected).alias("sum"))
+    sums = cut(told.groupBy(stratum, "class", "block").agg(F.sum(expected).alias("sum")))
     start = F.xxhash64(F.lit(seed), F.col(stratum)).bitwiseAND((1 << 20) - 1) / float(1 << 20)
-    offsets = sums.withColumn("offset", start + F.coalesce(F.sum("sum").over(Window.partitionBy(stratum).orderBy("class", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).drop("sum")
+    # first over the classes of a stratum, some hundred at most, then over the blocks of a class
+    earlier = lambda w: F.coalesce(F.sum("sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    classes = sums.groupBy(stratum, "class").agg(F.sum("sum").alias("sum"))
+    classes = classes.select(stratum, "class", (start + earlier(Window.partitionBy(stratum).orderBy("class"))).alias("start"))
+    offsets = sums.join(classes, [stratum, "class"]).select(stratum, "class", "block", (F.col("start") + earlier(Window.partitionBy(stratum, "class").orderBy("block"))).alias("offset"))
     inside = Window.partitionBy(stratum, "class", "block").orderBy(size, "spread", key)
     here = F.sum(expected).over(inside.rowsBetween(Window.unboundedPreceding, 0))
     before = F.coalesce(F.sum(expected).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -67,6 +71,19 @@ def systematic(rows: DataFrame, stratum: str, key: str, size: str, expected: str
     return summed.withColumn("copies", (whole("here") - whole("before")).cast("int")).drop("class", "spread", "block", "offset", "here", "before")
 
 
+def marginals(documents: DataFrame, chosen: DataFrame, key: str, size: str, source: str, others: tuple[str, ...]) -> DataFrame:
+    """(marginal, value, present_share, reached_share): the shares of the total size by source and by each of `others` among the documents that could be
+    chosen (those of the sources in `chosen`), and among the chosen with their copies."""
+    names = (source, *others)
+    able = documents.where(F.col(size) > 0).select(key, size, *names).join(F.broadcast(chosen.select(source).distinct()), source)
+    told = able.join(chosen.select(key, "copies"), key, "left").withColumn("chosen", F.col(size) * F.coalesce("copies", F.lit(0)))
+    by = told.select(F.explode(F.array(*[F.struct(F.lit(n).alias("marginal"), F.coalesce(F.col(n), F.lit("")).alias("value")) for n in names])).alias("m"), size, "chosen")
+    sums = cut(by.groupBy("m.marginal", "m.value").agg(F.sum(size).alias("present"), F.sum("chosen").alias("chosen")))
+    totals = sums.groupBy("marginal").agg(F.sum("present").alias("all_present"), F.sum("chosen").alias("all_chosen"))
+    share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 6)
+    return sums.join(F.broadcast(totals), "marginal").select("marginal", "value", share("present", "all_present").alias("present_share"), share("chosen", "all_chosen").alias("reached_share"))
+
+
 def mixed(documents: DataFrame, targets: DataFrame, key: str, size: str, source: str, others: tuple[str, ...], total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Choose documents so that each source gives its target share of the total size.
 

@@ -90,27 +90,28 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.withColumn("bout", F.to_json(bout))
 
 
-def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each bout's group of records with its size, dominance layers, and the record of each field."""
+def _chosen(told: DataFrame, least: int) -> DataFrame:
     trust = F.when(F.col("source").isin(*SOURCES), F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")))
     usable = {"opp": usable_name(F.col("opp")), "year": usable_year(F.col("year")), "method": usable_method(F.col("method"))}
-    return survivors(reports(spark, sf_dir), "bout", "record_id", trust, "updated_at", usable)
+    return survivors(told, "bout", "record_id", trust, "updated_at", usable, least)
+
+
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bout's group of records with its size, dominance layers, and the record of each field."""
+    return _chosen(reports(spark, sf_dir), 1)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(first_id, opp_id, year_id, method_id) for each group of two or more records of one bout."""
-    return p1_survivors(spark, sf_dir).where("size > 1").select("first_id", "opp_id", "year_id", "method_id")
+    return _chosen(reports(spark, sf_dir), 2).select("first_id", "opp_id", "year_id", "method_id")
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per bout of an athlete, each field from its best record; records of no group stand for themselves."""
     told = reports(spark, sf_dir).withColumn("bout", F.coalesce("bout", F.concat(F.lit("record "), F.col("record_id").cast("string"))))
     told = cut(told)
-    trust = F.when(F.col("source").isin(*SOURCES), F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source")))
-    usable = {"opp": usable_name(F.col("opp")), "year": usable_year(F.col("year")), "method": usable_method(F.col("method"))}
-    chosen = survivors(told, "bout", "record_id", trust, "updated_at", usable)
-    out = chosen.select("first_id", "size", "opp_id", "year_id", "method_id")
-    for field in usable:
+    out = _chosen(told, 1).select("first_id", "size", "opp_id", "year_id", "method_id")
+    for field in ("opp", "year", "method"):
         out = out.join(told.select(F.col("record_id").alias(f"{field}_id"), F.col(field)), f"{field}_id", "left")
     return out.join(told.select(F.col("record_id").alias("first_id"), "athlete"), "first_id").select("first_id", "athlete", "opp", "year", "method", "size")
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from kumikata.plans.runtime import cut
 
 
+#: Parts of the items by key, within which pieces of one length are ranked.
+PARTS = 1024
+
+
 @dataclass
 class Plan:
     """Which container the n-th piece of each length goes to: runs of equal containers, by length."""
@@ -125,13 +129,14 @@ def packed(documents: DataFrame, size: str, capacity: int, key: str) -> DataFram
     `size` is an integer column (null or below 1: takes no room and goes to container 0). A piece of `capacity` fills a container; what is over goes with the others.
     The driver sees the histogram of lengths alone, at most `capacity` numbers whatever the data, and plans by it: length patterns of few
     documents, repeat counts by non-negative least squares, rounded down, the rest largest first. Each piece then finds its
-    container from its rank among the pieces of its length; ranks come from counts by partition and length, so that one length may hold any share of the rows.
+    container from its rank among the pieces of its length; ranks come from counts by part and length, so that one length may hold any share of the rows. Parts come
+    from the keys, so that equal items are packed in the same way on any cluster.
 
-    Every item is packed once. Repeated rows are packed each; ties by the order of reading; an empty table gives no row; other columns are dropped.
+    Every item is packed once. Repeated rows are packed each; equal keys stand in any order; an empty table gives no row; other columns are dropped.
     """
     sizes = documents.select(F.col(key).alias("key"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).alias("size"))
     pieces = sizes.select("key", F.posexplode(F.when(F.col("size") <= capacity, F.array("size")).otherwise(F.expr(f"transform(sequence(0, cast((size - 1) div {capacity} as int)), i -> least({capacity}, size - i * {capacity}))"))).alias("piece", "size"))
-    kept = cut(pieces.withColumn("part", F.spark_partition_id()))
+    kept = cut(pieces.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")))
     counts = cut(kept.where("size > 0").groupBy("part", "size").count())
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("count").alias("n")).collect()}
     made = plan(histogram, capacity)

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 HELD = 1_000_000
 
 
+#: Places of a sequence from which on those that no pattern needs are left out first.
+LONG = 512
+
+
 class Transducer:
     """The constraints of the patterns: `steps` different items in order, at most `gap` other events between two steps.
 
@@ -36,6 +40,24 @@ class Transducer:
             ok &= (self.follow[at] == steps) if len(self.follow) else False
         return ok
 
+    def shortened(self, sequence: np.ndarray) -> np.ndarray:
+        """A long sequence less the places that no pattern needs; without gaps to count the same patterns occur in both.
+
+        A pattern occurs if each step but the last stands at its first place after the step before, and the last step at its item's last place: so those places
+        suffice, of which there are at most (items)^(steps - 1) and a few, whatever the length.
+        """
+        if self.gap is not None or len(sequence) <= LONG:
+            return sequence
+        order = np.argsort(sequence, kind="stable")
+        bounds = np.flatnonzero(np.r_[True, np.diff(sequence[order]) != 0, True])
+        places = [order[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        kept = front = np.unique([p[0] for p in places])
+        for _ in range(self.steps - 2):
+            after = [p[at[at < len(p)]] for p in places for at in [np.searchsorted(p, front, side="right")]]
+            front = np.unique(np.concatenate(after))
+            kept = np.union1d(kept, front)
+        return sequence[np.union1d(kept, [p[-1] for p in places])]
+
     def automata(self, sequence: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(pivot, automaton) for each item that can be the rarest of a candidate output.
 
@@ -43,6 +65,7 @@ class Transducer:
         through it. Its states are these places; places of one item with the same steps ahead are one state, so that sequences with
         the same outputs give the same bytes and are counted together.
         """
+        sequence = self.shortened(sequence)
         full = self.edges(sequence)
         if not full.any():
             return

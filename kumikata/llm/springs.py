@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,14 @@ from kumikata.llm.stripes import numbered
 from kumikata.plans.runtime import cut, spread
 
 
-def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "loser", tie: str | None = None, ridge: float = 3.0, tolerance: float = 1e-7, rounds: int = 200) -> DataFrame:
+def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "loser", tie: str | None = None, ridge: float = 3.0, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
     """A strength for every item of pairwise comparisons: (item, strength, comparisons, won, lost).
 
     Each comparison is a spring that would place its winner one unit above its loser (at the same height where the boolean column `tie` is true); `ridge` ties each item to
     the middle by as many springs of length 0, which holds back items with few comparisons and makes the strengths of
     unconnected groups definite. The energy's minimum is the solution of one sparse, symmetric, positive definite linear system with
-    an entry per compared pair. It is solved by conjugate gradients with the Jacobi (diagonal) preconditioner: one join of the pairs with the
-    items and one sum by item a round; two numbers a round reach the driver, which stops at the relative `tolerance`.
+    an entry per compared pair. It is solved by conjugate gradients with the Jacobi (diagonal) preconditioner, in the form with one product and one sum a round: one join of the pairs with the
+    items, one sum by item, and two numbers that reach the driver, which stops at the relative `tolerance`. Strengths that have not settled after `rounds` are an error, never a result.
 
     Comparisons are added up by pair before the first round, so that repeated pairs cost one entry. Cases: a null item or an item against
     itself is left out, ties in strength are equal strengths, an empty table gives no row, other columns are ignored.
@@ -26,24 +28,36 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
     sums = bouts.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum(F.when(F.col("draw"), 0).otherwise(1)).alias("won"))
     both = sums.select("a", "b", "n", "won", F.lit(0).cast("long").alias("lost")).unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.lit(0).cast("long").alias("won"), F.col("won").alias("lost")))
     pairs = cut(both.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "won", "lost")]))
-    links = pairs.select("a", "b", F.col("n").cast("double").alias("n"))
     items = pairs.groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("comparisons"), F.sum("won").alias("won"), F.sum("lost").alias("lost"))
-    diagonal = F.col("comparisons") + F.lit(float(ridge))
-    state = cut(
-        items.withColumns({"d": diagonal, "x": F.lit(0.0), "r": (F.col("won") - F.col("lost")).cast("double")})
-        .withColumn("p", F.col("r") / F.col("d"))
-    )
-    rz = first = state.agg(F.coalesce(F.sum(F.col("r") * F.col("r") / F.col("d")), F.lit(0.0))).first()[0]
-    for _ in range(rounds):
-        if rz <= tolerance**2 * first or rz == 0:
-            break
-        pulled = links.join(spread(state.select(F.col("item").alias("b"), F.col("p").alias("pb"))), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("n") * F.col("pb")).alias("pull"))
-        moved = cut(state.join(spread(pulled), "item", "left").withColumn("ap", F.col("d") * F.col("p") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
-        step = rz / moved.agg(F.sum(F.col("p") * F.col("ap"))).first()[0]
-        new = moved.withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("ap")})
-        now = new.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
-        state = new.withColumn("p", F.col("r") / F.col("d") + (now / rz) * F.col("p")).drop("ap")
-        rz = now
+    parts = int(comparisons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # laid by the item they pull from and sorted, once for all rounds; lost parts are read from `pairs` again
+    links = pairs.select("a", "b", F.col("n").cast("double").alias("n")).repartition(parts, "b").sortWithinPartitions("b").persist()
+
+    def told(state: DataFrame) -> DataFrame:
+        """The state with w, what the system gives for u."""
+        pulled = links.join(spread(state.select(F.col("item").alias("b"), F.col("u").alias("ub"))), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("n") * F.col("ub")).alias("pull"))
+        return cut(state.join(spread(pulled), "item", "left").withColumn("w", F.col("d") * F.col("u") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
+
+    def sums(state: DataFrame) -> tuple[float, float]:
+        return tuple(state.agg(*[F.coalesce(F.sum(F.col(c) * F.col("u")), F.lit(0.0)) for c in ("r", "w")]).first())
+
+    try:
+        diagonal = F.col("comparisons") + F.lit(float(ridge))
+        state = items.withColumns({"d": diagonal, "x": F.lit(0.0), "r": (F.col("won") - F.col("lost")).cast("double")}).withColumn("u", F.col("r") / F.col("d"))
+        state = told(state.withColumns({"p": F.lit(0.0), "s": F.lit(0.0)}))
+        now, bent = sums(state)
+        first, beta, step, done = now, 0.0, now / bent if bent else 0.0, 0
+        while now > tolerance**2 * first:
+            if done == rounds:
+                raise RuntimeError(f"strengths have not settled after {rounds} rounds: residual {math.sqrt(now / first):.1e} of the first")
+            moved = state.withColumns({"p": F.col("u") + beta * F.col("p"), "s": F.col("w") + beta * F.col("s")}).drop("w")
+            moved = moved.withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("s")})
+            state = told(moved.withColumn("u", F.col("r") / F.col("d")))
+            before, (now, bent), done = now, sums(state), done + 1
+            beta = now / before
+            step = now / (bent - beta * now / step) if now else 0.0
+    finally:
+        links.unpersist()
     return state.select("item", F.col("x").alias("strength"), "comparisons", "won", "lost")
 
 

@@ -53,16 +53,23 @@ def _stripes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stripes of the same items, which lie in this partition, merged by key: (item_a, item_b, both)."""
+    """Stripes of the same items merged by key in the task: (item_a, item_b, both); sums go on when they grow beyond HELD."""
     held, counts = np.empty(0, "int64"), np.empty(0, "int64")
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(held >> 32), pa.array(held & 0xFFFFFFFF), pa.array(counts)], ["item_a", "item_b", "both"])
+
     for batch in batches:
         others = batch.column("others")
         sizes = np.diff(np.asarray(others.offsets))
         keys = np.r_[held, (np.repeat(np.asarray(batch.column("item")), sizes) << 32) | np.asarray(others.flatten())]
         held, inverse = np.unique(keys, return_inverse=True)
         counts = np.bincount(inverse, np.r_[counts, np.asarray(batch.column("counts").flatten())], len(held)).astype("int64")
+        if len(held) > HELD:
+            yield sent()
+            held, counts = np.empty(0, "int64"), np.empty(0, "int64")
     if len(held):
-        yield pa.RecordBatch.from_arrays([pa.array(held >> 32), pa.array(held & 0xFFFFFFFF), pa.array(counts)], ["item_a", "item_b", "both"])
+        yield sent()
 
 
 def log_likelihood(both: Column, a: Column, b: Column, total: Column) -> Column:
@@ -95,7 +102,8 @@ def together(memberships: DataFrame, basket: str, item: str, least: int = 2, lea
     numbers = kept.where("item IS NOT NULL").join(ids.select("item", "number"), "item")
     lists = numbers.groupBy("basket").agg(F.array_sort(F.collect_list("number")).alias("items")).where("size(items) > 1").select("items")
     stripes = lists.mapInArrow(_stripes, "item long, others array<long>, counts array<long>")
-    pairs = stripes.repartition("item").mapInArrow(_sums, "item_a long, item_b long, both long").where(F.col("both") >= support)
+    merged = stripes.repartition("item").mapInArrow(_sums, "item_a long, item_b long, both long")
+    pairs = merged.groupBy("item_a", "item_b").agg(F.sum("both").alias("both")).where(F.col("both") >= support)
     a = ids.select(F.col("number").alias("item_a"), F.col("item").alias("name_a"), F.col("n").alias("n_a"))
     b = ids.select(F.col("number").alias("item_b"), F.col("item").alias("name_b"), F.col("n").alias("n_b"))
     named = pairs.join(a, "item_a").join(b, "item_b")
