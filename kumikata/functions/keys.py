@@ -149,8 +149,8 @@ def fact_id(*parts: Column) -> Column:
 
 
 def grade(count: Column, bouts: Column) -> Column:
-    """How well a fact is supported; null where it is not."""
-    return F.when((count >= 5) & (bouts >= 3), "strong").when((count >= 3) & (bouts >= 2), "sustained").when(count >= 1, "limited")
+    """How well a fact is supported by its events and bouts; null where it is not. Fixed values."""
+    return F.when((count >= 8) & (bouts >= 4), "strong").when((count >= 5) & (bouts >= 3), "sustained").when((count >= 3) & (bouts >= 2), "limited")
 
 
 def vector(text: Column) -> Column:
