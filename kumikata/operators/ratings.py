@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,54 @@ def draw_probability(a: Column, b: Column) -> Column:
     return DRAW_SCALE / (DRAW_SCALE + F.abs(a - b))
 
 
+def opponent_rating(rows: DataFrame, ratings: DataFrame, opponent: str = "opponent", default: float = 800.0) -> DataFrame:
+    """Rows with `opponent_rating`, of (athlete, rating); `default` for somebody not yet rated."""
+    return rows.join(ratings.select(F.col("athlete").alias(opponent), F.col("rating").alias("opponent_rating")), opponent, "left").withColumn("opponent_rating", F.coalesce("opponent_rating", F.lit(default)))
+
+
+def match_score(won: Column, kind: Column, own_points: Column, other_points: Column) -> Column:
+    """A bout's score in [0, 1] for one side: a draw, a submission, else half the result (0.75 or 0.25) and half the share of points, which stays on the result's side of 0.5. Fixed values."""
+    result = F.when(won, 0.75).otherwise(0.25)
+    share = F.try_divide(own_points.cast("double"), own_points + other_points)
+    mixed = F.coalesce(0.5 * result + 0.5 * share, result)
+    held = F.when(won, F.greatest(F.lit(0.5), mixed)).otherwise(F.least(F.lit(0.5), mixed))
+    return F.when(kind == "DRAW", 0.5).when(kind == "SUBMISSION", F.when(won, 1.0).otherwise(0.0)).otherwise(held)
+
+
+def precision_weight(deviation: Column) -> Column:
+    return 1 / deviation**2
+
+
+def bounded_weight(deviation: Column, reference: float = 200.0) -> Column:
+    """A weight in (0, 1] that halves where the deviation is `reference`."""
+    return 1 / (1 + (deviation / reference) ** 2)
+
+
+def describe(rating: Column, deviation: Column) -> Column:
+    return F.concat(F.round(rating).cast("int").cast("string"), F.lit(" · "), tier(deviation))
+
+
+def bouts_hash(bouts: DataFrame, columns: list[str]) -> DataFrame:
+    """(bouts, hash): one hash of all rows whatever their order and place: sums of two hashes of each row, so that no list is gathered."""
+    text = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns])
+    halves = [F.coalesce(F.sum(F.conv(F.substring(F.sha2(text, 256), start, 12), 16, 10).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")) for start in (1, 13, 25, 37)]
+    return bouts.agg(F.count("*").alias("bouts"), F.substring(F.sha2(F.concat_ws("|", *[h.cast("string") for h in halves]), 256), 1, 16).alias("hash"))
+
+
+def compare_states(a: DataFrame, b: DataFrame, key: list[str], values: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """(key, field, first, second): where two runs differ by more than `tolerance`, or one lacks what the other has."""
+    both = a.select(*key, F.struct(*values).alias("_a")).join(b.select(*key, F.struct(*values).alias("_b")), key, "full_outer")
+    fields = F.array(*[F.struct(F.lit(v).alias("field"), F.col("_a")[v].cast("double").alias("first"), F.col("_b")[v].cast("double").alias("second")) for v in values])
+    told = both.select(*key, F.explode(fields).alias("f")).select(*key, "f.*")
+    return told.where((F.col("first").isNull() != F.col("second").isNull()) | (F.abs(F.col("first") - F.col("second")) > tolerance))
+
+
+def ranked_pools(ratings: DataFrame, pool: str, top: int) -> DataFrame:
+    """(pool, place, athlete, rating): the best of each pool."""
+    w = Window.partitionBy(pool).orderBy(F.desc("rating"), "athlete")
+    return ratings.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select(pool, "place", "athlete", "rating")
+
+
 def _expected(a: float, b: float) -> float:
     return 1 / (1 + 10 ** ((b - a) / 400))
 
@@ -121,7 +169,7 @@ def period_sums(observed: DataFrame, states: DataFrame) -> DataFrame:
     return told.groupBy("athlete").agg(F.sum(F.col("weight") * g * g * e * (1 - e)).alias("inv_v"), F.sum(F.col("weight") * g * (F.col("score") - e)).alias("score_sum"))
 
 
-def glicko_update(rating: np.ndarray, deviation: np.ndarray, volatility: np.ndarray, inv_v: np.ndarray, score_sum: np.ndarray, tau: float = TAU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def glicko_update(rating: np.ndarray, deviation: np.ndarray, volatility: np.ndarray, inv_v: np.ndarray, score_sum: np.ndarray, tau: float | np.ndarray = TAU) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """New rating, deviation and volatility of many athletes; who has no bout (inv_v 0 or nan) only widens."""
     mu, phi, sigma = (rating - CENTRE) / SCALE, deviation / SCALE, volatility.copy()
     idle = ~(inv_v > 0)
@@ -164,6 +212,12 @@ def _update(rating: pd.Series, deviation: pd.Series, volatility: pd.Series, inv_
     return pd.DataFrame(dict(zip(("rating", "deviation", "volatility"), out, strict=True)))
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("rating", "deviation", "volatility")]))
+def _update_by(rating: pd.Series, deviation: pd.Series, volatility: pd.Series, inv_v: pd.Series, score_sum: pd.Series, tau: pd.Series) -> pd.DataFrame:
+    out = glicko_update(*(x.to_numpy(float) for x in (rating, deviation, volatility, inv_v.fillna(0), score_sum.fillna(0))), tau.to_numpy(float))
+    return pd.DataFrame(dict(zip(("rating", "deviation", "volatility"), out, strict=True)))
+
+
 def seeds(bouts: DataFrame) -> DataFrame:
     """The state before the first period of everybody in the bouts (a, b)."""
     names = bouts.select(F.explode(F.array("a", "b")).alias("athlete")).distinct()
@@ -185,6 +239,70 @@ def glicko2(bouts: DataFrame, states: DataFrame | None = None) -> DataFrame:
     return states
 
 
+#: One cell of the node track's grid: how much a bout weighs, the deviation of a new node, its tau and volatility. Fixed values.
+NODE_CELL = ("0.25/350", 0.25, 350.0, 0.5, 0.06)
+
+
+def node_track(bouts: DataFrame, nodes: DataFrame, grid: list[tuple[str, float, float, float, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Global and node states after all periods: (athlete, rating, deviation, volatility) and (cell, athlete, node, rating, deviation, volatility, seed, bouts, occurrences).
+
+    `bouts` has (match, period, a, b, score_a), `nodes` (match, athlete, node, occurrences), what each side showed, once a bout. A node begins at its athlete's
+    global rating before the period in which it is first seen, with the deviation of its cell, and is rated against the opponents' global states before the period;
+    repeats in a bout do not add weight. All cells of `grid` (cell, weight, deviation, tau, volatility) run side by side. Per period: a join
+    with the states before it and sums; a node that is not seen only widens.
+    """
+    spark = bouts.sparkSession
+    cells = F.broadcast(spark.createDataFrame(grid or [NODE_CELL], "cell string, weight double, start double, tau double, first_volatility double"))
+    bouts = cut(bouts.select("match", "period", "a", "b", F.col("score_a").cast("double").alias("score_a")))
+    sides = bouts.select("match", "period", F.col("a").alias("athlete"), F.col("b").alias("opponent"), F.col("score_a").alias("score")).unionByName(bouts.select("match", "period", F.col("b").alias("athlete"), F.col("a").alias("opponent"), (1 - F.col("score_a")).alias("score")))
+    shown = cut(sides.join(nodes.groupBy("match", "athlete", "node").agg(F.sum("occurrences").alias("occurrences")), ["match", "athlete"]))
+    seen, states, track, key = observations(bouts), seeds(bouts), None, ["cell", "athlete", "node"]
+    for row in bouts.select("period").distinct().orderBy("period").collect():
+        now = shown.where(F.col("period") == row[0]).join(states.select(F.col("athlete").alias("opponent"), ((F.col("rating") - CENTRE) / SCALE).alias("muj"), (F.col("deviation") / SCALE).alias("phij")), "opponent")
+        counts = now.groupBy("athlete", "node").agg(F.count("*").alias("more"), F.sum("occurrences").alias("more_occurrences"))
+        fresh = counts.join(states.select("athlete", F.col("rating").alias("own")), "athlete").withColumn("_one", F.lit(0)).join(cells.withColumn("_one", F.lit(0)), "_one").drop("_one")
+        if track is None:
+            before = fresh.select(*key, F.col("own").alias("rating"), F.col("start").alias("deviation"), F.col("first_volatility").alias("volatility"), F.col("own").alias("seed"), F.lit(0).cast("long").alias("bouts"), F.lit(0).cast("long").alias("occurrences"), "more", "more_occurrences")
+        else:
+            both = track.join(fresh.select(*key, "own", "start", "first_volatility", "more", "more_occurrences"), key, "full_outer")
+            before = both.select(*key, F.coalesce("rating", "own").alias("rating"), F.coalesce("deviation", "start").alias("deviation"), F.coalesce("volatility", "first_volatility").alias("volatility"), F.coalesce("seed", "own").alias("seed"), F.coalesce("bouts", F.lit(0)).alias("bouts"), F.coalesce("occurrences", F.lit(0)).alias("occurrences"), "more", "more_occurrences")
+        before = cut(before)
+        told = now.select("athlete", "node", "score", "muj", "phij").join(before.select(*key, ((F.col("rating") - CENTRE) / SCALE).alias("mu")), ["athlete", "node"])
+        g = 1 / F.sqrt(1 + 3 * F.col("phij") ** 2 / math.pi**2)
+        e = 1 / (1 + F.exp(-g * (F.col("mu") - F.col("muj"))))
+        sums = told.groupBy(*key).agg(F.sum(g * g * e * (1 - e)).alias("inv_v"), F.sum(g * (F.col("score") - e)).alias("score_sum"))
+        weighed = before.join(sums, key, "left").join(cells.select("cell", "weight", "tau"), "cell")
+        update = _update_by("rating", "deviation", "volatility", F.col("weight") * F.col("inv_v"), F.col("weight") * F.col("score_sum"), "tau").alias("s")
+        track = cut(weighed.select(*key, update, "seed", (F.col("bouts") + F.coalesce("more", F.lit(0))).alias("bouts"), (F.col("occurrences") + F.coalesce("more_occurrences", F.lit(0))).alias("occurrences")).select(*key, "s.*", "seed", "bouts", "occurrences"))
+        states = cut(states.join(period_sums(seen.where(F.col("period") == row[0]), states), "athlete", "left").select("athlete", _update("rating", "deviation", "volatility", "inv_v", "score_sum").alias("s")).select("athlete", "s.*"))
+    return states, track
+
+
+def node_criteria(states: DataFrame, track: DataFrame, holdout: DataFrame, nodes: DataFrame, low: float = 200.0, still: float = 5.0) -> DataFrame:
+    """(cell, nodes, at_prior, single_bout, median_bouts, holdout, base_loss, loss, calibrated, predicted, observed) per cell of a node track, judged on the bouts after it.
+
+    `base_loss` is the log loss of the global states alone, `loss` that of each side's states combined by precision with those of its nodes; `predicted` and `observed` are means over
+    nodes surer than `low` against the opponents' global states; a node is at its prior if it is within `still` of its seed.
+    """
+    clamp = lambda p: F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    loss = lambda p: F.avg(-(F.col("score_a") * F.ln(p) + (1 - F.col("score_a")) * F.ln(1 - p)))
+    about = track.groupBy("cell").agg(F.count("*").alias("nodes"), F.avg((F.abs(F.col("rating") - F.col("seed")) < still).cast("double")).alias("at_prior"), F.avg((F.col("bouts") <= 1).cast("double")).alias("single_bout"), F.percentile("bouts", F.lit(0.5)).alias("median_bouts"))
+    cells = track.select("cell").distinct()
+    whole = states.withColumn("_one", F.lit(0)).join(F.broadcast(cells.withColumn("_one", F.lit(0))), "_one").select("cell", "athlete", "rating", "deviation")
+    mixed = cut(blend(whole.unionByName(track.select("cell", "athlete", "rating", "deviation")), ["cell", "athlete"]))
+    side = lambda x: states.select(F.col("athlete").alias(x), F.col("rating").alias(f"r{x}"), F.col("deviation").alias(f"d{x}"))
+    known = holdout.join(side("a"), "a").join(side("b"), "b")
+    blended = lambda x: mixed.select("cell", F.col("athlete").alias(x), F.col("rating").alias(f"m{x}"), F.col("deviation").alias(f"e{x}"))
+    judged = known.join(blended("a"), "a").join(blended("b"), ["cell", "b"])
+    base, own = (clamp(win_chance(*map(F.col, names))) for names in (("ra", "da", "rb", "db"), ("ma", "ea", "mb", "eb")))
+    losses = judged.groupBy("cell").agg(F.count("*").alias("holdout"), loss(base).alias("base_loss"), loss(own).alias("loss"))
+    sides = known.select("match", F.col("a").alias("athlete"), "rb", "db", F.col("score_a").alias("score")).unionByName(known.select("match", F.col("b").alias("athlete"), F.col("ra").alias("rb"), F.col("da").alias("db"), (1 - F.col("score_a")).alias("score")))
+    sure = track.where(F.col("deviation") < low).select("cell", "athlete", "node", "rating", "deviation")
+    told = sides.join(nodes.select("match", "athlete", "node").distinct(), ["match", "athlete"]).join(sure, ["athlete", "node"])
+    calibration = told.groupBy("cell").agg(F.count("*").alias("calibrated"), F.avg(win_chance(*map(F.col, ("rating", "deviation", "rb", "db")))).alias("predicted"), F.avg("score").alias("observed"))
+    return about.join(losses, "cell", "left").join(calibration, "cell", "left").na.fill(0, ["holdout", "calibrated"])
+
+
 def win_chance(a: Column, da: Column, b: Column, db: Column) -> Column:
     """Chance that a beats b by their ratings and the uncertainty of both."""
     phi = F.sqrt(da**2 + db**2) / SCALE
@@ -266,10 +384,10 @@ def graph_elo(entries: DataFrame, base: float = 800.0, mult: float = 2.5, half_l
     return rows.mapInPandas(fold, "athlete string, label string, elo double, uses long")
 
 
-def blend(states: DataFrame, group: str) -> DataFrame:
+def blend(states: DataFrame, group: str | list[str]) -> DataFrame:
     """(group, rating, deviation): states combined by their precision."""
     p = 1 / F.col("deviation") ** 2
-    return states.groupBy(group).agg((F.sum(F.col("rating") * p) / F.sum(p)).alias("rating"), (1 / F.sqrt(F.sum(p))).alias("deviation"))
+    return states.groupBy(*([group] if isinstance(group, str) else group)).agg((F.sum(F.col("rating") * p) / F.sum(p)).alias("rating"), (1 / F.sqrt(F.sum(p))).alias("deviation"))
 
 
 def tier(deviation: Column) -> Column:
