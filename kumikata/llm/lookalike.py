@@ -52,9 +52,43 @@ class _Plain(dict):
 _PLAIN = _Plain(_TABLE)
 
 
+def replaced(text: str, table: dict[int, str | None]) -> str:
+    """str.translate, character by character only where the text has many that change: the others are replaced one after another, which is faster in long texts.
+
+    What a character becomes holds none that changes.
+    """
+    odd = {c: new for c in set(text) if (new := table[ord(c)] if ord(c) in table or isinstance(table, _Plain) else c) != c}
+    for c, new in odd.items():
+        text = text.replace(c, new or "")
+    return text
+
+
 def plain(text: str) -> str:
     """Ignorable characters deleted, look-alike compatibility forms replaced, canonically decomposed."""
-    return text if text.isascii() else unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(_PLAIN))
+    return text if text.isascii() else unicodedata.normalize("NFD", replaced(unicodedata.normalize("NFD", text), _PLAIN))
+
+
+#: Characters of the texts that are taken through at once.
+TOGETHER = 2_000_000
+
+
+def joined(texts: list[str]) -> Iterator[tuple[str, str]]:
+    """The texts in turn, many in one string, with the character between them, which none of them has."""
+    block: list[str] = []
+    size = 0
+
+    def told() -> tuple[str, str]:
+        mark = next(chr(c) for c in range(0xE000, 0xF8FF) if not any(chr(c) in t for t in block))
+        return mark.join(block), mark
+
+    for text in texts:
+        if block and size + len(text) > TOGETHER:
+            yield told()
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield told()
 
 
 def script(char: str) -> int:
@@ -63,15 +97,12 @@ def script(char: str) -> int:
     return 0 if code < 0x250 or 0x1E00 <= code < 0x1F00 else 1 if 0x400 <= code < 0x530 else 2 if 0x370 <= code < 0x400 or 0x1F00 <= code < 0x2000 else 3
 
 
-#: The maximal runs of letters and the marks on them.
+#: The maximal runs of letters and the marks on them; no run holds a blank.
 _WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff])+")
 _WORDS = _WORD.findall
 
-
 #: Letters of look-alike classes, in each script.
 _NEAR = frozenset(SCRIPT_OF)
-#: Texts that are taken apart together.
-TEXTS = 512
 
 
 def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,23 +110,22 @@ def _bigrams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     Only pairs with a look-alike letter: of which there are as many as the letters of three scripts allow.
     """
-    words: Counter[str] = Counter()
+    tokens: Counter[str] = Counter()
     counts: Counter[str] = Counter()
 
     def told() -> None:
-        for word, times in words.items():
+        for word, times in ((w, n) for token, n in tokens.items() for w in _WORDS(token)):
             bare = word if word.isascii() else "".join(c for c in word if not unicodedata.combining(c))
             if bare.isascii() or len({script(c) for c in bare}) == 1:
                 for a, b in zip("^" + bare, bare + "$", strict=True):
                     if a in _NEAR or b in _NEAR:
                         counts[a + b] += times
-        words.clear()
+        tokens.clear()
 
     for frame in frames:
-        texts = frame["text"].tolist()
-        for i in range(0, len(texts), TEXTS):
-            words.update(_WORDS("\n".join(map(plain, texts[i : i + TEXTS]))))
-            if len(words) > Canonical.KEPT:
+        for block, _ in joined(frame["text"].tolist()):
+            tokens.update(plain(block).split(" "))
+            if len(tokens) > Canonical.KEPT:
                 told()
     told()
     if counts:
@@ -119,7 +149,7 @@ class Canonical:
 
     #: Cost of a change of script within a word.
     CHANGE = 12.0
-    #: Words kept between texts.
+    #: Words, and what stands between blanks, kept between texts.
     KEPT = 200_000
 
     def __init__(self, pairs: dict[str, int]):
@@ -129,6 +159,7 @@ class Canonical:
         self.cost = {pair: -math.log(n / (totals[pair[0]] + 400)) for pair, n in pairs.items()}
         self.unseen = {a: -math.log(0.5 / (n + 400)) for a, n in totals.items()}
         self.known: dict[str, str] = {}
+        self.tokens: dict[str, str] = {}
 
     def step(self, a: str, b: str) -> float:
         changed = a != "^" and b != "$" and script(a) != script(b)
@@ -148,11 +179,23 @@ class Canonical:
                 self.known[name] = out
         return out
 
+    def token(self, token: str) -> str:
+        """What stands between two blanks, with its words in their one form."""
+        if (out := self.tokens.get(token)) is None:
+            out = _WORD.sub(lambda m: self.word(m[0]), token)
+            if len(self.tokens) < self.KEPT:
+                self.tokens[token] = out
+        return out
+
     def text(self, text: str) -> str:
-        """The one form of a whole text: its different words are read once, and only those that change are written anew."""
-        text = plain(text).translate(_CLASSES)
-        changed = {name: form for name in set(_WORDS(text)) if (form := self.known.get(name) or self.word(name)) != name}
-        return _WORD.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text
+        """The one form of a whole text: what stands between two blanks is read once, however often it occurs."""
+        tokens = replaced(plain(text), _CLASSES).split(" ")
+        forms = {token: self.token(token) for token in set(tokens)}
+        return " ".join(map(forms.__getitem__, tokens))
+
+    def texts(self, texts: list[str]) -> list[str]:
+        """The one form of each text; many are read at once."""
+        return [form for block, mark in joined(texts) for form in self.text(block).split(mark)]
 
 
 def one_form(documents: DataFrame, text: str = "text", out: str = "canonical") -> DataFrame:
@@ -174,6 +217,9 @@ def one_form(documents: DataFrame, text: str = "text", out: str = "canonical") -
     def read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Canonical(shared.value)
         for part in parts:
-            yield part.map(lambda t: None if t is None else reader.text(t)).astype(object)
+            known = part.notna()
+            out = pd.Series(None, index=part.index, dtype=object)
+            out[known] = reader.texts(part[known].tolist())
+            yield out
 
     return documents.withColumn(out, read(F.col(text)))
