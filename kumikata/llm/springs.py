@@ -38,24 +38,36 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
         pulled = links.join(spread(state.select(F.col("item").alias("b"), F.col("u").alias("ub"))), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("n") * F.col("ub")).alias("pull"))
         return cut(state.join(spread(pulled), "item", "left").withColumn("w", F.col("d") * F.col("u") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
 
-    def sums(state: DataFrame) -> tuple[float, float]:
-        return tuple(state.agg(*[F.coalesce(F.sum(F.col(c) * F.col("u")), F.lit(0.0)) for c in ("r", "w")]).first())
+    def measured(state: DataFrame, before: DataFrame | None) -> DataFrame:
+        """One row with the round's numbers, from the state's sums and the numbers of the round before.
+
+        They stay columns: as literals they would give every round code of its own to compile.
+        """
+        total = lambda c: F.coalesce(F.sum(F.col(c) * F.col("u")), F.lit(0.0))
+        now = state.agg(total("r").alias("left"), total("w").alias("bent")).withColumn("one", F.lit(0))
+        if before is None:
+            return cut(now.select("one", "left", F.lit(0.0).alias("beta"), F.coalesce(F.try_divide("left", "bent"), F.lit(0.0)).alias("step")))
+        told = now.join(F.broadcast(before.select("one", F.col("left").alias("left0"), F.col("step").alias("step0"))), "one").withColumn("beta", F.coalesce(F.try_divide("left", "left0"), F.lit(0.0)))
+        step = F.try_divide(F.col("left"), F.col("bent") - F.try_divide(F.col("beta") * F.col("left"), F.col("step0")))
+        return cut(told.select("one", "left", "beta", F.coalesce(step, F.lit(0.0)).alias("step")))
 
     try:
         diagonal = F.col("comparisons") + F.lit(float(ridge))
         state = items.withColumns({"d": diagonal, "x": F.lit(0.0), "r": (F.col("won") - F.col("lost")).cast("double")}).withColumn("u", F.col("r") / F.col("d"))
-        state = told(state.withColumns({"p": F.lit(0.0), "s": F.lit(0.0)}))
-        now, bent = sums(state)
-        first, beta, step, done = now, 0.0, now / bent if bent else 0.0, 0
-        while now > tolerance**2 * first:
-            if done == rounds:
-                raise RuntimeError(f"strengths have not settled after {rounds} rounds: residual {math.sqrt(now / first):.1e} of the first")
-            moved = state.withColumns({"p": F.col("u") + beta * F.col("p"), "s": F.col("w") + beta * F.col("s")}).drop("w")
-            moved = moved.withColumns({"x": F.col("x") + step * F.col("p"), "r": F.col("r") - step * F.col("s")})
+        state = told(state.withColumns({"p": F.lit(0.0), "s": F.lit(0.0), "one": F.lit(0)}))
+        numbers = measured(state, None)
+        now = first = numbers.first()["left"]
+        for _ in range(rounds):
+            if now <= tolerance**2 * first:
+                break
+            moved = state.join(F.broadcast(numbers.select("one", "beta", "step")), "one")
+            moved = moved.withColumns({"p": F.col("u") + F.col("beta") * F.col("p"), "s": F.col("w") + F.col("beta") * F.col("s")}).drop("w")
+            moved = moved.withColumns({"x": F.col("x") + F.col("step") * F.col("p"), "r": F.col("r") - F.col("step") * F.col("s")}).drop("beta", "step")
             state = told(moved.withColumn("u", F.col("r") / F.col("d")))
-            before, (now, bent), done = now, sums(state), done + 1
-            beta = now / before
-            step = now / (bent - beta * now / step) if now else 0.0
+            numbers = measured(state, numbers)
+            now = numbers.first()["left"]
+        if now > tolerance**2 * first:
+            raise RuntimeError(f"strengths have not settled after {rounds} rounds: residual {math.sqrt(now / first):.1e} of the first")
     finally:
         links.unpersist()
     return state.select("item", F.col("x").alias("strength"), "comparisons", "won", "lost")
