@@ -217,9 +217,9 @@ def one_form(documents: DataFrame, text: str = "text", out: str = "canonical") -
     def read(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Canonical(shared.value)
         for part in parts:
-            known = part.notna()
-            out = pd.Series(None, index=part.index, dtype=object)
-            out[known] = reader.texts(part[known].tolist())
-            yield out
+            texts = part.tolist()
+            forms = iter(reader.texts([t for t in texts if t is not None]))
+            # from a list: pandas would widen all strings to the longest
+            yield pd.Series([None if t is None else next(forms) for t in texts], dtype=object)
 
     return documents.withColumn(out, read(F.col(text)))
