@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -156,3 +158,97 @@ def grade(count: Column, bouts: Column) -> Column:
 def vector(text: Column) -> Column:
     """Numbers from a text such as [1, 2.5]."""
     return F.from_json(text, "array<double>")
+
+
+# Words of an attempt or an outcome at the end of a label.
+ATTEMPTS = r"\s+(attempts?|attempted|defen[cs]e|escaped|failed|finish(ed)?|success(ful)?)$"
+# How a frame's classes name the side of a position.
+SIDES = ("top", "bottom", "neutral")
+
+
+def clock_seconds(text: Column) -> Column:
+    """Seconds of H:MM:SS, M:SS or plain seconds; null where it is none of them."""
+    parts = F.transform(F.split(F.trim(text), ":"), lambda p: F.when(p.rlike(r"^[0-9]{1,6}$"), p.cast("int")))
+    known = (F.size(parts) <= 3) & ~F.exists(parts, lambda p: p.isNull())
+    return F.when(known, F.aggregate(parts, F.lit(0), lambda acc, p: acc * 60 + p))
+
+
+def without_attempt(label: Column) -> Column:
+    """A label less the word of an attempt or outcome at its end."""
+    return F.trim(F.regexp_replace(label, ATTEMPTS, ""))
+
+
+def class_parts(name: Column) -> tuple[Column, Column]:
+    """Position and side of a class such as `mount_top`; without a known side all is position."""
+    side = F.substring_index(name, "_", -1)
+    has = name.contains("_") & side.isin(*SIDES)
+    return F.when(has, F.regexp_replace(name, r"_[^_]*$", "")).otherwise(name), F.when(has, side)
+
+
+def detector_class(name: Column, roles: dict[int, str] | None = None) -> Column:
+    """A detector's raw class (`Mount 1`, `side-control2`) as `position_role`; its number says the role."""
+    roles = roles or {1: "top", 2: "bottom"}
+    number = F.regexp_extract(name, r"([0-9]+)\s*$", 1)
+    role = F.coalesce(*[F.when(number == str(n), F.lit(r)) for n, r in roles.items()])
+    plain = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"[0-9]+\s*$", ""), r"[^a-z0-9]+", " ")), " ", "_")
+    return F.when(role.isNotNull(), F.concat(plain, F.lit("_"), role)).otherwise(plain)
+
+
+def frame_actor(centre: Column, width: Column, side: Column) -> Column:
+    """you or opponent, by the half of the frame in which a box has its centre and the side on which you are."""
+    left = centre < width / 2
+    return F.when(left == (side == "left"), "you").otherwise("opponent")
+
+
+def role_actor(role: Column, own: Column) -> Column:
+    """you, opponent or neutral, by the side of a position."""
+    return F.when(role.isin("top", "bottom"), F.when(role == own, "you").otherwise("opponent")).otherwise("neutral")
+
+
+def variations(first: Column, second: Column) -> Column:
+    """The different search forms of an entry's two names, in lower case."""
+    return F.array_distinct(F.array_compact(F.array(*[F.nullif(F.lower(F.trim(c)), F.lit("")) for c in (first, second)])))
+
+
+def reviewed(pairs: DataFrame, verdicts: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Pairs with the `verdict` and `reason` of people (a, b, verdict, reason), whichever of the two stands first."""
+    told = verdicts.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"), "verdict", "reason").dropDuplicates(["_a", "_b"])
+    return pairs.withColumns({"_a": F.least(a, b), "_b": F.greatest(a, b)}).join(told, ["_a", "_b"], "left").drop("_a", "_b")
+
+
+def aliases_of(aliases: DataFrame, roster: DataFrame) -> DataFrame:
+    """The aliases (alias, key) whose key is in the roster (key)."""
+    return aliases.join(roster.select("key").distinct(), "key", "left_semi").select("alias", "key")
+
+
+def clean_labels(events: DataFrame, library: DataFrame) -> DataFrame:
+    """(events with `clean`, `changed`): labels less their attempt, under the name of the library (form, name, type) unless its type contradicts the event's."""
+    forms = library.select(F.col("form").alias("_form"), F.col("name").alias("_name"), F.col("type").alias("_type")).dropDuplicates(["_form"])
+    told = events.withColumn("_form", without_attempt(node_key(F.col("label")))).join(forms, "_form", "left")
+    agrees = F.col("_name").isNotNull() & (F.col("_type").isNull() | F.col("type").isNull() | (F.col("_type") == F.col("type")))
+    return told.withColumn("clean", F.when(agrees, F.col("_name")).otherwise(F.col("label"))).withColumn("changed", F.col("clean") != F.col("label")).drop("_form", "_name", "_type")
+
+
+def at_path(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text."""
+    return F.get_json_object(document, "$." + path)
+
+
+def formula(document: Column, text: str) -> Column:
+    """A sum, difference, product or quotient over numbers and dotted paths of a JSON text; anything else is refused. Null by zero.
+
+    The text is read here, never handed to SQL.
+    """
+    def build(node: ast.AST) -> Column:
+        if isinstance(node, ast.BinOp) and isinstance(node.op, (ast.Add, ast.Sub, ast.Mult, ast.Div)):
+            a, b = build(node.left), build(node.right)
+            return a + b if isinstance(node.op, ast.Add) else a - b if isinstance(node.op, ast.Sub) else a * b if isinstance(node.op, ast.Mult) else F.try_divide(a, b)
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+            return -build(node.operand)
+        if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
+            return F.lit(float(node.value))
+        if isinstance(node, (ast.Name, ast.Attribute)):
+            return at_path(document, ast.unparse(node)).try_cast("double")
+        raise ValueError(f"not a formula: {text}")
+
+    return build(ast.parse(text, mode="eval").body)

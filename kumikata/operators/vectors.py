@@ -269,3 +269,54 @@ def next_moves(steps: DataFrame, who: str, top: int = 3, weight: float = 0.5) ->
     everyone = own.select(who, "source").distinct().join(pooled, "source").select(who, "source", "target", "p")
     told = blend(own, everyone, [who, "source"], "target", "p", weight)
     return told.withColumn("rank", F.row_number().over(Window.partitionBy(who, "source").orderBy(F.desc(F.round("p", 9)), "target"))).where(F.col("rank") <= top).select(who, "source", "rank", "target", "p")
+
+
+def class_shares(probabilities: DataFrame, index: DataFrame, frame: str, cls: str, p: str) -> DataFrame:
+    """(frame, node, p): a classifier's probabilities added up by the node that each class means (index: class, node), as shares; classes of no node are left out."""
+    told = probabilities.join(index.select(F.col("class").alias(cls), "node"), cls).groupBy(frame, "node").agg(F.sum(p).alias("p"))
+    return told.withColumn("p", F.col("p") / F.sum("p").over(Window.partitionBy(frame)))
+
+
+def reranked(shares: DataFrame, prior: DataFrame, frame: str, given: str, alpha: float = 0.3, floor: float = 1e-3) -> DataFrame:
+    """(frame, node, p, prior, score, place): shares (frame, given, node, p) weighed by what usually follows `given` (prior: given, node, p).
+
+    The score is p^(1 - alpha) x prior^alpha, as a share of the frame; a node that never followed has `floor`.
+    """
+    told = shares.join(prior.select(given, "node", F.col("p").alias("prior")), [given, "node"], "left").withColumn("prior", F.coalesce("prior", F.lit(floor)))
+    w = Window.partitionBy(frame)
+    told = told.withColumn("score", F.pow("p", F.lit(1 - alpha)) * F.pow("prior", F.lit(alpha))).withColumn("score", F.col("score") / F.sum("score").over(w))
+    return told.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), "node")))
+
+
+def signature(vector: Column, names: tuple[str, ...], most: int = 2, least: float = 1e-3) -> Column:
+    """The names of a vector's largest numbers above `least`, `most` at most, the largest first."""
+    pairs = F.transform(vector, lambda x, i: F.struct((-x).alias("minus"), i.alias("i")))
+    top = F.slice(F.array_sort(F.filter(pairs, lambda p: p["minus"] < -least)), 1, most)
+    return F.transform(top, lambda p: F.get(F.array(*map(F.lit, names)), p["i"]))
+
+
+def archetype_names(centres: DataFrame, centre: str, shares: str, deviance: str, names: tuple[str, ...]) -> DataFrame:
+    """(centre, name): a cluster by what it does more than others, else by what it does most; equal names are told apart by the latter, then numbered."""
+    top, most = signature(F.col(deviance), names), signature(F.col(shares), names, 1, 0.0)
+    based = F.when(F.size(most) > 0, F.concat(F.initcap(F.get(most, F.lit(0))), F.lit("-Based"))).otherwise("Balanced")
+    plain = F.when(F.size(top) > 0, F.concat(F.array_join(F.transform(top, lambda t: F.initcap(t)), " / "), F.lit(" Specialist"))).otherwise(based)
+    told = centres.select(centre, plain.alias("_plain"), based.alias("_based"))
+    alike = F.count("*").over(Window.partitionBy("_plain")) > 1
+    told = told.withColumn("_name", F.when(alike, F.concat("_plain", F.lit(" · "), F.when(F.col("_based") == "Balanced", "Balanced-Based").otherwise(F.col("_based")))).otherwise(F.col("_plain")))
+    number = F.row_number().over(Window.partitionBy("_name").orderBy(centre))
+    return told.withColumn("_n", number).select(centre, F.when(F.col("_n") > 1, F.concat("_name", F.lit(" "), F.col("_n").cast("string"))).otherwise(F.col("_name")).alias("name"))
+
+
+def compared(frame: DataFrame, ident: str, own: str, other: str, names: tuple[str, ...], near: float = 0.05, far: float = 0.10, used: float = 0.12) -> DataFrame:
+    """(ident, aspect, verdict, delta, place): in which shares two vectors are alike (both used) and in which they differ; the largest differences first."""
+    gaps = frame.select(ident, F.posexplode(F.arrays_zip(F.col(own).alias("a"), F.col(other).alias("b"))).alias("i", "z")).select(ident, F.get(F.array(*map(F.lit, names)), F.col("i")).alias("aspect"), (F.col("z.a") - F.col("z.b")).alias("delta"), F.greatest("z.a", "z.b").alias("_use"))
+    verdict = F.when(F.abs("delta") >= far, F.when(F.col("delta") > 0, "more").otherwise("less")).when((F.abs("delta") < near) & (F.col("_use") > used), "alike")
+    told = gaps.withColumn("verdict", verdict).where("verdict IS NOT NULL")
+    return told.select(ident, "aspect", "verdict", "delta", F.row_number().over(Window.partitionBy(ident).orderBy(F.desc(F.abs("delta")), "aspect")).alias("place"))
+
+
+def pooled_mix(neighbours: DataFrame, mixes: DataFrame, ident: str, neighbour: str, weight: str, items: tuple[str, ...]) -> DataFrame:
+    """(ident, items ..., leading): the mixes of someone's neighbours (mixes: neighbour, items ...) pooled by likeness, and the item that leads; ties in the order of `items`."""
+    told = neighbours.join(mixes, neighbour).groupBy(ident).agg(*[F.try_divide(F.sum(F.col(weight) * F.col(i)), F.sum(weight)).alias(i) for i in items])
+    best = F.greatest(*items)
+    return told.withColumn("leading", F.coalesce(*[F.when(F.col(i) == best, F.lit(i)) for i in items]))
