@@ -51,11 +51,13 @@ def chains(events: DataFrame, bout: str = "match_id", opponents: bool = False) -
 def aggregate(patterns: DataFrame, keys: tuple[str, ...] = ("action", "condition", "response"), bout: str = "match_id", evidence: int = 8) -> DataFrame:
     """(keys, n, bouts, resolved, successes, rate, evidence): patterns added up, with the mean of Beta(1 + successes, 1 + failures) and some bouts as evidence.
 
-    The bouts shown are the least by name; they are taken from the ranked bouts, so that no full list is gathered.
+    Patterns are added up by bout once; the sums and the bouts shown, the least by name, come from that. The bouts of a hot pattern are ranked in
+    buckets first, of which each sends on its least alone.
     """
-    sums = patterns.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(bout).alias("bouts"), F.count("success").alias("resolved"), F.count_if(F.coalesce(F.col("success"), F.lit(False))).alias("successes"))
-    each = patterns.groupBy(*keys, bout).agg(F.count("*").alias("_n"))
-    some = each.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(bout))).where(F.col("_r") <= evidence).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(bout)), ",").alias("evidence"))
+    each = cut(patterns.groupBy(*keys, bout).agg(F.count("*").alias("n"), F.count("success").alias("resolved"), F.count_if(F.coalesce(F.col("success"), F.lit(False))).alias("successes")))
+    sums = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("*").alias("bouts"), F.sum("resolved").alias("resolved"), F.sum("successes").alias("successes"))
+    least = lambda frame, *by: frame.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, *by).orderBy(bout))).where(F.col("_r") <= evidence).drop("_r")
+    some = least(least(each.select(*keys, bout).withColumn("_b", F.pmod(F.xxhash64(bout), F.lit(32))), "_b")).groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(bout)), ",").alias("evidence"))
     same = [sums[k].eqNullSafe(some[k]) for k in keys]
     joined = sums.join(some, same).select(*[sums[k] for k in keys], "n", "bouts", "resolved", "successes", "evidence")
     return joined.withColumn("rate", (F.col("successes") + 1.0) / (F.col("resolved") + 2.0))

@@ -7,6 +7,7 @@ with the vocabulary, not with the events.
 
 from __future__ import annotations
 
+import itertools
 import heapq
 import math
 from collections import defaultdict
@@ -238,13 +239,13 @@ def routes(nodes: DataFrame, edges: DataFrame, steps: int = 6) -> DataFrame:
 # closures
 
 
-def closure(edges: DataFrame, most: int = 20) -> DataFrame:
-    """(node, ancestor, depth): all nodes reachable over (child, parent) with their least distance, by doubling front; loops end at `most`."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): all nodes reachable over (child, parent) with their least distance, step by step until nothing new is reached, however deep; loops end there too."""
     front = edges.where("child IS NOT NULL AND parent IS NOT NULL").select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).distinct()
     step = front
     found = cut(front.withColumn("depth", F.lit(1)))
     last = found
-    for depth in range(2, most + 1):
+    for depth in itertools.count(2):
         new = last.select("node", F.col("ancestor").alias("mid")).join(step.select(F.col("node").alias("mid"), "ancestor"), "mid").select("node", "ancestor").distinct().join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
         last = cut(new.withColumn("depth", F.lit(depth)))
         if last.isEmpty():

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kumikata.operators import graphs
+from kumikata.plans.runtime import cut
 
 
 def type_benchmark(mix: DataFrame, who: str, item: str, share: str = "share") -> DataFrame:
@@ -94,7 +96,8 @@ def rings(events: DataFrame, axes: dict[str, str], who: str = "actor") -> DataFr
     """(axis, events, share, contributors, rate): use of each axis, by how many people, and how often it works among the known."""
     axis = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in axes.items()])
     told = events.withColumn("axis", axis).where("axis IS NOT NULL").groupBy("axis").agg(F.count("*").alias("events"), F.count_distinct(who).alias("contributors"), F.avg(F.col("ok").cast("double")).alias("rate"))
-    return told.withColumn("share", F.col("events") / F.sum("events").over(Window.partitionBy(F.lit(0))))
+    every = told.agg(F.sum("events").alias("_all")).withColumn("_one", F.lit(0))
+    return told.withColumn("_one", F.lit(0)).join(F.broadcast(every), "_one").withColumn("share", F.col("events") / F.col("_all")).drop("_one", "_all")
 
 
 def split_mashed(events: DataFrame, rules: DataFrame, seconds: float = 1.0) -> DataFrame:
@@ -106,11 +109,12 @@ def split_mashed(events: DataFrame, rules: DataFrame, seconds: float = 1.0) -> D
 
 
 def cross_validated(frame: DataFrame, vector: str, label: str, group: str, folds: int = 4, seed: int = 42) -> DataFrame:
-    """(fold, n, accuracy): a forest that is asked only about groups which it has not seen; labels are few."""
-    names = {r[0]: i for i, r in enumerate(frame.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).limit(1000).collect())}
-    index = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
-    told = frame.where(F.col(label).isNotNull()).select(F.col(vector).alias("a"), F.element_at(index, F.col(label)).cast("double").alias("label"), F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)).alias("fold"))
-    data = told.repartition(8, "a", "label").sortWithinPartitions("fold", "a", "label").select(array_to_vector("a").alias("features"), "label", "fold").cache()
+    """(fold, n, accuracy): a forest that is asked only about groups which it has not seen; the indexer holds all labels, however many."""
+    known = frame.where(F.col(label).isNotNull()).withColumn("_label", F.col(label).cast("string"))
+    indexed = StringIndexer(inputCol="_label", outputCol="_index", stringOrderType="alphabetAsc").fit(known).transform(known)
+    told = indexed.select(F.col(vector).alias("a"), F.col("_index").alias("label"), F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(folds)).alias("fold"))
+    # written once, laid out by content, so that each fit sees the same rows in the same order
+    data = cut(told.repartition("a", "label").sortWithinPartitions("fold", "a", "label").select(array_to_vector("a").alias("features"), "label", "fold"))
     out = None
     for k in range(folds):
         model = RandomForestClassifier(numTrees=20, seed=seed).fit(data.where(F.col("fold") != k))

@@ -80,13 +80,27 @@ def chi_square_p(chi2: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str, ident: str) -> DataFrame:
-    """`q` of each test: the false discovery rate at which it is found. One family of tests is few rows; null p stay out."""
+    """`q` of each test: the false discovery rate at which it is found; null p stay out.
+
+    Tests are sorted by ranges; ranks and the running minimum from the largest p down are worked out within a range, and go on to the next by one count and one
+    minimum a range, which alone come to the driver: no task holds the family.
+    """
     known = tests.where(F.col(p).isNotNull())
-    total = Window.partitionBy(F.lit(0))
-    up = Window.partitionBy(F.lit(0)).orderBy(p, ident)
-    ranked = known.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count("*").over(total))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
+    ranged = cut(known.orderBy(p, ident)).withColumn("_part", F.spark_partition_id())
+    sizes = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}
+    if not sizes:
+        return known.withColumn("q", F.lit(None).cast("double"))
+    before, total = {}, 0
+    for part in sorted(sizes):
+        before[part], total = total, total + sizes[part]
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col("_part"))
+    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(p, ident)) + of(before)).withColumn("_v", F.col(p) * total / F.col("_r"))
+    least = {r[0]: r[1] for r in ranked.groupBy("_part").agg(F.min("_v")).collect()}
+    after, low = {}, float("inf")
+    for part in sorted(least, reverse=True):
+        after[part], low = low, min(low, least[part])
+    down = Window.partitionBy("_part").orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
+    return ranked.withColumn("q", F.least(F.lit(1.0), F.min("_v").over(down), of(after))).drop("_r", "_v", "_part")
 
 
 def ranks(frame: DataFrame, value: str, out: str) -> DataFrame:

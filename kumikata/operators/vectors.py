@@ -48,6 +48,11 @@ def _blocks(frame: DataFrame, ident: str, vector: str, extra: str | None, tag: s
     return told.withColumn(tag, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy(tag).agg(F.collect_list(F.struct("id", "v", "x")).alias(f"rows_{tag}")), blocks
 
 
+def _tasks(frame: DataFrame, pairs: int) -> int:
+    """A task for each pair of blocks, up to eight times as many as the session's shuffles have."""
+    return max(1, min(pairs, 8 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def neighbours(queries: DataFrame, corpus: DataFrame, ident: str, vector: str, k: int = 5, least: float = -1.0) -> DataFrame:
     """(query, neighbour, cosine, rank): the `k` most alike of the corpus for each query, not itself; exact.
 
@@ -58,7 +63,7 @@ def neighbours(queries: DataFrame, corpus: DataFrame, ident: str, vector: str, k
     c, nc = _blocks(corpus, ident, vector, None, "cb")
     # every query block with every corpus block, by an equality on the pair's number
     left = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    pairs = left.repartition(max(nq * nc, 1), "qb", "cb").join(c, "cb")
+    pairs = left.repartition(_tasks(queries, nq * nc), "qb", "cb").join(c, "cb")
 
     def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -85,7 +90,7 @@ def similar_pairs(frame: DataFrame, ident: str, vector: str, label: str, least:
     one, n = _blocks(frame, ident, vector, label, "qb")
     other = one.select(F.col("qb").alias("cb"), F.col("rows_qb").alias("rows_cb"))
     left = one.withColumn("cb", F.explode(F.sequence(F.col("qb"), F.lit(n - 1))))
-    pairs = left.repartition(max(n * (n + 1) // 2, 1), "qb", "cb").join(other, "cb")
+    pairs = left.repartition(_tasks(frame, n * (n + 1) // 2), "qb", "cb").join(other, "cb")
 
     def alike(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame_ in frames:
@@ -192,7 +197,7 @@ def nearest(frame: DataFrame, ident: str, vector: str, centres: DataFrame, centr
 
 def terms(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, term, tf): the words of each text with their counts."""
-    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     return documents.where(F.col(text).isNotNull()).select(ident, words.alias("term")).groupBy(ident, "term").agg(F.count("*").alias("tf"))
 
 

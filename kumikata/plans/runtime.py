@@ -19,18 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write `df` to the checkpoint folder that the cluster shares and read it from there.
 
-    The folder is the session's `spark.checkpoint.dir`; a folder of the machine is set only where a session has none,
-    as in tests.
+    The folder is the session's `spark.checkpoint.dir`. Where a session has none, a local one, as in tests, takes a folder of the
+    machine; on a cluster, whose executors do not share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint for `df` if it has at most `rows` rows, else `df` as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast hint for `df` if it has at most `rows` rows, else one that forbids it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else spread(df)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -47,9 +47,10 @@ def _effect(spark, d):
     rows = bouts(spark, d).where("submission <> '' AND year IS NOT NULL")
     depth = F.coalesce(*[F.when(F.col("stage") == k, F.lit(v)) for k, v in STAGES.items()], F.lit(1))
     told = rows.groupBy("submission").agg(F.count("*").alias("n"), F.avg(depth).alias("depth"), F.count_distinct("division").alias("divisions"), F.avg((F.coalesce(F.col("stage"), F.lit("")) == "F").cast("double")).alias("finals"), (F.max("year") - F.min("year") + 1).alias("span"))
-    w = Window.partitionBy(F.lit(0))
-    part = lambda c: F.col(c) / F.max(c).over(w)
-    return _r(told.withColumn("score", 0.4 * part("n") + 0.25 * part("depth") + 0.15 * part("divisions") + 0.1 * F.col("finals") + 0.1 * part("span")), "depth", "finals", "score")
+    most = told.agg(*[F.max(c).alias(f"_{c}") for c in ("n", "depth", "divisions", "span")]).withColumn("_one", F.lit(0))
+    told = told.withColumn("_one", F.lit(0)).join(F.broadcast(most), "_one")
+    part = lambda c: F.col(c) / F.col(f"_{c}")
+    return _r(told.withColumn("score", 0.4 * part("n") + 0.25 * part("depth") + 0.15 * part("divisions") + 0.1 * F.col("finals") + 0.1 * part("span")), "depth", "finals", "score").select("submission", "n", "depth", "divisions", "finals", "span", "score")
 
 
 def _style(spark, d):

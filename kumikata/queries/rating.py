@@ -44,10 +44,14 @@ def _first_sums(spark, d):
 
 def _graph(spark, d):
     b = bouts(spark, d).where("result IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND a <> b AND year IS NOT NULL")
-    sides = b.select("match_id", "year", F.col("a").alias("actor"), ((F.col("result") + 1) / 2).alias("score")).unionByName(b.select("match_id", "year", F.col("b").alias("actor"), ((1 - F.col("result")) / 2).alias("score")))
+    side = lambda x, y, score: b.select("match_id", "year", F.col(x).alias("actor"), F.col(y).alias("opponent"), score.alias("score"))
+    sides = side("a", "b", (F.col("result") + 1) / 2).unionByName(side("b", "a", (1 - F.col("result")) / 2))
+    sides = r.opponent_rating(sides, r.elo(_pool(spark, d), "pool", ["year", "match_id"]).select("athlete", F.col("elo").alias("rating")))
+    last = b.agg(F.max("year").alias("last")).withColumn("one", F.lit(0))
+    sides = sides.withColumn("one", F.lit(0)).join(F.broadcast(last), "one").withColumn("months", 12.0 * (F.col("last") - F.col("year")))
     rows = events(spark, d).where("actor IS NOT NULL").select("match_id", "actor", "label").distinct().join(sides, ["match_id", "actor"])
     seq = F.concat_ws("|", F.col("year").cast("string"), "match_id")
-    return r.graph_elo(rows.select(F.col("actor").alias("athlete"), seq.alias("seq"), "label", "score", F.lit(800.0).alias("opponent")))
+    return r.graph_elo(rows.select(F.col("actor").alias("athlete"), seq.alias("seq"), "label", "score", F.col("opponent_rating").alias("opponent"), "months"))
 
 
 def _node_rows(spark, d):

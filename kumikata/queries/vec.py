@@ -115,7 +115,7 @@ b2 AS (SELECT match_id, actor, i, array_to_string(list_sort(list(c)), '-and-') A
 ch AS (SELECT ow.match_id, ow.actor, ow.i::INT AS i, position, action, condition, response, success FROM ow LEFT JOIN b2 USING (match_id, actor, i) WHERE response IS NOT NULL)"""
 _CH = _CH.replace("contains(label ||", "contains(ev.label ||").replace("|| type,", "|| ev.type,")
 _AG = "ag AS (SELECT action, condition, response, count(*) AS n, count(DISTINCT match_id) AS bouts, count(success) AS resolved, count(*) FILTER (success) AS successes, array_to_string(list_sort(list(DISTINCT match_id))[1:8], ',') AS evidence FROM ch GROUP BY 1, 2, 3)"
-_TF = r"tm AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY 1, 2), df AS (SELECT term, ln(((SELECT count(*) FROM documents WHERE text IS NOT NULL) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1), ti AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN df USING (term)), nn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM ti GROUP BY 1)"
+_TF = r"tm AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY 1, 2), df AS (SELECT term, ln(((SELECT count(*) FROM documents WHERE text IS NOT NULL) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1), ti AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN df USING (term)), nn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM ti GROUP BY 1)"
 ORACLES = {
     "knn_cosine": f"WITH {_E}, p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.x, b.x) AS c FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query, neighbour, round(c, 5) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour)::INT AS rank FROM p QUALIFY rank <= 5",
     "masked_cosine": f"WITH {_E}, p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.x[1:32], b.x[1:32]) AS c FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query, neighbour, round(c, 5) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour)::INT AS rank FROM p QUALIFY rank <= 3",
