@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast, whatever its content; checked by `small`.
@@ -31,6 +31,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def cut_and_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """`cut`, with aggregates of the rows that are taken while they are written: a round of an iteration is one job."""
+    seen = Observation()
+    written = cut(df.observe(seen, *[measure.alias(name) for name, measure in measures.items()]))
+    return written, seen.get
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for `df` if it has at most `rows` rows, else one that forbids it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else spread(df)
