@@ -51,7 +51,7 @@ def test_survivors_match_the_policy_by_brute_force(spark):
     rows = [(f"g{rng.randrange(12)}", i, rng.choice([1, 2, 3, None]), rng.choice([None, day(rng.randrange(4))]), rng.choice([None, "x"]), rng.choice([None, "", "y"]), 7) for i in range(200)]
     got = _survivors(spark, rows)
     for group in {r[0] for r in rows}:
-        own = sorted((r for r in rows if r[0] == group), key=lambda r: (r[2] or 99, -(r[3] or datetime.datetime(1, 1, 1)).toordinal(), r[1]))
+        own = sorted((r for r in rows if r[0] == group), key=lambda r: (r[2] or 99, -(r[3] or datetime.datetime(1, 1, 1)).toordinal(), -((r[4] is not None) + bool(r[5])), r[1]))
         assert got[group]["size"] == len(own) and got[group]["first_id"] == min(r[1] for r in own)
         assert got[group]["a_id"] == next((r[1] for r in own if r[4] is not None), None)
         assert got[group]["b_id"] == next((r[1] for r in own if r[5]), None)
