@@ -136,6 +136,22 @@ QUERIES = {
     "rating_summary": lambda spark, d: _r(r.summary(table(spark, d, "graph_edges"), "owner_kind", "elo"), "mean", "median", "p10", "p90", "most", digits=4),
     "log_loss_holdout": lambda spark, d: _r(r.log_loss(_periods(spark, d), 2023), "loss", "accuracy"),
 }
+_mult = lambda col, table: f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + " ELSE 1.0 END::DOUBLE"
+
+
+def _elo_sql(rows: str, pool: str, k: str, drawn: str = "false", digits: int | None = None) -> str:
+    """The fold as a recursion: one step a bout and pool, the ratings in a map."""
+    whole = (lambda x: f"round({x}, {digits})") if digits is not None else (lambda x: x)
+    shown = lambda x: f"round({x}, 4)" if digits is None else x
+    return f"""WITH RECURSIVE {BOUTS}, src AS ({rows}),
+rw AS (SELECT {pool} AS pool, row_number() OVER (PARTITION BY {pool} ORDER BY year, match_id) AS n, winner AS w, loser AS l, year, {drawn} AS drawn, ({k})::DOUBLE * ({_mult('method', r.WIN_MULT)}) * ({_mult('stage', r.STAGE_MULT)}) AS f FROM src),
+e(pool, n, m, w, l, wr, lr) AS (SELECT DISTINCT pool, 0::BIGINT, MAP([]::VARCHAR[], []::DOUBLE[]), NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, NULL::DOUBLE FROM rw
+    UNION ALL SELECT pool, n, map_concat(m, MAP([w, l], [{whole('a + d')}, {whole('b - d')}])), w, l, {whole('a + d')}, {whole('b - d')} FROM (SELECT *, f * CASE WHEN drawn THEN 0.5 - c * (1 - q) - 0.5 * q ELSE 1 - c END AS d FROM (
+        SELECT *, 1 / (1 + pow(10.0::DOUBLE, (b - a) / 400)) AS c, {r.DRAW_SCALE} / ({r.DRAW_SCALE} + abs(a - b)) AS q FROM (SELECT rw.*, e.m, coalesce(e.m[rw.w], {r.INITIAL})::DOUBLE AS a, coalesce(e.m[rw.l], {r.INITIAL})::DOUBLE AS b FROM e JOIN rw ON rw.pool IS NOT DISTINCT FROM e.pool AND rw.n = e.n + 1)))),
+o AS (SELECT e.pool, e.n, e.w AS athlete, e.wr AS x, year, CASE WHEN drawn THEN 0 ELSE 1 END AS won, 0 AS lost, drawn::INT AS dr FROM e JOIN rw ON rw.pool IS NOT DISTINCT FROM e.pool AND rw.n = e.n UNION ALL SELECT e.pool, e.n, e.l, e.lr, year, 0, CASE WHEN drawn THEN 0 ELSE 1 END, drawn::INT FROM e JOIN rw ON rw.pool IS NOT DISTINCT FROM e.pool AND rw.n = e.n)
+SELECT pool, athlete, {shown('arg_max(x, n)')} AS elo, {shown(f'greatest({r.INITIAL}::DOUBLE, max(x))')} AS peak, count(*) AS matches, sum(won)::BIGINT AS wins, sum(lost)::BIGINT AS losses, sum(dr)::BIGINT AS draws, max(year) AS last_year FROM o GROUP BY 1, 2"""
+
+
 _G = "(1 / sqrt(1 + 3 * pow(250.0::DOUBLE / 173.7178, 2) / pow(pi(), 2)))"
 ORACLES = {
     "eligibility_waterfall": f"{_B}, w AS (SELECT CASE WHEN result IS NULL THEN '{RULES[0]}' WHEN result = 0 THEN '{RULES[1]}' WHEN a IS NULL OR b IS NULL THEN '{RULES[2]}' WHEN a = b THEN '{RULES[3]}' WHEN year IS NULL THEN '{RULES[4]}' ELSE 'eligible' END AS reason FROM bouts) SELECT reason, count(*) AS bouts FROM w GROUP BY 1",
@@ -144,4 +160,8 @@ ORACLES = {
     "bout_scores": f"WITH {EV}, {BOUTS}, b2 AS (SELECT * FROM bouts WHERE result IS NOT NULL AND a <> b), pt AS (SELECT match_id, actor, sum(CASE WHEN coalesce(ok, true) THEN CASE type {' '.join(f"WHEN '{k}' THEN {v}" for k, v in POINTS.items())} ELSE 0 END ELSE 0 END) AS p FROM ev WHERE actor IS NOT NULL GROUP BY 1, 2), x AS (SELECT b2.match_id, result, submission, coalesce(x.p, 0) AS pa, coalesce(y.p, 0) AS pb FROM b2 LEFT JOIN pt x ON x.match_id = b2.match_id AND x.actor = a LEFT JOIN pt y ON y.match_id = b2.match_id AND y.actor = b), s AS (SELECT *, CASE WHEN pa + pb = 0 THEN NULL ELSE pa / (pa + pb)::DOUBLE END AS sh FROM x) SELECT match_id, round(CASE WHEN result = 0 THEN 0.5 WHEN submission <> '' THEN CASE WHEN result > 0 THEN 1.0 ELSE 0.0 END WHEN result > 0 THEN greatest(0.5::DOUBLE, coalesce(0.375::DOUBLE + 0.5 * sh, 0.75)) ELSE least(0.5::DOUBLE, coalesce(0.125::DOUBLE + 0.5 * sh, 0.25)) END, 6)::DOUBLE AS score_a, round(CASE WHEN result = 0 THEN 0.5 WHEN submission <> '' THEN CASE WHEN result < 0 THEN 1.0 ELSE 0.0 END WHEN result < 0 THEN greatest(0.5::DOUBLE, coalesce(0.375::DOUBLE + 0.5 * (1 - sh), 0.75)) ELSE least(0.5::DOUBLE, coalesce(0.125::DOUBLE + 0.5 * (1 - sh), 0.25)) END, 6)::DOUBLE AS score_b FROM s",
     "confidence_weights": f"WITH {EV}, n AS (SELECT actor, count(*)::DOUBLE AS n, count(DISTINCT match_id) AS bouts FROM ev WHERE actor IS NOT NULL GROUP BY 1), w AS (SELECT *, 350.0::DOUBLE / sqrt(bouts) AS rd FROM n), v AS (SELECT actor, bouts, n AS f, n / (rd * rd) AS p, n / (1 + (rd / 200.0) * (rd / 200.0)) AS b FROM w) SELECT actor, bouts, round(f / sum(f) OVER (), 8) AS flat, round(p / sum(p) OVER (), 8) AS precise, round(b / sum(b) OVER (), 8) AS bounded FROM v",
     "ranked_pools": "WITH m AS (SELECT owner_kind AS pool, graph_id AS athlete, round(avg(elo), 6) AS rating FROM graph_edges WHERE owner_kind IS NOT NULL GROUP BY 1, 2) SELECT pool, row_number() OVER (PARTITION BY pool ORDER BY rating DESC, athlete) AS place, athlete, rating FROM m QUALIFY place <= 10",
+    "elo_full": _elo_sql("SELECT * FROM won", "'all'", "40"),
+    "elo_by_division": _elo_sql("SELECT * FROM won", "division", "40"),
+    "elo_with_draws": _elo_sql("SELECT match_id, year, CASE WHEN result >= 0 THEN a ELSE b END AS winner, CASE WHEN result >= 0 THEN b ELSE a END AS loser, method, stage, result = 0 AS dw FROM bouts WHERE result IS NOT NULL AND a <> b AND year IS NOT NULL", "'all'", "40", "dw"),
+    "finish_elo_peak": _elo_sql("SELECT * FROM won", "'all'", "CASE WHEN method = 'SUBMISSION' THEN 40 ELSE 32 END", digits=2),
 }
