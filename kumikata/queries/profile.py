@@ -8,11 +8,12 @@ from kumikata.operators import aggregates as a
 from kumikata.operators import flow, graphs, profiles
 from kumikata.operators import sequences as s
 from kumikata.operators import vectors as v
+from kumikata.functions.text import fold
 from kumikata.plans.runtime import table
 from kumikata.queries.graph import _keys
 from kumikata.queries.seq import _OWN
 from kumikata.queries.vec import _CH
-from kumikata.sources.views import BOUTS, EV, bouts, decided, events, person_key
+from kumikata.sources.views import BOUTS, EV, bouts, decided, events, person_key, node_key
 
 _W = f"WITH {EV}"
 _T = a.TYPES
@@ -67,7 +68,7 @@ def _dossier(spark, d):
 
 
 def _duplicates(spark, d):
-    names = table(spark, d, "lutas").select(person_key(F.col("adversario")).alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
+    names = table(spark, d, "lutas").select(F.nullif(node_key(fold(F.col("atleta"))), F.lit("")).alias("name")).where("name IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"))
     return profiles.duplicates(names, "name", "n", 3)
 
 
@@ -107,7 +108,7 @@ ORACLES = {
     "compare_transitions": f"WITH {EV}, {BOUTS}, {_OWN}, {_MET}, st2 AS (SELECT actor, list(DISTINCT source || ' > ' || target) AS items FROM st GROUP BY 1) {_OVER}",
     "decision_eligibility": f"{_W}, {_CH}, g AS (SELECT actor, count(DISTINCT match_id) AS bouts, count(*) AS patterns, count(DISTINCT condition) AS conditions, count(DISTINCT action) AS branches FROM ch WHERE condition IS NOT NULL GROUP BY 1) SELECT *, CASE WHEN bouts < 3 THEN 'too few bouts' WHEN patterns < 5 THEN 'too few patterns' WHEN conditions < 2 THEN 'too few conditions' WHEN branches < 2 THEN 'too few branches' ELSE 'eligible' END AS reason FROM g",
     "athlete_dossier": f"WITH {EV}, {BOUTS}, {_TOP.format(k=3)}, s AS (SELECT winner AS athlete, 1 AS won, (method = 'SUBMISSION')::INT AS finish, year FROM won UNION ALL SELECT loser, 0, 0, year FROM won), g AS (SELECT athlete, count(*) AS bouts, sum(won)::BIGINT AS wins, sum(finish)::BIGINT AS finishes, min(year) AS since FROM s GROUP BY 1) SELECT g.*, array_to_string(items, ', ') AS signatures FROM g LEFT JOIN st2 ON st2.actor = athlete",
-    "duplicate_candidates": r"WITH n AS (SELECT nullif(trim(regexp_replace(lower(adversario), '\s+', ' ', 'g')), '') AS name, count(*) AS n FROM lutas GROUP BY 1), w AS (SELECT name, n, unnest(list_distinct(string_split(name, ' '))) AS w FROM n WHERE name IS NOT NULL) SELECT DISTINCT x.name AS a, y.name AS b, x.n AS n_a, y.n AS n_b, levenshtein(x.name, y.name)::INT AS edits FROM w x JOIN w y ON x.w = y.w AND length(x.w) >= 3 AND x.name < y.name AND levenshtein(x.name, y.name) <= 3",
+    "duplicate_candidates": r"WITH n AS (SELECT nullif(trim(regexp_replace(regexp_replace(lower(trim(strip_accents(atleta))), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), '') AS name, count(*) AS n FROM lutas GROUP BY 1), w AS (SELECT name, n, unnest(list_distinct(string_split(name, ' '))) AS w FROM n WHERE name IS NOT NULL) SELECT DISTINCT x.name AS a, y.name AS b, x.n AS n_a, y.n AS n_b, levenshtein(x.name, y.name)::INT AS edits FROM w x JOIN w y ON x.w = y.w AND length(x.w) >= 3 AND x.name < y.name AND levenshtein(x.name, y.name) <= 3",
     "radar_rings": f"{_W}, x AS (SELECT {_AXES} AS axis, actor, ok FROM ev WHERE actor IS NOT NULL) SELECT axis, count(*) AS events, count(DISTINCT actor) AS contributors, round(avg(ok::INT), 6) AS rate, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM x WHERE axis IS NOT NULL GROUP BY 1",
     "cache_keys": f"WITH {BOUTS} SELECT match_id, substr(sha256(concat_ws('|', match_id, coalesce(a, ''), coalesce(b, ''), coalesce(year::VARCHAR, ''), coalesce(method, ''), 'v1')), 1, 16) AS cache_key FROM bouts",
 }

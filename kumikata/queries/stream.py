@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from kumikata.operators import sequences as s
 from kumikata.plans.runtime import table
-from kumikata.sources.views import events
+from kumikata.queries.seq import _SMOOTH
+from kumikata.sources.views import EV, events
 from kumikata.streaming import snapshots as n
 
 
@@ -40,4 +41,5 @@ ORACLES = {
     "session_windows": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS \"end\", count(*) AS events FROM s GROUP BY user_id, k",
     "snapshot_prune": f"SELECT user_id, start, events FROM ({_D}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY start DESC) <= 3",
     "hourly_series": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events, round(avg(value), 5) AS mean FROM events GROUP BY 1, 2",
+    "position_segments": f"WITH {EV}, {_SMOOTH}, g AS (SELECT *, sum(CASE WHEN p = smoothed THEN 0 ELSE 1 END) OVER (PARTITION BY match_id ORDER BY i) AS seg FROM (SELECT *, lag(smoothed) OVER (PARTITION BY match_id ORDER BY i) AS p FROM sm)) SELECT g.match_id, smoothed, min(g.i)::INT AS first, max(g.i)::INT AS last, count(*) AS frames, round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END), 6) AS confidence FROM g JOIN ev ON ev.match_id = g.match_id AND ev.i = g.i GROUP BY g.match_id, seg, smoothed",
 }

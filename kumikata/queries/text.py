@@ -28,10 +28,11 @@ def _docs(spark, d):
 
 
 def _taxonomy(spark, d):
-    """Violations of the stored graphs: edges whose ends no node of the graph has."""
+    """The stored graphs with the ends of their edges, and how many of these no node of the graph has."""
     e = table(spark, d, "graph_edges")
     ends = e.select("edge_id", "graph_id", F.explode(F.array(F.trim(F.lower("source_key")), F.trim(F.lower("target_key")))).alias("node_key")).where("node_key IS NOT NULL")
-    return ends.join(table(spark, d, "graph_nodes").select("graph_id", "node_key"), ["graph_id", "node_key"], "left_anti").groupBy("graph_id").agg(F.count("*").alias("dangling"))
+    known = table(spark, d, "graph_nodes").select("graph_id", "node_key", F.lit(1).alias("known"))
+    return ends.join(known, ["graph_id", "node_key"], "left").groupBy("graph_id").agg(F.count("*").alias("ends"), F.count_if(F.col("known").isNull()).alias("dangling"))
 
 
 QUERIES = {
@@ -61,7 +62,7 @@ ORACLES = {
     "method_families": f"SELECT {_rules(_METHOD, k.METHOD_FAMILIES, 'sub_other')} AS family, CASE WHEN upper(trim(m)) LIKE '%SUB%' THEN 'SUBMISSION' WHEN upper(trim(m)) LIKE '%DEC%' OR upper(trim(m)) LIKE '%REF%' THEN 'DECISION' WHEN upper(trim(m)) LIKE '%DQ%' OR upper(trim(m)) LIKE '%DESQ%' THEN 'DQ' WHEN upper(trim(m)) LIKE '%INJ%' THEN 'INJURY' ELSE 'POINTS' END AS win_type, count(*) AS n FROM (SELECT method, coalesce(method, '') AS m FROM roster_records) GROUP BY 1, 2",
     "event_rules": f"SELECT {_rules(_COMP, k.UNIFORMS, 'unknown')} AS uniform, {_rules(_COMP, k.RULESETS, 'other')} AS ruleset, CASE WHEN comp IS NULL OR comp LIKE 'UFC%' THEN 'mma' WHEN comp LIKE 'NCAA%' THEN 'wrestling' ELSE 'grappling' END AS discipline, count(*) AS n FROM roster_records GROUP BY 1, 2, 3",
     "bout_slugs": f"{_B} SELECT match_id, replace({_KEY.format('a')}, ' ', '-') || '-vs-' || replace({_KEY.format('b')}, ' ', '-') || '-' || coalesce(year::VARCHAR, 'tbd') AS slug, CASE WHEN method IS NULL OR method = '' THEN 'No contest / draw' WHEN method = 'SUBMISSION' AND submission <> '' THEN 'Submission (' || submission || ')' ELSE upper(method[1]) || lower(method[2:]) END AS result FROM bouts",
-    "graph_integrity": "WITH e AS (SELECT edge_id, graph_id, unnest([trim(lower(source_key)), trim(lower(target_key))]) AS node_key FROM graph_edges) SELECT graph_id, count(*) AS dangling FROM e WHERE node_key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM graph_nodes n WHERE n.graph_id = e.graph_id AND n.node_key = e.node_key) GROUP BY 1",
+    "graph_integrity": "WITH x AS (SELECT graph_id, unnest([trim(lower(source_key)), trim(lower(target_key))]) AS node_key FROM graph_edges), n AS (SELECT graph_id, node_key, 1 AS known FROM graph_nodes) SELECT graph_id, count(*) AS ends, count(*) FILTER (known IS NULL) AS dangling FROM x LEFT JOIN n USING (graph_id, node_key) WHERE node_key IS NOT NULL GROUP BY 1",
     "belt_ratings": "SELECT athlete_id, CASE lower(trim(belt)) WHEN 'white' THEN 200.0::DOUBLE WHEN 'blue' THEN 350 WHEN 'purple' THEN 500 WHEN 'brown' THEN 650 ELSE 800 END AS rating, round(greatest(0, date_diff('day', created_at::DATE, DATE '2026-01-01') / 30.44::DOUBLE), 4) AS months FROM athletes",
     "item_hashes": "SELECT node_key, sha1(concat_ws('|', node_key, label, type, source)) AS hash FROM technique_nodes",
     "latest_documents": "SELECT source, row_number() OVER (PARTITION BY source ORDER BY published_at DESC, doc_id)::INT AS n, doc_id FROM documents QUALIFY n <= 5",

@@ -116,6 +116,7 @@ ch AS (SELECT ow.match_id, ow.actor, ow.i::INT AS i, position, action, condition
 _CH = _CH.replace("contains(label ||", "contains(ev.label ||").replace("|| type,", "|| ev.type,")
 _AG = "ag AS (SELECT action, condition, response, count(*) AS n, count(DISTINCT match_id) AS bouts, count(success) AS resolved, count(*) FILTER (success) AS successes, array_to_string(list_sort(list(DISTINCT match_id))[1:8], ',') AS evidence FROM ch GROUP BY 1, 2, 3)"
 _TF = r"tm AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents WHERE text IS NOT NULL), tf AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY 1, 2), df AS (SELECT term, ln(((SELECT count(*) FROM documents WHERE text IS NOT NULL) + 1) / (count(*) + 1)) + 1 AS idf FROM tf GROUP BY 1), ti AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN df USING (term)), nn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM ti GROUP BY 1)"
+_CONDITION = "CASE " + " ".join(f"WHEN contains(concat_ws(' ', o.label, o.type), '{w}') THEN '{c}'" for w, c in flow.CONDITIONS) + " ELSE 'other' END"
 ORACLES = {
     "knn_cosine": f"WITH {_E}, p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.x, b.x) AS c FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query, neighbour, round(c, 5) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour)::INT AS rank FROM p QUALIFY rank <= 5",
     "masked_cosine": f"WITH {_E}, p AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, list_cosine_similarity(a.x[1:32], b.x[1:32]) AS c FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query, neighbour, round(c, 5) AS cosine, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, neighbour)::INT AS rank FROM p QUALIFY rank <= 3",
@@ -134,4 +135,9 @@ ORACLES = {
     "condition_bundles": f"{_W}, {_CH} SELECT condition, count(*) AS n, count(DISTINCT actor) AS actors FROM ch GROUP BY 1",
     "next_move_prior": f"{_W}, {_OWN}, o AS (SELECT actor, source, target, count(*) / sum(count(*)) OVER (PARTITION BY actor, source) AS p FROM st GROUP BY 1, 2, 3), q AS (SELECT source, target, count(*) / sum(count(*)) OVER (PARTITION BY source) AS p FROM st GROUP BY 1, 2), k AS (SELECT DISTINCT actor, source FROM o), r AS (SELECT k.actor, k.source, q.target, sqrt(greatest(coalesce(o.p, 0), 1e-6)) * sqrt(greatest(q.p, 1e-6)) AS raw FROM k JOIN q ON q.source = k.source LEFT JOIN o ON o.actor = k.actor AND o.source = k.source AND o.target = q.target), n AS (SELECT actor, source, target, raw / sum(raw) OVER (PARTITION BY actor, source) AS p FROM r) SELECT actor, source, row_number() OVER (PARTITION BY actor, source ORDER BY round(p, 9) DESC, target)::INT AS rank, target, round(p, 8) AS p FROM n QUALIFY rank <= 3",
     "held_positions": f"{_W}, h AS (SELECT type, last_value(CASE WHEN type IN ('control', 'guard') THEN label END IGNORE NULLS) OVER (PARTITION BY match_id ORDER BY i) AS held FROM ev) SELECT held, type, count(*) AS n FROM h GROUP BY 1, 2",
+    "window_patterns": f"""{_W}, nt AS (SELECT *, count(*) FILTER (actor IS NULL) OVER (PARTITION BY match_id ORDER BY i) AS part FROM ev),
+w AS (SELECT match_id, part, actor, i, label AS action, lead(label) OVER o AS response, lead(i) OVER o AS j FROM nt WHERE actor IS NOT NULL WINDOW o AS (PARTITION BY match_id, part, actor ORDER BY i)),
+cs AS (SELECT w.match_id, w.actor, w.i, {_CONDITION} AS c, min(o.i) AS k FROM w JOIN nt o ON o.match_id = w.match_id AND o.part = w.part AND o.actor <> w.actor AND o.i > w.i AND o.i < w.j AND o.i <= w.i + 3 GROUP BY ALL),
+c2 AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY match_id, actor, i ORDER BY k) <= 2), cn AS (SELECT match_id, actor, i, string_agg(c, '-and-' ORDER BY c) AS condition FROM c2 GROUP BY ALL)
+SELECT action, condition, response, count(*) AS n FROM w LEFT JOIN cn USING (match_id, actor, i) WHERE response IS NOT NULL GROUP BY 1, 2, 3""",
 }
