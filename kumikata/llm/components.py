@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kumikata.plans.runtime import cut, spread
+from kumikata.plans.runtime import cut, cut_and_measured, spread
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -25,8 +25,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
         hung = large.join(spread(least), F.col("high") == F.col("node"))
         small = hung.select(F.col("least").alias("low"), F.col("low").alias("high")).where("low <> high").unionByName(least.select(F.col("least").alias("low"), F.col("node").alias("high"))).distinct()
-        flat = cut(small)
-        now = tuple(flat.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")), F.lit(0))).first())
+        flat, now = cut_and_measured(small, edges=F.count("*"), hashes=F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")))
         if now == before:
             break
         before = now

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.llm.stripes import numbered
-from kumikata.plans.runtime import cut, spread
+from kumikata.plans.runtime import cut, cut_and_measured, spread
 
 
 def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "loser", tie: str | None = None, ridge: float = 3.0, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
@@ -29,45 +29,36 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
     both = sums.select("a", "b", "n", "won", F.lit(0).cast("long").alias("lost")).unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.lit(0).cast("long").alias("won"), F.col("won").alias("lost")))
     pairs = cut(both.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "won", "lost")]))
     items = pairs.groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("comparisons"), F.sum("won").alias("won"), F.sum("lost").alias("lost"))
-    parts = int(comparisons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = comparisons.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # laid by the item they pull from and sorted, once for all rounds; lost parts are read from `pairs` again
     links = pairs.select("a", "b", F.col("n").cast("double").alias("n")).repartition(parts, "b").sortWithinPartitions("b").persist()
 
-    def told(state: DataFrame) -> DataFrame:
-        """The state with w, what the system gives for u."""
+    def told(state: DataFrame) -> tuple[DataFrame, float, float]:
+        """The state with w, what the system gives for u, and the round's two numbers."""
         pulled = links.join(spread(state.select(F.col("item").alias("b"), F.col("u").alias("ub"))), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("n") * F.col("ub")).alias("pull"))
-        return cut(state.join(spread(pulled), "item", "left").withColumn("w", F.col("d") * F.col("u") - F.coalesce("pull", F.lit(0.0))).drop("pull"))
+        new = state.join(spread(pulled), "item", "left").withColumn("w", F.col("d") * F.col("u") - F.coalesce("pull", F.lit(0.0))).drop("pull")
+        written, seen = cut_and_measured(new, left=F.sum(F.col("r") * F.col("u")), bent=F.sum(F.col("w") * F.col("u")))
+        return written, seen["left"] or 0.0, seen["bent"] or 0.0
 
-    def measured(state: DataFrame, before: DataFrame | None) -> DataFrame:
-        """One row with the round's numbers, from the state's sums and the numbers of the round before.
-
-        They stay columns: as literals they would give every round code of its own to compile.
-        """
-        total = lambda c: F.coalesce(F.sum(F.col(c) * F.col("u")), F.lit(0.0))
-        now = state.agg(total("r").alias("left"), total("w").alias("bent")).withColumn("one", F.lit(0))
-        if before is None:
-            return cut(now.select("one", "left", F.lit(0.0).alias("beta"), F.coalesce(F.try_divide("left", "bent"), F.lit(0.0)).alias("step")))
-        told = now.join(F.broadcast(before.select("one", F.col("left").alias("left0"), F.col("step").alias("step0"))), "one").withColumn("beta", F.coalesce(F.try_divide("left", "left0"), F.lit(0.0)))
-        step = F.try_divide(F.col("left"), F.col("bent") - F.try_divide(F.col("beta") * F.col("left"), F.col("step0")))
-        return cut(told.select("one", "left", "beta", F.coalesce(step, F.lit(0.0)).alias("step")))
+    def numbers(beta: float, step: float) -> DataFrame:
+        """A row with the round's numbers: as literals they would give every round code of its own to compile."""
+        return F.broadcast(spark.sql(f"SELECT * FROM VALUES (0, {beta!r}D, {step!r}D) AS numbers(one, beta, step)"))
 
     try:
         diagonal = F.col("comparisons") + F.lit(float(ridge))
         state = items.withColumns({"d": diagonal, "x": F.lit(0.0), "r": (F.col("won") - F.col("lost")).cast("double")}).withColumn("u", F.col("r") / F.col("d"))
-        state = told(state.withColumns({"p": F.lit(0.0), "s": F.lit(0.0), "one": F.lit(0)}))
-        numbers = measured(state, None)
-        now = first = numbers.first()["left"]
-        for _ in range(rounds):
-            if now <= tolerance**2 * first:
-                break
-            moved = state.join(F.broadcast(numbers.select("one", "beta", "step")), "one")
-            moved = moved.withColumns({"p": F.col("u") + F.col("beta") * F.col("p"), "s": F.col("w") + F.col("beta") * F.col("s")}).drop("w")
+        state, now, bent = told(state.withColumns({"p": F.lit(0.0), "s": F.lit(0.0), "one": F.lit(0)}))
+        first, beta, step, done = now, 0.0, now / bent if bent else 0.0, 0
+        while now > tolerance**2 * first:
+            if done == rounds:
+                raise RuntimeError(f"strengths have not settled after {rounds} rounds: residual {math.sqrt(now / first):.1e} of the first")
+            moved = state.join(numbers(beta, step), "one").withColumns({"p": F.col("u") + F.col("beta") * F.col("p"), "s": F.col("w") + F.col("beta") * F.col("s")}).drop("w")
             moved = moved.withColumns({"x": F.col("x") + F.col("step") * F.col("p"), "r": F.col("r") - F.col("step") * F.col("s")}).drop("beta", "step")
-            state = told(moved.withColumn("u", F.col("r") / F.col("d")))
-            numbers = measured(state, numbers)
-            now = numbers.first()["left"]
-        if now > tolerance**2 * first:
-            raise RuntimeError(f"strengths have not settled after {rounds} rounds: residual {math.sqrt(now / first):.1e} of the first")
+            before = now
+            state, now, bent = told(moved.withColumn("u", F.col("r") / F.col("d")))
+            done, beta = done + 1, now / before
+            step = now / (bent - beta * now / step) if now else 0.0
     finally:
         links.unpersist()
     return state.select("item", F.col("x").alias("strength"), "comparisons", "won", "lost")
