@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kumikata.plans.runtime import cut, cut_and_measured, spread
+from kumikata.plans.runtime import cut, cut_and_measured, let_go, spread
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hung = large.join(spread(least), F.col("high") == F.col("node"))
         small = hung.select(F.col("least").alias("low"), F.col("low").alias("high")).where("low <> high").unionByName(least.select(F.col("least").alias("low"), F.col("node").alias("high"))).distinct()
         flat, now = cut_and_measured(small, edges=F.count("*"), hashes=F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")))
+        let_go(nodes.sparkSession)
         if now == before:
             break
         before = now

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.functions.text import fold
-from kumikata.plans.runtime import cut, small, spread
+from kumikata.plans.runtime import cut, let_go, small, spread
 
 # Remarks that people add to a label and that leave its meaning as it is; what stands between blanks comes after a word.
 REMARKS = [
@@ -145,6 +145,7 @@ def canonical(labels: DataFrame, library: DataFrame, label: str = "label", key:
     rest = spelled.join(spread(exact), "typed", "left_anti")
     pairs = near(rest.select("sq").distinct(), refs)
     judged = cut(rest.join(spread(pairs), "sq").join(small(refs.select("ref", "ref_words", "node_key")), "ref").select("typed", "w", "ref_words", "node_key", "edits"))
+    let_go(labels.sparkSession)
     # a word that is nearer to a rival of the entry's word than to that word: told once for each different pair of words
     aligned = judged.where("size(w) = size(ref_words)").select("typed", "w", "ref_words", F.explode(F.arrays_zip(F.col("w").alias("word"), F.col("ref_words").alias("meant"))).alias("z")).where("z.word <> z.meant")
     pairs_of_words = aligned.select("z.word", "z.meant").distinct()

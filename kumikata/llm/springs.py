@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.llm.stripes import numbered
-from kumikata.plans.runtime import cut, cut_and_measured, spread
+from kumikata.plans.runtime import cut, cut_and_measured, let_go, spread
 
 
 def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "loser", tie: str | None = None, ridge: float = 3.0, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
@@ -58,6 +58,8 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
             before = now
             state, now, bent = told(moved.withColumn("u", F.col("r") / F.col("d")))
             done, beta = done + 1, now / before
+            if done % 8 == 0:
+                let_go(spark)
             step = now / (bent - beta * now / step) if now else 0.0
     finally:
         links.unpersist()
