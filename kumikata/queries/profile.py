@@ -13,7 +13,7 @@ from kumikata.plans.runtime import table
 from kumikata.queries.graph import _keys
 from kumikata.queries.seq import _OWN
 from kumikata.queries.vec import _CH
-from kumikata.sources.views import BOUTS, EV, bouts, decided, events, person_key, node_key
+from kumikata.sources.views import BOUTS, EV, bouts, decided, events, node_key, person_key
 
 _W = f"WITH {EV}"
 _T = a.TYPES
