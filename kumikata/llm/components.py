@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kumikata.plans.runtime import cut, cut_and_measured, let_go, spread
+from kumikata.plans.runtime import cut, cut_and_measured, spread
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,13 +20,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # large star: every larger neighbour is hung below the least node around
         both = flat.unionByName(flat.select(F.col("high").alias("low"), F.col("low").alias("high"))).select(F.col("low").alias("node"), F.col("high").alias("next"))
         least = both.groupBy("node").agg(F.least(F.min("next"), F.first("node")).alias("least"))
-        large = both.join(spread(least), "node").where("next > node").select(F.col("least").alias("low"), F.col("next").alias("high")).where("low <> high").distinct()
+        large = both.join(spread(least), "node").where("next > node").select(F.col("least").alias("low"), F.col("next").alias("high")).where("low <> high")
         # small star: every smaller neighbour too
         least = large.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
         hung = large.join(spread(least), F.col("high") == F.col("node"))
         small = hung.select(F.col("least").alias("low"), F.col("low").alias("high")).where("low <> high").unionByName(least.select(F.col("least").alias("low"), F.col("node").alias("high"))).distinct()
         flat, now = cut_and_measured(small, edges=F.count("*"), hashes=F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")))
-        let_go(nodes.sparkSession)
         if now == before:
             break
         before = now

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.functions.text import fold
-from kumikata.plans.runtime import cut, let_go, small, spread
+from kumikata.plans.runtime import cut, small, spread
 
 # Remarks that people add to a label and that leave its meaning as it is; what stands between blanks comes after a word.
 REMARKS = [
@@ -145,14 +145,14 @@ def canonical(labels: DataFrame, library: DataFrame, label: str = "label", key:
     rest = spelled.join(spread(exact), "typed", "left_anti")
     pairs = near(rest.select("sq").distinct(), refs)
     judged = cut(rest.join(spread(pairs), "sq").join(small(refs.select("ref", "ref_words", "node_key")), "ref").select("typed", "w", "ref_words", "node_key", "edits"))
-    let_go(labels.sparkSession)
     # a word that is nearer to a rival of the entry's word than to that word: told once for each different pair of words
     aligned = judged.where("size(w) = size(ref_words)").select("typed", "w", "ref_words", F.explode(F.arrays_zip(F.col("w").alias("word"), F.col("ref_words").alias("meant"))).alias("z")).where("z.word <> z.meant")
     pairs_of_words = aligned.select("z.word", "z.meant").distinct()
     rivals = small(interchangeable(library, key, aliases).select(F.col("word").alias("meant"), "rival"))
-    misread = pairs_of_words.join(rivals, "meant").where("levenshtein(word, rival) < levenshtein(word, meant)").select("word", "meant").distinct()
-    wrong = aligned.join(spread(misread), [F.col("z.word") == misread["word"], F.col("z.meant") == misread["meant"]], "left_semi").select("typed", "w", "ref_words").distinct()
+    misread = pairs_of_words.join(rivals, "meant").where("levenshtein(word, rival) < levenshtein(word, meant)").select("word", "meant")
+    wrong = aligned.join(spread(misread), [F.col("z.word") == misread["word"], F.col("z.meant") == misread["meant"]], "left_semi").select("typed", "w", "ref_words")
     fits = judged.where("size(w) = size(ref_words) OR edits <= 2").join(spread(wrong), ["typed", "w", "ref_words"], "left_anti")
-    nearest = fits.groupBy("typed", "node_key").agg(F.min("edits").alias("edits")).groupBy("typed", "edits").agg(F.count("*").alias("n"), F.min("node_key").alias("node_key")).groupBy("typed").agg(F.min(F.struct("edits", "n", "node_key")).alias("best"))
-    found = nearest.where("best.n = 1").select("typed", F.col("best.node_key").alias("node_key"))
+    # the least and the greatest entry of those at the least distance
+    nearest = fits.groupBy("typed").agg(F.min(F.struct("edits", "node_key")).alias("a"), F.max(F.struct((-F.col("edits")).alias("near"), "node_key")).alias("z"))
+    found = nearest.where("a.node_key = z.node_key").select("typed", F.col("a.node_key").alias("node_key"))
     return base.join(spread(exact.unionByName(found)), "typed", "left").select("label", "node_key")

@@ -233,14 +233,30 @@ def kept_letters(word: Column, most: int) -> Column:
     return out
 
 
-def _blocked(full: DataFrame, most: int, hot: int) -> DataFrame:
+def _keyed(forms: DataFrame) -> DataFrame:
+    """A row per form and block."""
+    return forms.select("form", F.xxhash64("scope").alias("within"), "word_a", "word_b", "middle", F.explode(F.transform("keys", lambda k: F.xxhash64("scope", k))).alias("key"))
+
+
+def _large(forms: DataFrame, hot: int) -> DataFrame | None:
+    """(key, large) of the blocks with more than `hot` forms, None if there is none; only scopes with as many forms can have one."""
+    crowded = cut(forms.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("scope"))
+    if crowded.isEmpty():
+        return None
+    counts = _keyed(forms.join(small(crowded), "scope")).groupBy("key").agg(F.count("*").alias("n"))
+    large = cut(counts.where(F.col("n") > hot).select("key", F.lit(True).alias("large")))
+    return None if large.isEmpty() else large
+
+
+def _blocked(whole: DataFrame, most: int, hot: int) -> DataFrame:
     """Pairs of forms of one block that the words' letters do not keep apart.
 
     A block of more than `hot` forms is cut by what is left of its words after as many letters are dropped as two spellings may differ in, so that its pairs
     are never all compared, and none is lost.
     """
-    sizes = cut(full.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("large")))
-    if sizes.limit(1).count():
+    sizes = _large(whole, hot)
+    full = _keyed(whole)
+    if sizes is not None:
         told = full.join(small(sizes), "key", "left")
         rest = F.array_distinct(F.concat(kept_letters(F.col("word_a"), most), kept_letters(F.col("word_b"), most)))
         keys = F.when(F.col("large"), F.transform(rest, lambda v: F.xxhash64("key", v))).otherwise(F.array("key"))
@@ -259,8 +275,9 @@ def _without_bridges(edges: DataFrame) -> DataFrame:
     """
     hang = edges.where("(middle = '') <> (other_middle = '')")
     hang = hang.select("form", "other", F.when(F.col("middle") == "", F.col("form")).otherwise(F.col("other")).alias("open"), F.substring(F.concat("middle", "other_middle"), 1, 1).alias("letter"), "slips")
-    letters = hang.groupBy("open", "letter").agg(F.min("slips").alias("slips")).groupBy("open").agg(F.array_sort(F.collect_list(F.struct("slips", "letter"))).alias("l"))
-    one = letters.select("open", F.when((F.size("l") == 1) | (F.get("l", F.lit(0))["slips"] < F.get("l", F.lit(1))["slips"]), F.get("l", F.lit(0))["letter"]).alias("keep"))
+    # the least and the greatest letter of those at the least distance
+    ends = hang.groupBy("open").agg(F.min(F.struct("slips", "letter")).alias("a"), F.max(F.struct((-F.col("slips")).alias("near"), "letter")).alias("z"))
+    one = ends.select("open", F.when(F.col("a.letter") == F.col("z.letter"), F.col("a.letter")).alias("keep"))
     kept = hang.join(spread(one), "open").where("letter = keep").select("form", "other")
     return edges.where("(middle = '') = (other_middle = '')").select("form", "other").unionByName(kept)
 
@@ -291,25 +308,24 @@ def link(names: DataFrame, name: str = "name", scope: str | None = None, most: i
     # a number for each form; written, so that it stays
     forms = cut(forms.withColumn("form", F.monotonically_increasing_id()))
     whole = forms.where("initials = 0")
-    full = whole.select("form", F.xxhash64("scope").alias("within"), "word_a", "word_b", "middle", F.explode(F.transform("keys", lambda k: F.xxhash64("scope", k))).alias("key"))
-    edges = cut(_blocked(full, most + 1, hot).mapInPandas(_compare(most), _EDGE))
+    edges = cut(_blocked(whole, most + 1, hot).mapInPandas(_compare(most), _EDGE))
     groups = components(whole.select(F.col("form").alias("node")), _without_bridges(edges).select(F.col("form").alias("a"), F.col("other").alias("b")))
     # an initial: the persons whose one word begins so and whose other word sounds alike
-    shown = F.explode("keys").alias("key")
-    begins = whole.select("form", "scope", "word_a", "word_b", "middle", shown).withColumn("less", F.substring_index("key", "|", -1)).drop("key").distinct()
-    letters = F.explode(F.array_distinct(F.array(F.substring("word_a", 1, 1), F.substring("word_b", 1, 1))))
-    begins = begins.select("scope", F.col("form").alias("other"), F.col("word_a").alias("other_a"), F.col("word_b").alias("other_b"), F.col("middle").alias("other_middle"), "less", letters.alias("letter"))
-    initial = forms.where("initials = 1").select("form", "scope", "word_a", "word_b", "middle", shown)
-    initial = initial.select("form", "scope", "word_a", "word_b", "middle", F.substring_index("key", ":", 1).alias("letter"), F.substring_index("key", ":", -1).alias("less"))
+    # one number for scope, letter and sound; those of a form are made different within its row
+    letters = F.array_distinct(F.array(F.substring("word_a", 1, 1), F.substring("word_b", 1, 1)))
+    numbers = F.flatten(F.transform(letters, lambda c: F.transform("keys", lambda k: F.xxhash64("scope", c, F.substring_index(k, "|", -1)))))
+    begins = whole.select("scope", F.col("form").alias("other"), F.col("word_a").alias("other_a"), F.col("word_b").alias("other_b"), F.col("middle").alias("other_middle"), F.explode(F.array_distinct(numbers)).alias("key"))
+    initial = forms.where("initials = 1").select("form", F.col("scope").alias("own_scope"), "word_a", "word_b", "middle", F.when(F.length("word_a") == 1, F.col("word_a")).otherwise(F.col("word_b")).alias("letter"), F.explode("keys").alias("k"))
+    initial = initial.withColumn("key", F.xxhash64("own_scope", F.substring_index("k", ":", 1), F.substring_index("k", ":", -1))).drop("k")
     surname = F.when(F.length("word_a") > 1, F.col("word_a")).otherwise(F.col("word_b"))
     bound = 2 * (most + 1)
     apart = lambda other, letter: F.when((F.substring(letter, 1, 1) == F.col("letter")) & (F.levenshtein(surname, F.col(other), bound) >= 0), F.levenshtein(surname, F.col(other))).otherwise(99)
-    met = initial.join(spread(begins), ["scope", "letter", "less"]).withColumn("apart", F.least(apart("other_b", "other_a"), apart("other_a", "other_b"))).where("apart < 99")
+    met = initial.join(spread(begins), "key").where("own_scope = scope").withColumn("apart", F.least(apart("other_b", "other_a"), apart("other_a", "other_b"))).where("apart < 99")
     met = met.select("form", "other", "word_a", "word_b", "middle", "other_a", "other_b", "other_middle").distinct()
-    near = met.mapInPandas(_compare(most), _EDGE).join(spread(groups.select(F.col("node").alias("other"), "component")), "other").groupBy("form", "component").agg(F.min("slips").alias("slips"))
+    near = met.mapInPandas(_compare(most), _EDGE).join(spread(groups.select(F.col("node").alias("other"), "component")), "other")
     # only if one person alone is at the least distance
-    nearest = near.groupBy("form", "slips").agg(F.count("*").alias("n"), F.min("component").alias("component")).groupBy("form").agg(F.min(F.struct("slips", "n", "component")).alias("best"))
-    chosen = nearest.where("best.n = 1").select(F.col("form").alias("node"), F.col("best.component").alias("component"))
+    nearest = near.groupBy("form").agg(F.min(F.struct("slips", "component")).alias("a"), F.max(F.struct((-F.col("slips")).alias("near"), "component")).alias("z"))
+    chosen = nearest.where("a.component = z.component").select(F.col("form").alias("node"), F.col("a.component").alias("component"))
     lone = forms.where("initials > 0").select(F.col("form").alias("node")).join(spread(chosen), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     told = cut(forms.select(*key, "least", F.col("form").alias("node")).join(spread(groups.unionByName(lone)), "node"))
     persons = told.join(spread(told.groupBy("component").agg(F.min("least").alias("person"))), "component").select(*key, "person")

@@ -82,6 +82,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = asked.join(spread(full), ["athlete", "known_year", "ending"]).where(F.col("written").startswith(F.col("letter")) & (F.levenshtein(F.element_at(F.split("written", " "), -1), F.col("surname")) <= 1))
     one = met.groupBy("athlete", "known_year", "ending", "opp").agg(F.min("other").alias("other"), F.max("other").alias("last")).where("other = last").drop("last")
     told = told.join(spread(one), ["athlete", "known_year", "ending", "opp"], "left").withColumn("person", F.coalesce("other", "person")).drop("other")
+    told = cut(told)
     # how many bouts the pair has
     pairs = told.groupBy("athlete", "person").agg(F.min("known_year").alias("y0"), F.max("known_year").alias("y1"), F.min("ending").alias("e0"), F.max("ending").alias("e1"))
     single = F.coalesce(F.col("y0") == F.col("y1"), F.lit(True)) & F.coalesce(F.col("e0") == F.col("e1"), F.lit(True))

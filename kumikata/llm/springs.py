@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kumikata.llm.stripes import numbered
-from kumikata.plans.runtime import cut, cut_and_measured, let_go, spread
+from kumikata.plans.runtime import cut, cut_and_measured, spread
 
 
 def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "loser", tie: str | None = None, ridge: float = 3.0, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
@@ -29,8 +29,7 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
     both = sums.select("a", "b", "n", "won", F.lit(0).cast("long").alias("lost")).unionByName(sums.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.lit(0).cast("long").alias("won"), F.col("won").alias("lost")))
     pairs = cut(both.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "won", "lost")]))
     items = pairs.groupBy(F.col("a").alias("item")).agg(F.sum("n").alias("comparisons"), F.sum("won").alias("won"), F.sum("lost").alias("lost"))
-    spark = comparisons.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(comparisons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # laid by the item they pull from and sorted, once for all rounds; lost parts are read from `pairs` again
     links = pairs.select("a", "b", F.col("n").cast("double").alias("n")).repartition(parts, "b").sortWithinPartitions("b").persist()
 
@@ -41,9 +40,10 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
         written, seen = cut_and_measured(new, left=F.sum(F.col("r") * F.col("u")), bent=F.sum(F.col("w") * F.col("u")))
         return written, seen["left"] or 0.0, seen["bent"] or 0.0
 
-    def numbers(beta: float, step: float) -> DataFrame:
-        """A row with the round's numbers: as literals they would give every round code of its own to compile."""
-        return F.broadcast(spark.sql(f"SELECT * FROM VALUES (0, {beta!r}D, {step!r}D) AS numbers(one, beta, step)"))
+    def numbers(beta: float, step: float) -> tuple[Column, Column]:
+        """The round's numbers, looked up in a constant array by the column `one`, which is 0: as plain constants they would give every round code of its own to compile."""
+        both = F.lit([beta, step])
+        return F.get(both, F.col("one")), F.get(both, F.col("one") + 1)
 
     try:
         diagonal = F.col("comparisons") + F.lit(float(ridge))
@@ -53,13 +53,12 @@ def strengths(comparisons: DataFrame, winner: str = "winner", loser: str = "lose
         while now > tolerance**2 * first:
             if done == rounds:
                 raise RuntimeError(f"strengths have not settled after {rounds} rounds: residual {math.sqrt(now / first):.1e} of the first")
-            moved = state.join(numbers(beta, step), "one").withColumns({"p": F.col("u") + F.col("beta") * F.col("p"), "s": F.col("w") + F.col("beta") * F.col("s")}).drop("w")
-            moved = moved.withColumns({"x": F.col("x") + F.col("step") * F.col("p"), "r": F.col("r") - F.col("step") * F.col("s")}).drop("beta", "step")
+            along, far = numbers(beta, step)
+            moved = state.withColumns({"p": F.col("u") + along * F.col("p"), "s": F.col("w") + along * F.col("s")}).drop("w")
+            moved = moved.withColumns({"x": F.col("x") + far * F.col("p"), "r": F.col("r") - far * F.col("s")})
             before = now
             state, now, bent = told(moved.withColumn("u", F.col("r") / F.col("d")))
             done, beta = done + 1, now / before
-            if done % 8 == 0:
-                let_go(spark)
             step = now / (bent - beta * now / step) if now else 0.0
     finally:
         links.unpersist()
