@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -39,16 +38,6 @@ def cut_and_measured(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict
     return written, seen.get
 
 
-def let_go(spark: SparkSession) -> None:
-    """Collect the driver's garbage, so that Spark's cleaner removes shuffles, broadcasts and checkpoints that nothing refers to any more.
-
-    Spark removes them when their objects are collected, which an idle heap may never do: the rounds of a long iteration would stay on the executors' disks and in the driver.
-    Frames in reference cycles on this side hold their plans on the other, so these go first.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for `df` if it has at most `rows` rows, else one that forbids it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else spread(df)
