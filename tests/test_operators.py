@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime
 import math
+import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,3 +423,21 @@ def test_lift_stability_flags_what_one_athlete_carries(spark):
 def test_permutation_tells_small_p_apart(spark):
     cells = spark.createDataFrame([("g", "r1", "c1", 30), ("g", "r2", "c2", 30)], "g string, r string, c string, n long")
     assert stats.permutation(cells, "g", "r", "c").first().p == pytest.approx(1 / 10_001)
+
+
+def test_greedy_merges_are_the_best_and_do_not_see_every_link_again():
+    rng = np.random.default_rng(3)
+    near = graphs._undirected(pd.DataFrame({"source": [f"n{i}" for i in rng.integers(0, 14, 60)], "target": [f"n{i}" for i in rng.integers(0, 14, 60)], "weight": rng.integers(1, 5, 60)}))[1]
+    parts = [[n] for n in sorted(near)]
+    while True:
+        best = min((-round(graphs.modularity([p for p in parts if p not in (a, b)] + [a + b], near), 12), *sorted((min(a), min(b))), a, b) for a in parts for b in parts if a < b and any(m in near[n] for n in a for m in b))
+        if -best[0] <= graphs.modularity(parts, near) + 1e-12:
+            break
+        parts = [p for p in parts if p not in best[3:]] + [best[3] + best[4]]
+    assert graphs.greedy_parts(sorted(near), near) == sorted((sorted(p) for p in parts), key=lambda p: (-len(p), p[0]))
+    # few nodes have most of the links, as positions do
+    ends = (4000 * rng.random((2, 30_000)) ** 3).astype(int)
+    nodes, near = graphs._undirected(pd.DataFrame({"source": [f"n{i}" for i in ends[0]], "target": [f"n{i}" for i in ends[1]], "weight": 1}))
+    began = time.process_time()
+    assert sum(map(len, graphs.greedy_parts(nodes, near))) == len(nodes)
+    assert time.process_time() - began < 40
