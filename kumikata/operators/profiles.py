@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kumikata.operators import graphs
-from kumikata.plans.runtime import cut
+from kumikata.plans.runtime import cut, spread
 
 
 def type_benchmark(mix: DataFrame, who: str, item: str, share: str = "share") -> DataFrame:
@@ -59,11 +59,13 @@ def system_similarity(cosine: Column, same_hub: Column, sizes: tuple[Column, Col
 def lineage(old: DataFrame, new: DataFrame, least: float = 0.3) -> DataFrame:
     """(kind, old, new, jaccard): what became of each community (community, members): kept, split, merged, born or gone.
 
-    Only communities that share a member are compared. Kept: each is the other's most alike. Split: an old one's second heir; merged: a second origin of a new one.
+    Only communities that share a member are compared, by counts: no list of members is joined. Kept: each is the other's most alike. Split: an old one's second heir; merged: a second origin of a new one.
     """
-    a = old.select(F.col("community").alias("old"), F.col("members").alias("_a"), F.explode("members").alias("m"))
-    b = new.select(F.col("community").alias("new"), F.col("members").alias("_b"), F.explode("members").alias("m"))
-    pairs = a.join(b, "m").select("old", "new", "_a", "_b").distinct().withColumn("jaccard", graphs.jaccard(F.col("_a"), F.col("_b"))).where(F.col("jaccard") >= least).drop("_a", "_b")
+    # sizes are taken before members are spread, else once a member
+    old, new = (cut(x.select("community", F.array_distinct("members").alias("members")).withColumn("size", F.size("members"))) for x in (old, new))
+    side = lambda x, name, size: spread(x.select(F.col("community").alias(name), F.col("size").alias(size), F.explode("members").alias("m")))
+    shared = side(old, "old", "_a").join(side(new, "new", "_b"), "m").groupBy("old", "new", "_a", "_b").agg(F.count("*").alias("_n"))
+    pairs = cut(shared.select("old", "new", (F.col("_n") / (F.col("_a") + F.col("_b") - F.col("_n"))).alias("jaccard")).where(F.col("jaccard") >= least))
     ranked = pairs.withColumns({"_ro": F.row_number().over(Window.partitionBy("old").orderBy(F.desc("jaccard"), "new")), "_rn": F.row_number().over(Window.partitionBy("new").orderBy(F.desc("jaccard"), "old"))})
     kind = F.when((F.col("_ro") == 1) & (F.col("_rn") == 1), "kept").when(F.col("_ro") > 1, "split").otherwise("merged")
     seen = ranked.select(kind.alias("kind"), "old", "new", "jaccard")

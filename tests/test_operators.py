@@ -441,3 +441,11 @@ def test_greedy_merges_are_the_best_and_do_not_see_every_link_again():
     began = time.process_time()
     assert sum(map(len, graphs.greedy_parts(nodes, near))) == len(nodes)
     assert time.process_time() - began < 40
+
+
+def test_lineage_joins_no_lists_of_members(spark):
+    of = lambda c, low, high: spark.range(low, high).groupBy(F.lit(c).alias("community")).agg(F.collect_list(F.concat(F.lit("a position by name "), "id")).alias("members"))
+    old, new = of(1, 0, 30_000), of(7, 10_000, 40_000)
+    began = time.monotonic()
+    assert [tuple(r) for r in profiles.lineage(old, new, 0.2).collect()] == [("kept", 1, 7, 0.5)]
+    assert time.monotonic() - began < 40
