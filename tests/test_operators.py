@@ -449,3 +449,25 @@ def test_lineage_joins_no_lists_of_members(spark):
     began = time.monotonic()
     assert [tuple(r) for r in profiles.lineage(old, new, 0.2).collect()] == [("kept", 1, 7, 0.5)]
     assert time.monotonic() - began < 40
+
+
+def test_dilemmas_reach_by_bits(spark):
+    rng = np.random.default_rng(5)
+    ends = rng.integers(0, 300, (2, 420))
+    ways = {}
+    for s, t in ends.T.tolist():
+        ways.setdefault(s, set()).add(t)
+    want = {}
+    for node in ways:
+        front, seen = {node}, set()
+        for _ in range(3):
+            front = {t for s in front for t in ways.get(s, ())}
+            seen |= front
+        want[f"n{node}"] = len(seen - {node})
+    edges = spark.createDataFrame([(f"n{s}", f"n{t}") for s in ways for t in ways[s]], "source string, target string")
+    assert {r.node: r.reach for r in graphs.reached(edges, 3, 64).collect()} == {n: x for n, x in want.items() if x}
+    dense = spark.range(600).select(F.concat(F.lit("n"), "id").alias("source")).crossJoin(spark.range(600).select(F.concat(F.lit("n"), "id").alias("target"))).where("source <> target")
+    value = spark.range(600).select(F.concat(F.lit("n"), "id").alias("label"), F.lit(0.5).alias("value"))
+    began = time.monotonic()
+    assert {(r.branches, r.reach) for r in graphs.dilemmas(dense, value).collect()} == {(599, 599)}
+    assert time.monotonic() - began < 40
