@@ -84,23 +84,25 @@ def drivers(units: DataFrame, communities: DataFrame, vanish: float = 0.2, carri
     return communities.select("graph", "community").join(best.groupBy("graph", "community").agg(F.min("unit").alias("driver")), ["graph", "community"], "left")
 
 
+def matching(scores: Column) -> Column:
+    """The one-to-one matching of an array of (system_a, minus, system_b), `minus` the score below zero: each system of `a` in order with its most alike that is still free, ties by number."""
+    met = lambda done, x: F.exists(done, lambda m: (m["system_a"] == x["system_a"]) | (m["system_b"] == x["system_b"]))
+    return F.aggregate(F.array_sort(scores), F.array().cast("array<struct<system_a:int,minus:double,system_b:int>>"), lambda done, x: F.when(met(done, x), done).otherwise(F.array_append(done, x)))
+
+
+def matched(frame: DataFrame, scores: Column) -> DataFrame:
+    """(a, b, system_a, system_b, score): the matching of each row (a, b) of a frame."""
+    return frame.select("a", "b", F.explode(matching(scores)).alias("m")).select("a", "b", "m.system_a", "m.system_b", (-F.col("m.minus")).alias("score"))
+
+
 def match_systems(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     """(a, b, system_a, system_b, score): systems of two athletes matched one to one, each of `a` in order with its most alike that is still free.
 
-    `pairs` has (a, b), `similarity` (a, b, system_a, system_b, score) of all their systems; one pair of athletes is one task.
+    `pairs` has (a, b), `similarity` (a, b, system_a, system_b, score) of all their systems.
     """
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for mine, rows in pdf.sort_values(["system_a", "system_b"]).groupby("system_a"):
-            free = rows[~rows["system_b"].isin(taken)]
-            if len(free):
-                best = free.loc[free["score"].idxmax()]
-                taken.add(best["system_b"])
-                out.append((*key, int(mine), int(best["system_b"]), float(best["score"])))
-        return pd.DataFrame(out, columns=["a", "b", "system_a", "system_b", "score"])
-
-    return similarity.join(pairs, ["a", "b"], "left_semi").groupBy("a", "b").applyInPandas(solve, "a string, b string, system_a int, system_b int, score double")
+    told = similarity.where("score IS NOT NULL").join(pairs, ["a", "b"], "left_semi").groupBy("a", "b")
+    row = F.struct(F.col("system_a").cast("int").alias("system_a"), (-F.col("score").cast("double")).alias("minus"), F.col("system_b").cast("int").alias("system_b"))
+    return matched(told.agg(F.collect_list(row).alias("scores")), F.col("scores"))
 
 
 def profile_similarity(matches: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kumikata.operators import flow, graphs as g, profiles, sequences as s, systems as y
 from kumikata.operators.joins import participants
 from kumikata.operators.vectors import sparse_neighbours
-from kumikata.plans.runtime import cut
+from kumikata.plans.runtime import cut, spread
 from kumikata.queries.graph import _graph, _valued
 from kumikata.sources.views import EV, bouts, events
 
@@ -66,12 +66,16 @@ def _matches(spark, d):
     steps = s.transitions(ev).groupBy("actor", "source", "target").agg(F.count("*").cast("double").alias("weight"))
     kinds = ev.groupBy("label").agg(F.min("type").alias("type"))
     found = cut(profiles.systems(steps, kinds, "actor").where("size >= 2").join(kinds.select(F.col("label").alias("hub"), F.col("type").alias("hub_type")), "hub", "left"))
-    side = lambda x: found.select(F.col("actor").alias(x), F.col("community").alias(f"system_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("dominant", "share", "hub_type", "size", "support")])
-    pairs = cut(participants(bouts(spark, d).where("a <> b").select("match_id", "a", "b")).select(F.col("athlete").alias("a"), F.col("opponent").alias("b")).distinct())
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    alike = F.when(F.col("dominant_a") == F.col("dominant_b"), F.least("share_a", "share_b")).otherwise(0.0)
-    score = profiles.system_similarity(alike, F.coalesce(F.col("hub_type_a") == F.col("hub_type_b"), F.lit(False)), (F.col("size_a"), F.col("size_b")), (F.col("support_a"), F.col("support_b")))
-    return y.match_systems(pairs, both.select("a", "b", "system_a", "system_b", score.alias("score")))
+    listed = found.groupBy("actor").agg(F.collect_list(F.struct("community", "dominant", "share", "hub_type", "size", "support")).alias("systems"))
+    side = lambda x: spread(listed.select(F.col("actor").alias(x), F.col("systems").alias(f"_{x}")))
+    pairs = participants(bouts(spark, d).where("a <> b").select("match_id", "a", "b")).select(F.col("athlete").alias("a"), F.col("opponent").alias("b")).distinct()
+
+    def row(x, z):
+        alike = F.when(x["dominant"] == z["dominant"], F.least(x["share"], z["share"])).otherwise(0.0)
+        score = profiles.system_similarity(alike, F.coalesce(x["hub_type"] == z["hub_type"], F.lit(False)), (x["size"], z["size"]), (x["support"], z["support"]))
+        return F.struct(x["community"].alias("system_a"), (-score).alias("minus"), z["community"].alias("system_b"))
+
+    return y.matched(pairs.join(side("a"), "a").join(side("b"), "b"), F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda z: row(x, z)))))
 
 
 def _neighbours(spark, d):

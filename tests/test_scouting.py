@@ -205,3 +205,21 @@ def test_formulas_over_documents(spark):
     for bad in ("a ** 2", "f(a)", "'x'", "a if b else c"):
         with pytest.raises(ValueError, match="not a formula"):
             k.formula(F.col("d"), bad)
+
+
+def test_many_pairs_are_matched_without_a_python_step_for_each(spark):
+    scores = F.pmod(F.xxhash64("id", "system_a", "system_b"), F.lit(4)) / 4.0
+    told = spark.range(300).select("id", F.concat(F.lit("a"), "id").alias("a"), F.lit("b").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("system_a")).withColumn("system_b", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("score", scores).drop("id").localCheckpoint()
+    found = y.match_systems(told.select("a", "b").distinct(), told)
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+    want, of = set(), {}
+    for r in told.collect():
+        of.setdefault(r.a, {}).setdefault(r.system_a, []).append((-r.score, r.system_b))
+    for a, systems in of.items():
+        taken = set()
+        for mine in sorted(systems):
+            free = sorted(x for x in systems[mine] if x[1] not in taken)
+            if free:
+                taken.add(free[0][1])
+                want.add((a, mine, free[0][1], -free[0][0]))
+    assert {(r.a, r.system_a, r.system_b, r.score) for r in found.collect()} == want
