@@ -223,3 +223,10 @@ def test_many_pairs_are_matched_without_a_python_step_for_each(spark):
                 taken.add(free[0][1])
                 want.add((a, mine, free[0][1], -free[0][0]))
     assert {(r.a, r.system_a, r.system_b, r.score) for r in found.collect()} == want
+
+
+def test_nearest_profiles_of_a_query_come_without_a_python_step_for_each_pair(spark, sf):
+    from kumikata import catalog
+
+    plan = catalog.QUERIES["nearest_profiles"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "lambdafunction" in plan
