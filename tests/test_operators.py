@@ -443,6 +443,30 @@ def test_greedy_merges_are_the_best_and_do_not_see_every_link_again():
     assert time.process_time() - began < 40
 
 
+def written(spark):
+    """Bytes that the session's shuffles have written."""
+    return sum(x.totalShuffleWrite() for x in [spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0)])
+
+
+def test_next_moves_meet_only_those_that_can_be_among_the_first(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"a{rng.integers(40)}", f"s{rng.integers(3)}", f"t{int(50 * rng.random() ** 2):02d}") for _ in range(1200)]
+    counts = {}
+    for row in rows:
+        counts[row] = counts.get(row, 0) + 1
+    got = {(r.who, r.source, r["rank"]): (r.target, r.p) for r in vectors.next_moves(spark.createDataFrame(rows, "who string, source string, target string"), "who", 4).collect()}
+    for who, source in {r[:2] for r in rows}:
+        own, every = ({t: sum(n for (w, s, x), n in counts.items() if s == source and x == t and w in ws) for t in {r[2] for r in rows if r[1] == source}} for ws in ({who}, {r[0] for r in rows}))
+        raw = {t: math.sqrt(max(own[t] / sum(own.values()), 1e-6) * max(every[t] / sum(every.values()), 1e-6)) for t in every}
+        first = sorted((-round(x / sum(raw.values()), 9), t) for t, x in raw.items())[:4]
+        assert [got[who, source, i + 1] for i in range(4)] == [(t, pytest.approx(-x, abs=1e-8)) for x, t in first]
+    many = spark.range(1500).select(F.concat(F.lit("a"), "id").alias("who"), F.lit("s").alias("source"), F.concat(F.lit("t"), "id").alias("target")).localCheckpoint()
+    before = written(spark)
+    assert vectors.next_moves(many, "who").count() == 4500
+    time.sleep(1)
+    assert written(spark) - before < 2e6
+
+
 def test_lineage_joins_no_lists_of_members(spark):
     of = lambda c, low, high: spark.range(low, high).groupBy(F.lit(c).alias("community")).agg(F.collect_list(F.concat(F.lit("a position by name "), "id")).alias("members"))
     old, new = of(1, 0, 30_000), of(7, 10_000, 40_000)
