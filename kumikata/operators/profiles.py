@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -43,11 +44,13 @@ def overlaps(pairs: DataFrame, sets: DataFrame, who: str) -> DataFrame:
 
 def systems(edges: DataFrame, kinds: DataFrame, who: str) -> DataFrame:
     """(who, community, size, hub, support, dominant, share): an athlete's communities of moves with the type that leads in each."""
-    found = graphs.communities(edges, who)
-    members = found.select("graph", "community", F.explode("members").alias("label")).join(kinds.select("label", "type"), "label", "left")
-    counts = members.groupBy("graph", "community", "type").agg(F.count("*").alias("n"))
-    lead = counts.groupBy("graph", "community").agg(F.min_by(F.struct("type", "n"), F.struct(-F.col("n"), F.col("type"))).alias("l"), F.sum("n").alias("all"))
-    return found.join(lead, ["graph", "community"]).select(F.col("graph").alias(who), "community", "size", "hub", "support", F.col("l.type").alias("dominant"), (F.col("l.n") / F.col("all")).alias("share"))
+    # what is told of a community goes along with its members: it is found once, and laid by graph once
+    of = ["graph", "community", "size", "hub", "support"]
+    found = graphs.communities(edges, who).select(*of, "members").repartition("graph")
+    members = found.select(*of, F.explode("members").alias("label")).join(kinds.select("label", "type"), "label", "left")
+    counts = members.groupBy(*of, "type").agg(F.count("*").alias("n"))
+    lead = counts.groupBy(*of).agg(F.min_by(F.struct("type", "n"), F.struct(-F.col("n"), F.col("type"))).alias("l"), F.sum("n").alias("all"))
+    return lead.select(F.col("graph").alias(who), "community", "size", "hub", "support", F.col("l.type").alias("dominant"), (F.col("l.n") / F.col("all")).alias("share"))
 
 
 def system_similarity(cosine: Column, same_hub: Column, sizes: tuple[Column, Column], ratings: tuple[Column, Column]) -> Column:
@@ -56,6 +59,16 @@ def system_similarity(cosine: Column, same_hub: Column, sizes: tuple[Column, Col
     return 0.50 * cosine + 0.20 * same_hub.cast("double") + 0.15 * near(*sizes) + 0.15 * near(*ratings)
 
 
+def system_score(cosine: np.ndarray, same_hub: np.ndarray, sizes: tuple[np.ndarray, np.ndarray], ratings: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """`system_similarity` of arrays: the same operations in the same order, so that ties are the same."""
+
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        most = np.maximum(a, b)
+        return np.divide(np.minimum(a, b), most, out=np.ones(most.shape), where=most != 0)
+
+    return 0.50 * cosine + 0.20 * same_hub + 0.15 * near(*sizes) + 0.15 * near(*ratings)
+
+
 def lineage(old: DataFrame, new: DataFrame, least: float = 0.3) -> DataFrame:
     """(kind, old, new, jaccard): what became of each community (community, members): kept, split, merged, born or gone.
 

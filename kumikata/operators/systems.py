@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kumikata.operators import graphs, stats
+from kumikata.operators import graphs, profiles, stats
 from kumikata.plans.runtime import cut
 
 
@@ -90,11 +94,6 @@ def matching(scores: Column) -> Column:
     return F.aggregate(F.array_sort(scores), F.array().cast("array<struct<system_a:int,minus:double,system_b:int>>"), lambda done, x: F.when(met(done, x), done).otherwise(F.array_append(done, x)))
 
 
-def matched(frame: DataFrame, scores: Column) -> DataFrame:
-    """(a, b, system_a, system_b, score): the matching of each row (a, b) of a frame."""
-    return frame.select("a", "b", F.explode(matching(scores)).alias("m")).select("a", "b", "m.system_a", "m.system_b", (-F.col("m.minus")).alias("score"))
-
-
 def match_systems(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     """(a, b, system_a, system_b, score): systems of two athletes matched one to one, each of `a` in order with its most alike that is still free.
 
@@ -102,7 +101,81 @@ def match_systems(pairs: DataFrame, similarity: DataFrame) -> DataFrame:
     """
     told = similarity.where("score IS NOT NULL").join(pairs, ["a", "b"], "left_semi").groupBy("a", "b")
     row = F.struct(F.col("system_a").cast("int").alias("system_a"), (-F.col("score").cast("double")).alias("minus"), F.col("system_b").cast("int").alias("system_b"))
-    return matched(told.agg(F.collect_list(row).alias("scores")), F.col("scores"))
+    found = told.agg(matching(F.collect_list(row)).alias("m"))
+    return found.select("a", "b", F.explode("m").alias("m")).select("a", "b", "m.system_a", "m.system_b", (-F.col("m.minus")).alias("score"))
+
+
+#: Comparisons of systems that are held at once.
+CELLS = 500_000
+
+
+def _padded(at: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the systems of each list, a row a list, and which of them there are."""
+    step = np.arange(width)
+    there = step < n[:, None]
+    return np.where(there, at[:, None] + step, at[:, None]), there
+
+
+def _match_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`match_system_lists` for blocks of pairs: all their systems are compared in arrays, and each step of the matching is one for all pairs of a block."""
+    for batch in batches:
+        lists = [batch.column(2), batch.column(3)]
+        firsts, lengths = ([f(x) for x in lists] for f in (lambda x: x.offsets.to_numpy()[:-1] - x.offsets[0].as_py(), lambda x: np.diff(x.offsets.to_numpy())))
+        flat = [dict(zip([f.name for f in x.type.value_type], x.flatten().flatten(), strict=True)) for x in lists]
+        codes = {}
+        for c in ("dominant", "hub_type"):
+            # a null is like nothing, not like another null
+            both = pa.chunked_array([x[c] for x in flat]).combine_chunks().dictionary_encode().indices
+            cut_at = len(flat[0][c])
+            codes[c] = [part.fill_null(null).to_numpy(zero_copy_only=False) for part, null in ((both[:cut_at], -1), (both[cut_at:], -2))]
+        values = {c: [x[c].to_numpy(zero_copy_only=False).astype(float) for x in flat] for c in ("share", "size", "support")}
+        numbers = [x["community"].to_numpy(zero_copy_only=False) for x in flat]
+        order, start = np.lexsort((lengths[1], lengths[0])), 0
+        rows, counts, found = [], [], ([], [], [])
+        while start < len(order):
+            some = order[start : start + max(1, CELLS // max(1, int(lengths[0].max()) * int(lengths[1].max())))]
+            start += len(some)
+            n_a, n_b = lengths[0][some], lengths[1][some]
+            at_a, is_a = _padded(firsts[0][some], n_a, int(n_a.max()))
+            at_b, is_b = _padded(firsts[1][some], n_b, int(n_b.max()))
+            side = lambda v: (v[0][at_a][:, :, None], v[1][at_b][:, None, :])  # noqa: B023, E731
+            kind, hub, share = side(codes["dominant"]), side(codes["hub_type"]), side(values["share"])
+            score = profiles.system_score(np.where(kind[0] == kind[1], np.minimum(*share), 0.0), hub[0] == hub[1], side(values["size"]), side(values["support"]))
+            score = np.where(is_b[:, None, :], score, -np.inf)
+            each, mine, yours, best = np.arange(len(some)), [], [], []
+            free = np.zeros((len(some), score.shape[2]))
+            for i in range(score.shape[1]):
+                row = score[:, i, :] + free
+                j = row.argmax(axis=1)
+                top = np.where(is_a[:, i], row[each, j], -np.inf)
+                free[each[top > -np.inf], j[top > -np.inf]] = -np.inf
+                mine.append(numbers[0][at_a[:, i]])
+                yours.append(numbers[1][at_b[each, j]])
+                best.append(top)
+            score = np.stack(best, axis=1)
+            kept = score > -np.inf
+            rows.append(some)
+            counts.append(kept.sum(axis=1))
+            for into, part in zip(found, (np.stack(mine, axis=1), np.stack(yours, axis=1), score), strict=True):
+                into.append(part[kept])
+        if not rows:
+            continue
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32))
+        parts = [pa.array(np.concatenate(x)).cast(kind) for x, kind in zip(found, (pa.int32(), pa.int32(), pa.float64()), strict=True)]
+        places = pa.array(np.concatenate(rows))
+        told = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, ["system_a", "system_b", "score"]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(places), batch.column(1).take(places), told], ["a", "b", "matched"])
+
+
+def match_system_lists(pairs: DataFrame) -> DataFrame:
+    """(a, b, matched): `match_systems` of pairs whose systems are at hand: (a, b, systems_a, systems_b), lists that are not empty of (community, dominant, share, hub_type, size, support) in order of community."""
+    return pairs.select("a", "b", "systems_a", "systems_b").mapInArrow(_match_lists, "a string, b string, matched array<struct<system_a:int,system_b:int,score:double>>")
+
+
+def list_similarity(lists: DataFrame) -> DataFrame:
+    """(a, b, matched, similarity): `profile_similarity` of `match_system_lists`, by a sum over each list."""
+    total = F.aggregate("matched", F.lit(0.0), lambda s, m: s + m["score"])
+    return lists.select("a", "b", F.size("matched").cast("long").alias("matched"), (total / F.size("matched")).alias("similarity"))
 
 
 def profile_similarity(matches: DataFrame) -> DataFrame:

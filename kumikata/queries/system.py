@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kumikata.operators import flow, graphs as g, profiles, sequences as s, systems as y
 from kumikata.operators.joins import participants
 from kumikata.operators.vectors import sparse_neighbours
-from kumikata.plans.runtime import cut, spread
+from kumikata.plans.runtime import cut, small, spread
 from kumikata.queries.graph import _graph, _valued
 from kumikata.sources.views import EV, bouts, events
 
@@ -61,21 +61,22 @@ def _proposals(spark, d):
 
 
 def _matches(spark, d):
-    """Systems of athletes who have met, matched by size, hub and leading type."""
-    ev = cut(events(spark, d))
-    steps = s.transitions(ev).groupBy("actor", "source", "target").agg(F.count("*").cast("double").alias("weight"))
-    kinds = ev.groupBy("label").agg(F.min("type").alias("type"))
-    found = cut(profiles.systems(steps, kinds, "actor").where("size >= 2").join(kinds.select(F.col("label").alias("hub"), F.col("type").alias("hub_type")), "hub", "left"))
-    listed = found.groupBy("actor").agg(F.collect_list(F.struct("community", "dominant", "share", "hub_type", "size", "support")).alias("systems"))
-    side = lambda x: spread(listed.select(F.col("actor").alias(x), F.col("systems").alias(f"_{x}")))
-    pairs = participants(bouts(spark, d).where("a <> b").select("match_id", "a", "b")).select(F.col("athlete").alias("a"), F.col("opponent").alias("b")).distinct()
+    """Systems of athletes who have met, matched by size, hub and leading type: (a, b, matched), a row a pair."""
+    ev = events(spark, d, by_bout=True, of=("label", "type", "actor"))
+    # what both kinds of labels and steps need, once: a bout's rows are not needed again; an event without an actor has a kind only
+    seen = ev.select("actor", "label", "type", F.when(F.col("actor").isNotNull(), F.lead("label").over(s.own())).alias("target")).persist()
+    kinds = small(cut(seen.select("label", "type").distinct().groupBy("label").agg(F.min("type").alias("type"))))
+    steps = seen.where("target <> label").select("actor", F.col("label").alias("source"), "target", F.lit(1.0).alias("weight"))
+    found = profiles.systems(steps, kinds, "actor").where("size >= 2").join(kinds.select(F.col("label").alias("hub"), F.col("type").alias("hub_type")), "hub", "left")
+    listed = cut(found.groupBy("actor").agg(F.array_sort(F.collect_list(F.struct("community", "dominant", "share", "hub_type", "size", "support"))).alias("systems")))
+    seen.unpersist()
+    side = lambda x: spread(listed.select(F.col("actor").alias(x), F.col("systems").alias(f"systems_{x}")))
+    met = participants(bouts(spark, d).where("a <> b").select("match_id", "a", "b")).select(F.col("athlete").alias("a"), F.col("opponent").alias("b"))
+    return y.match_system_lists(met.repartition("a").distinct().join(side("a"), "a").join(side("b"), "b"))
 
-    def row(x, z):
-        alike = F.when(x["dominant"] == z["dominant"], F.least(x["share"], z["share"])).otherwise(0.0)
-        score = profiles.system_similarity(alike, F.coalesce(x["hub_type"] == z["hub_type"], F.lit(False)), (x["size"], z["size"]), (x["support"], z["support"]))
-        return F.struct(x["community"].alias("system_a"), (-score).alias("minus"), z["community"].alias("system_b"))
 
-    return y.matched(pairs.join(side("a"), "a").join(side("b"), "b"), F.flatten(F.transform("_a", lambda x: F.transform("_b", lambda z: row(x, z)))))
+def _matched(spark, d):
+    return _matches(spark, d).select("a", "b", F.explode("matched").alias("m")).select("a", "b", "m.*")
 
 
 def _neighbours(spark, d):
@@ -154,9 +155,9 @@ QUERIES = {
     "division_inner_edges": _inner,
     "map_regions": _regions,
     "system_proposals": _proposals,
-    "matched_systems": lambda spark, d: _r(_matches(spark, d), "score", digits=6),
-    "profile_matrix": lambda spark, d: _r(y.profile_similarity(_matches(spark, d)), "similarity"),
-    "nearest_profiles": lambda spark, d: _r(y.nearest_profiles(y.profile_similarity(_matches(spark, d))), "similarity"),
+    "matched_systems": lambda spark, d: _r(_matched(spark, d), "score", digits=6),
+    "profile_matrix": lambda spark, d: _r(y.list_similarity(_matches(spark, d)), "similarity"),
+    "nearest_profiles": lambda spark, d: _r(y.nearest_profiles(y.list_similarity(_matches(spark, d))), "similarity"),
     "map_neighbours": _neighbours,
     "weighting_effect": _weightings,
     "weighting_communities": _changes,

@@ -230,3 +230,52 @@ def test_nearest_profiles_of_a_query_come_without_a_python_step_for_each_pair(sp
 
     plan = catalog.QUERIES["nearest_profiles"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "InPandas" not in plan and "lambdafunction" in plan
+
+
+def test_systems_find_communities_once(spark):
+    edges = spark.createDataFrame([("x", "a", "b", 2), ("x", "b", "c", 1), ("y", "d", "e", 1)], "actor string, source string, target string, weight long").localCheckpoint()
+    kinds = spark.createDataFrame([("a", "guard"), ("b", "guard"), ("c", "pass"), ("d", "pass")], "label string, type string").localCheckpoint()
+    found = profiles.systems(edges, kinds, "actor")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("FlatMapGroupsInPandas") == 1
+    assert sorted(map(tuple, found.collect())) == [("x", 0, 3, "b", 3.0, "guard", 2 / 3), ("y", 0, 2, "d", 1.0, None, 0.5)]
+
+
+def test_graphs_that_span_batches_have_their_own_communities(spark):
+    import random
+
+    draw, near, rows = random.Random(5), {}, []
+    for k in range(40):
+        mine = [(f"n{draw.randint(0, 25)}", f"n{draw.randint(0, 25)}", float(draw.randint(1, 3))) for _ in range(draw.randint(1, 60))]
+        rows += [(f"g{k}", *x) for x in mine]
+        near[f"g{k}"] = graphs._linked(*zip(*mine, strict=True))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = graphs.communities(spark.createDataFrame(rows, "g string, source string, target string, weight double"), "g").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    told = {}
+    for r in sorted(found, key=lambda r: (r.graph, r.community)):
+        assert r.size == len(r.members)
+        told.setdefault(r.graph, []).append(r.members)
+    assert told == {g: graphs.connected_parts(graphs.louvain_parts(*x), x[1])[0] for g, x in near.items() if x[0]}
+
+
+def test_systems_of_two_lists_are_matched_as_their_scores_are(spark):
+    import random
+
+    draw = random.Random(9)
+    kind = lambda: draw.choice(["guard", "pass", None])
+    lists = lambda: [(c, kind(), draw.choice([0.5, 1.0, 2 / 3]), kind(), draw.randint(2, 4), draw.choice([0.0, 1.0, 3.0])) for c in sorted(draw.sample(range(9), draw.randint(1, 6)))]
+    item = "array<struct<community:int,dominant:string,share:double,hub_type:string,size:int,support:double>>"
+    pairs = spark.createDataFrame([(f"a{k}", f"b{k}", lists(), lists()) for k in range(200)], f"a string, b string, systems_a {item}, systems_b {item}").localCheckpoint()
+    each = pairs.select("a", "b", F.explode("systems_a").alias("x"), "systems_b").select("a", "b", "x", F.explode("systems_b").alias("z"))
+    alike = F.when(F.col("x.dominant") == F.col("z.dominant"), F.least("x.share", "z.share")).otherwise(0.0)
+    score = profiles.system_similarity(alike, F.coalesce(F.col("x.hub_type") == F.col("z.hub_type"), F.lit(False)), (F.col("x.size"), F.col("z.size")), (F.col("x.support"), F.col("z.support")))
+    want = y.match_systems(pairs.select("a", "b"), each.select("a", "b", F.col("x.community").alias("system_a"), F.col("z.community").alias("system_b"), score.alias("score")))
+    found = y.match_system_lists(pairs).localCheckpoint()
+    told = found.select("a", "b", F.explode("matched").alias("m")).select("a", "b", "m.system_a", "m.system_b", "m.score")
+    assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
+    assert sorted(map(tuple, y.list_similarity(found).collect())) == sorted(map(tuple, y.profile_similarity(want).collect()))
+    assert y.match_system_lists(pairs.where("false")).count() == 0
