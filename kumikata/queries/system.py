@@ -62,7 +62,7 @@ def _proposals(spark, d):
 
 def _matches(spark, d):
     """Systems of athletes who have met, matched by size, hub and leading type: (a, b, matched), a row a pair."""
-    ev = events(spark, d, by_bout=True, of=("label", "type", "actor"))
+    ev = events(spark, d, by_bout=True, of=("label", "type", "actor")).drop("i").withColumnRenamed("idx", "i")  # the order of both is the same
     # what both kinds of labels and steps need, once: a bout's rows are not needed again; an event without an actor has a kind only
     seen = ev.select("actor", "label", "type", F.when(F.col("actor").isNotNull(), F.lead("label").over(s.own())).alias("target")).persist()
     kinds = small(cut(seen.select("label", "type").distinct().groupBy("label").agg(F.min("type").alias("type"))))

@@ -279,3 +279,29 @@ def test_systems_of_two_lists_are_matched_as_their_scores_are(spark):
     assert sorted(map(tuple, told.collect())) == sorted(map(tuple, want.collect()))
     assert sorted(map(tuple, y.list_similarity(found).collect())) == sorted(map(tuple, y.profile_similarity(want).collect()))
     assert y.match_system_lists(pairs.where("false")).count() == 0
+
+
+def test_a_label_s_key_form_is_that_of_the_expression_in_sql(spark):
+    import duckdb
+
+    from kumikata.sources.views import node_key
+
+    labels = ["Ça-va  é 😀 x", "--", "", None, " A  b\t c ", "Kİ x", "😀", "ﬁ x", "straße ÄÖ", "a'b'c-d", "é é", "x - y", "2-on-1  grip"]
+    found = [r[0] for r in spark.createDataFrame([(x,) for x in labels], "label string").select(node_key(F.col("label"))).collect()]
+    sql = "SELECT trim(regexp_replace(regexp_replace(lower(trim(?)), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+    assert found == [duckdb.execute(sql, [x]).fetchall()[0][0] for x in labels]
+
+
+def test_events_by_bout_are_the_same_events(spark, sf, tmp_path):
+    from kumikata.sources.views import events
+
+    raw = spark.read.parquet(f"{sf}/match_events.parquet")
+    later = raw.where("event_id % 5 = 0").withColumns({"event_id": F.col("event_id") + 10**9, "label": F.lit("a later arrival"), "actor": F.lit(None).cast("string")})
+    raw.unionByName(later).write.parquet(f"{tmp_path}/match_events.parquet")
+    every, some = events(spark, str(tmp_path)), events(spark, str(tmp_path), by_bout=True, of=("label", "type", "actor"))
+    columns = ["match_id", "idx", "i", "label", "type", "actor"]
+    assert some.columns == ["match_id", "idx", "label", "type", "actor", "i"]
+    assert sorted(map(repr, every.select(columns).collect())) == sorted(map(repr, some.select(columns).collect()))
+    assert some.where("label = 'a later arrival'").count() == 0
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SortAggregate" not in plan
